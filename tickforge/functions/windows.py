@@ -81,12 +81,6 @@ def with_ema(series: DataFrame, specs: Mapping[str, tuple[str, int]]) -> DataFra
     return out.withColumns(full).drop(*part)
 
 
-def last_bar(series: DataFrame) -> DataFrame:
-    """Newest row of each symbol of a positioned series, on the sort already in place."""
-    return (series.withColumn("_next", F.lead("pos").over(along()))
-            .where(F.col("_next").isNull()).drop("_next"))
-
-
 def tail_rows(bars: DataFrame, n: int) -> DataFrame:
     """The newest ``n`` rows of each symbol (Spark prunes to ``n`` before the shuffle)."""
     newest = Window.partitionBy("symbol").orderBy(F.col("ts").desc())

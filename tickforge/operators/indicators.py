@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tickforge.functions.scalars import rnd
-from tickforge.functions.windows import along, last_bar, positioned, roll, with_ema
+from tickforge.functions.windows import along, positioned, roll, with_ema
 from tickforge.sources.bars import clean_bars, in_period
 
 MA_PERIODS = (10, 20, 50, 100, 200)
@@ -177,19 +177,22 @@ def with_adx(s: DataFrame, p: int = 14) -> DataFrame:
             .drop("_tr", "_pdm", "_mdm", "_pdi", "_mdi", "_dx"))
 
 
+def _abs_deviation(values: Column, center: Column) -> Column:
+    return F.aggregate(values, F.lit(0.0), lambda a, x: a + F.abs(x - center))
+
+
 def with_cci(s: DataFrame, periods: Iterable[int] = (20, 50)) -> DataFrame:
     """Mean deviation is taken around each window's own mean."""
-    most = max(periods)
+    periods = list(periods)
     s = s.withColumn("_tp", (F.col("high") + F.col("low") + F.col("close")) / 3)
-    s = s.withColumn("_tps", F.collect_list("_tp").over(along().rowsBetween(-(most - 1), 0)))
-    cols = {}
-    for p in periods:
-        window = F.slice("_tps", -p, p) if p < most else F.col("_tps")
-        mean = F.aggregate(window, F.lit(0.0), lambda a, x: a + x) / F.lit(float(p))
-        dev = F.aggregate(window, F.lit(0.0), lambda a, x, m=mean: a + F.abs(x - m))
-        cols[f"cci{p}"] = F.when(_full(p), F.try_divide(
-            F.col("_tp") - mean, F.lit(0.015) * dev / F.lit(float(p))))
-    return s.withColumns(cols).drop("_tp", "_tps")
+    s = s.withColumns({f"_tps{p}": F.collect_list("_tp").over(along().rowsBetween(-(p - 1), 0))
+                       for p in periods})
+    s = s.withColumns({f"_tpm{p}": roll(F.avg, F.col("_tp"), p, along()) for p in periods})
+    s = s.withColumns({f"cci{p}": F.try_divide(
+        F.col("_tp") - F.col(f"_tpm{p}"),
+        F.lit(0.015) * _abs_deviation(F.col(f"_tps{p}"), F.col(f"_tpm{p}")) / F.lit(float(p)))
+        for p in periods})
+    return s.drop("_tp", *[f"_tps{p}" for p in periods], *[f"_tpm{p}" for p in periods])
 
 
 def with_change(s: DataFrame, roc: Iterable[int] = (12, 6),
@@ -225,56 +228,186 @@ def _cmp(x: Column, y: Column) -> Column:
     return F.when(x > y, "Buy").when(x < y, "Sell").otherwise("Neutral")
 
 
-def _band(x: Column, sell_above: float, buy_below: float) -> Column:
-    return F.when(x > sell_above, "Sell").when(x < buy_below, "Buy").otherwise("Neutral")
-
-
-def _oscillator_rows() -> list[tuple[str, Column, Column]]:
-    c = F.col
-    zero = F.lit(0.0)
-    mom3 = F.coalesce(c("momentum63"), zero)
-    cci = {p: F.when(c(f"cci{p}") < -100, "Buy").when(c(f"cci{p}") > 100, "Sell")
-           .otherwise("Neutral") for p in (20, 50)}
-    return [
-        ("RSI14", c("rsi14"), _band(c("rsi14"), 70, 30)),
-        ("MACD", c("macd"), _cmp(c("macd"), c("macd_signal"))),
-        ("Stochastic14", c("stochastic14"), _band(c("stochastic14"), 80, 20)),
-        ("ATR14", c("atr14"), F.lit("Neutral")),
-        ("CCI20", c("cci20"), cci[20]),
-        ("ADX14", c("adx14"), F.when(c("adx14") > 25, "Tendenza Forte").otherwise("Neutro")),
-        ("WilliamsR14", c("williams_r14"), _band(c("williams_r14"), -20, -80)),
-        ("ROC12", c("roc12"), _cmp(c("roc12"), zero)),
-        ("Momentum10", c("momentum10"), _cmp(c("momentum10"), zero)),
-        ("Momentum3M", mom3, _cmp(mom3, zero)),
-        ("TRIX15", c("trix15"), _cmp(c("trix15"), zero)),
-        ("UltimateOsc", c("ultimate_osc"), _band(c("ultimate_osc"), 70, 30)),
-        ("CCI50", c("cci50"), cci[50]),
-        ("RSI7", c("rsi7"), _band(c("rsi7"), 70, 30)),
-        ("RSI21", c("rsi21"), _band(c("rsi21"), 70, 30)),
-        ("StochSlow", c("stochastic14"), _band(c("stochastic14"), 80, 20)),
-        ("WilliamsR50", c("williams_r50"), _band(c("williams_r50"), -20, -80)),
-        ("MACD_Hist", c("macd_hist"), _cmp(c("macd_hist"), zero)),
-        ("ROC6", c("roc6"), _cmp(c("roc6"), zero)),
-        ("Momentum20", c("momentum20"), _cmp(c("momentum20"), zero)),
-        ("CMF20", c("cmf20"), _cmp(c("cmf20"), zero)),
-    ]
-
-
-def all_indicators(series: DataFrame) -> DataFrame:
-    s = with_sma(series)
-    s = with_hma(with_wma(s, MA_PERIODS))
-    s = with_rsi(s)
-    s = with_stochastic(s, (14, 50))
-    s = with_atr(s)
-    s = with_adx(s)
-    s = with_change(s)
-    s = with_ultimate(s)
-    s = with_cmf(s)
-    s = with_cci(s)
-    s = with_ma_ema(s)
-    s = with_macd(s)
-    s = with_trix(s)
-    return with_tema(s)
+def _band_sql(x: str, sell_above: float, buy_below: float) -> str:
+    return f"CASE WHEN {x} > {sell_above} THEN 'Sell' WHEN {x} < {buy_below} THEN 'Buy' ELSE 'Neutral' END"
+
+
+def _cmp_sql(x: str, y: str) -> str:
+    return f"CASE WHEN {x} > {y} THEN 'Buy' WHEN {x} < {y} THEN 'Sell' ELSE 'Neutral' END"
+
+
+def _tail(a: str, n: int) -> str:
+    return f"slice({a}, -{n}, {n})"
+
+
+def _sum_sql(a: str) -> str:
+    return f"aggregate({a}, 0D, (s, x) -> s + x)"
+
+
+def _dot_sql(weights: list[float], n: int) -> str:
+    w = ", ".join(f"{x!r}D" for x in weights)
+    return _sum_sql(f"zip_with({_tail('c', n)}, array({w}), (x, w) -> x * w)")
+
+
+def _wma_weights(p: int, length: int, shift: int) -> list[float]:
+    """Weights of WMA(p) ended ``shift`` bars ago, over the last ``length`` bars."""
+    out = [0.0] * length
+    for k in range(p):
+        out[length - shift - p + k] = (k + 1) / (p * (p + 1) / 2)
+    return out
+
+
+def _hma_weights(p: int) -> list[float]:
+    """HMA is linear in the closes too: one list of weights over its p + sqrt(p) - 1 bars."""
+    half, root = p // 2, math.isqrt(p)
+    n = p + root - 1
+    out = [0.0] * n
+    for shift in range(root):
+        a, b = _wma_weights(half, n, shift), _wma_weights(p, n, shift)
+        out = [o + (2 * x - y) / root for o, x, y in zip(out, a, b)]
+    return out
+
+
+def _ema_pass() -> str:
+    """One fold over the closes that carries every exponential mean of the summary."""
+    def step(prev, x, span):
+        a = 2.0 / (span + 1.0)
+        return f"({a!r}D * {x} + {1.0 - a!r}D * {prev})"
+
+    first, fields = [], []
+
+    def add(name, init, expr):
+        first.append(f"{init} AS {name}")
+        fields.append(f"{expr} AS {name}")
+
+    for p in MA_PERIODS + (15,):
+        e1 = step(f"s.e{p}", "x", p)
+        e2 = step(f"s.f{p}", e1, p)
+        e3 = step(f"s.g{p}", e2, p)
+        for name, e in (("e", e1), ("f", e2), ("g", e3)):
+            add(f"{name}{p}", "c[0]", e)
+    add("old15", "CAST(NULL AS DOUBLE)", "s.g15")
+    e12, e26 = step("s.e12", "x", 12), step("s.e26", "x", 26)
+    add("e12", "c[0]", e12)
+    add("e26", "c[0]", e26)
+    add("sig", "0D", step("s.sig", f"({e12} - {e26})", 9))
+    return (f"aggregate(slice(c, 2, greatest(n - 1, 0)), struct({', '.join(first)}), "
+            f"(s, x) -> struct({', '.join(fields)}))")
+
+
+def _latest_columns() -> list[dict[str, str]]:
+    """SQL of the newest bar's values over the arrays c, h, l, v of n bars; in two layers
+    where a value is needed more than once."""
+    first: dict[str, str] = {"m": _ema_pass(), "last": "c[n - 1]"}
+    out: dict[str, str] = {}
+    for p in MA_PERIODS:
+        out[f"sma{p}"] = f"{_sum_sql(_tail('c', p))} / {p}D"
+        out[f"wma{p}"] = _dot_sql(_wma_weights(p, p, 0), p)
+        n = p + math.isqrt(p) - 1
+        out[f"hma{p}"] = f"CASE WHEN n >= {n} THEN {_dot_sql(_hma_weights(p), n)} END"
+        out[f"ema{p}"] = f"m.e{p}"
+        out[f"tema{p}"] = f"3 * m.e{p} - 3 * m.f{p} + m.g{p}"
+    out["macd"], out["macd_signal"] = "m.e12 - m.e26", "m.sig"
+    out["macd_hist"] = "m.e12 - m.e26 - m.sig"
+    out["trix15"] = "try_divide(m.g15 - m.old15, m.old15) * 100"
+    for p in (14, 7, 21):
+        first[f"d{p}"] = f"zip_with({_tail('c', p)}, slice(c, -{p + 1}, {p}), (x, y) -> x - y)"
+        up = f"aggregate(d{p}, 0D, (s, x) -> s + greatest(x, 0D))"
+        down = f"aggregate(d{p}, 0D, (s, x) -> s + greatest(-x, 0D))"
+        out[f"rsi{p}"] = f"CASE WHEN n > {p} THEN try_divide(100 * {up}, {up} + {down}) END"
+    for p in (14, 50):
+        hi, lo = f"array_max({_tail('h', p)})", f"array_min({_tail('l', p)})"
+        out[f"stochastic{p}"] = f"CASE WHEN n >= {p} THEN try_divide(100 * (last - {lo}), {hi} - {lo}) END"
+        out[f"williams_r{p}"] = f"CASE WHEN n >= {p} THEN try_divide(-100 * ({hi} - last), {hi} - {lo}) END"
+    # the last 27 bars: true range and directional moves, null where no bar precedes
+    first["tr"] = ("transform(sequence(n - 27, n - 1), i -> greatest(get(h, i) - get(l, i), "
+                   "abs(get(h, i) - get(c, i - 1)), abs(get(l, i) - get(c, i - 1))))")
+    first["up"] = "transform(sequence(n - 27, n - 1), i -> get(h, i) - get(h, i - 1))"
+    first["down"] = "transform(sequence(n - 27, n - 1), i -> get(l, i - 1) - get(l, i))"
+    out["atr14"] = f"CASE WHEN n >= 14 THEN {_sum_sql(_tail('tr', 14))} / 14D END"
+
+    def moved(a):
+        return f"aggregate(slice({a}, j, 14), 0D, (s, x) -> s + greatest(x, 0D))"
+
+    # both lines share the range sum as divisor, which cancels unless it is zero
+    dx = (f"CASE WHEN aggregate(slice(tr, j, 14), 0D, (s, x) -> s + x) <> 0 THEN "
+          f"try_divide(abs({moved('up')} - {moved('down')}), {moved('up')} + {moved('down')}) * 100 END")
+    out["adx14"] = f"CASE WHEN n >= 28 THEN {_sum_sql(f'transform(sequence(1, 14), j -> {dx})')} / 14D END"
+    for p in (20, 50):
+        first[f"tp{p}"] = (f"zip_with(zip_with({_tail('h', p)}, {_tail('l', p)}, (x, y) -> x + y), "
+                           f"{_tail('c', p)}, (x, y) -> (x + y) / 3)")
+    out_mean = {f"tpm{p}": f"{_sum_sql(f'tp{p}')} / {p}D" for p in (20, 50)}
+    for p in (20, 50):
+        dev = f"aggregate(tp{p}, 0D, (s, x) -> s + abs(x - tpm{p})) / {p}D"
+        out[f"cci{p}"] = f"CASE WHEN n >= {p} THEN try_divide(element_at(tp{p}, -1) - tpm{p}, 0.015D * {dev}) END"
+    for k in (12, 6):
+        out[f"roc{k}"] = f"try_divide(last - get(c, n - 1 - {k}), get(c, n - 1 - {k})) * 100"
+    for k in (10, 20, 63):
+        out[f"momentum{k}"] = f"last - get(c, n - 1 - {k})"
+
+    def ratio(k):
+        press = _sum_sql(f"zip_with({_tail('c', k)}, {_tail('l', k)}, (x, y) -> x - y)")
+        span = _sum_sql(f"zip_with({_tail('h', k)}, {_tail('l', k)}, (x, y) -> x - y)")
+        return f"try_divide({press}, {span})"
+
+    out["ultimate_osc"] = f"CASE WHEN n >= 28 THEN 100 * (4 * {ratio(7)} + 2 * {ratio(14)} + {ratio(28)}) / 7 END"
+    flow = ("transform(sequence(n - 20, n - 1), i -> try_divide((get(c, i) - get(l, i)) - "
+            "(get(h, i) - get(c, i)), get(h, i) - get(l, i)) * get(v, i))")
+    out["cmf20"] = f"CASE WHEN n >= 20 THEN try_divide({_sum_sql(flow)}, {_sum_sql(_tail('v', 20))}) END"
+    return [first, out_mean, out]
+
+
+def latest_indicators(bars: DataFrame) -> DataFrame:
+    """All indicator values of each symbol's newest bar, and its number of bars ``n``.
+
+    The summary looks at a bounded period (two years of days, sixty days of hours), so a symbol
+    is one short array. One group-by collects it and folds evaluate only the newest bar,
+    where the series columns above would evaluate every bar.
+    """
+    cell = F.struct("ts", "high", "low", "close", "volume")
+    s = bars.groupBy("symbol").agg(F.sort_array(F.collect_list(cell)).alias("b"))
+    s = s.selectExpr("symbol", "b.close AS c", "b.high AS h", "b.low AS l", "b.volume AS v",
+                     "size(b) AS n")
+    for layer in _latest_columns():
+        s = s.selectExpr("*", *[f"{sql} AS {name}" for name, sql in layer.items()])
+    return s
+
+
+def _vote_rows() -> list[str]:
+    rows = []
+    for p in MA_PERIODS:
+        for kind in ("sma", "ema", "wma", "hma", "tema"):
+            v = f"{kind}{p}"
+            rows.append(f"CASE WHEN n >= {p} THEN struct('ma' AS grp, '{v.upper()}' AS name, {v} AS value, "
+                        f"{_cmp_sql('last', v)} AS action) END")
+    cci = {p: f"CASE WHEN cci{p} < -100 THEN 'Buy' WHEN cci{p} > 100 THEN 'Sell' ELSE 'Neutral' END"
+           for p in (20, 50)}
+    mom3 = "coalesce(momentum63, 0D)"
+    oscillators = [
+        ("RSI14", "rsi14", _band_sql("rsi14", 70, 30)),
+        ("MACD", "macd", _cmp_sql("macd", "macd_signal")),
+        ("Stochastic14", "stochastic14", _band_sql("stochastic14", 80, 20)),
+        ("ATR14", "atr14", "'Neutral'"),
+        ("CCI20", "cci20", cci[20]),
+        ("ADX14", "adx14", "CASE WHEN adx14 > 25 THEN 'Tendenza Forte' ELSE 'Neutro' END"),
+        ("WilliamsR14", "williams_r14", _band_sql("williams_r14", -20, -80)),
+        ("ROC12", "roc12", _cmp_sql("roc12", "0")),
+        ("Momentum10", "momentum10", _cmp_sql("momentum10", "0")),
+        ("Momentum3M", mom3, _cmp_sql(mom3, "0")),
+        ("TRIX15", "trix15", _cmp_sql("trix15", "0")),
+        ("UltimateOsc", "ultimate_osc", _band_sql("ultimate_osc", 70, 30)),
+        ("CCI50", "cci50", cci[50]),
+        ("RSI7", "rsi7", _band_sql("rsi7", 70, 30)),
+        ("RSI21", "rsi21", _band_sql("rsi21", 70, 30)),
+        ("StochSlow", "stochastic14", _band_sql("stochastic14", 80, 20)),
+        ("WilliamsR50", "williams_r50", _band_sql("williams_r50", -20, -80)),
+        ("MACD_Hist", "macd_hist", _cmp_sql("macd_hist", "0")),
+        ("ROC6", "roc6", _cmp_sql("roc6", "0")),
+        ("Momentum20", "momentum20", _cmp_sql("momentum20", "0")),
+        ("CMF20", "cmf20", _cmp_sql("cmf20", "0"))]
+    for name, value, action in oscillators:
+        rows.append(f"struct('osc' AS grp, '{name}' AS name, CAST({value} AS DOUBLE) AS value, {action} AS action)")
+    return rows
 
 
 def technicals_rows(bars: DataFrame, timeframe: str = "1d",
@@ -282,20 +415,9 @@ def technicals_rows(bars: DataFrame, timeframe: str = "1d",
     """Long form ``(symbol, grp, name, value, action)`` for each symbol's newest bar."""
     if as_of is not None:
         bars = in_period(bars, "technicals", timeframe, as_of)
-    last = last_bar(all_indicators(positioned(clean_bars(bars))))
-    items = []
-    for p in MA_PERIODS:
-        for kind in ("sma", "ema", "wma", "hma", "tema"):
-            v = F.col(f"{kind}{p}")
-            items.append(F.when(_full(p), F.struct(
-                F.lit("ma").alias("grp"), F.lit(f"{kind.upper()}{p}").alias("name"),
-                rnd(v, 2).alias("value"), _cmp(F.col("close"), v).alias("action"))))
-    for name, v, action in _oscillator_rows():
-        items.append(F.struct(F.lit("osc").alias("grp"), F.lit(name).alias("name"),
-                              rnd(v.cast("double"), 2).alias("value"),
-                              action.alias("action")))
-    return (last.select("symbol", F.explode(F.array_compact(F.array(*items))).alias("i"))
-            .select("symbol", "i.grp", "i.name", "i.value", "i.action"))
+    last = latest_indicators(clean_bars(bars))
+    rows = last.selectExpr("symbol", f"inline(array_compact(array({', '.join(_vote_rows())})))")
+    return rows.withColumn("value", rnd("value", 2))
 
 
 def vote_counts(rows: DataFrame) -> DataFrame:

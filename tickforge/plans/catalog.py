@@ -1,6 +1,6 @@
 """All registered queries; importing a query module registers its entries."""
 
-from tickforge.plans import bar_queries, indicator_queries  # noqa: F401
+from tickforge.plans import bar_queries, indicator_queries, season_queries  # noqa: F401
 from tickforge.plans.registry import ORACLE, QUERIES
 
 __all__ = ["ORACLE", "QUERIES"]

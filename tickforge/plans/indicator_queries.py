@@ -92,13 +92,13 @@ def _series_sql(bars_sql=SUPPLIER_SQL, where=""):
 _SERIES = _series_sql()
 
 
-def _indicator(name, cols, build, digits=2):
-    sql = (f"WITH {_SERIES} SELECT symbol, {DAY_SQL} AS day, "
+def _indicator(name, cols, build, digits=2, bars=supplier_bars, chain=_SERIES):
+    sql = (f"WITH {chain} SELECT symbol, {DAY_SQL} AS day, "
            + ", ".join(f"round({c}, {digits}) AS {c}" for c in cols) + " FROM s5")
 
     @query(name, sql)
     def _(spark, sf):
-        s = build(positioned(clean_bars(supplier_bars(spark, sf))))
+        s = build(positioned(clean_bars(bars(spark, sf))))
         return s.select("symbol", day().alias("day"), *[rnd(c, digits).alias(c) for c in cols])
 
 
@@ -119,7 +119,8 @@ _indicator("roc", ["roc12", "roc6"], I.with_change)
 _indicator("momentum", ["momentum10", "momentum20", "momentum63"], I.with_change)
 _indicator("trix15", ["trix15"], I.with_trix)
 _indicator("ultimate_osc", ["ultimate_osc"], I.with_ultimate)
-_indicator("cmf20", ["cmf20"], I.with_cmf, digits=4)
+# most supplier days have a single trade and so no range, which leaves no money flow
+_indicator("cmf20", ["cmf20"], I.with_cmf, digits=4, bars=flag_bars, chain=_series_sql(FLAG_SQL))
 
 
 def _band(x, sell, buy):

@@ -149,8 +149,11 @@ def naive_sorted(bars: DataFrame) -> DataFrame:
     return out.withColumn("pos", F.row_number().over(by_time()) - 1)
 
 
-def resample(bars: DataFrame, rule: str) -> DataFrame:
-    """Weekly bars ending Friday (``W-FRI``) or month-end bars (``ME``) of daily bars."""
+def resample(bars: DataFrame, rule: str, count: str | None = None) -> DataFrame:
+    """Weekly bars ending Friday (``W-FRI``) or month-end bars (``ME``) of daily bars.
+
+    ``count`` names an extra column with the number of source bars.
+    """
     if rule == "W-FRI":
         slot = F.next_day(F.date_sub(F.col("ts").cast("date"), 1), "FRI")
     elif rule == "ME":
@@ -167,6 +170,7 @@ def resample(bars: DataFrame, rule: str) -> DataFrame:
         F.min("low").alias("low"),
         F.max_by("close", has("close")).alias("close"),
         F.sum("volume").alias("volume"),
+        *([F.count(F.lit(1)).alias(count)] if count else []),
     )
     return out.where(F.col("close").isNotNull())
 
