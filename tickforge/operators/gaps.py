@@ -107,50 +107,64 @@ def gap_status(rows: DataFrame) -> DataFrame:
 
     The first closing bar is found by blocks of 32 bars, not by pairing bars: first in the rest
     of the gap's own block, else in the first later block whose extreme closes the gap, which is
-    one equi-join. Per symbol only the block extremes travel with its gaps.
+    one equi-join. Per symbol only the block extremes travel with its gaps. Down gaps are
+    looked at upside down (``-high`` for ``low``), so one rule serves both directions.
     """
-    blocked = rows.withColumn("blk", F.floor(F.col("pos") / F.lit(BLOCK)).cast("int"))
-    cell = F.struct("pos", "low", "high")
+    blocked = rows.withColumns({"blk": F.floor(F.col("pos") / F.lit(BLOCK)).cast("int"),
+                                "nhigh": -F.col("high")})
     rest = (Window.partitionBy("symbol", "blk").orderBy("pos")
             .rowsBetween(1, Window.unboundedFollowing))
-    gaps = gap_lookahead(blocked.withColumn("rest", F.collect_list(cell).over(rest)))
+    gaps = gap_lookahead(blocked.withColumns({"_rl": F.collect_list("low").over(rest),
+                                              "_rh": F.collect_list("nhigh").over(rest)})
+                         .withColumnsRenamed({"_rl": "rest_low", "_rh": "rest_high"}))
+
+    def in_order(key, value):
+        return F.sort_array(F.collect_list(F.struct(key, value)))
 
     blocks = blocked.groupBy("symbol", "blk").agg(
-        F.min("low").alias("low"), F.max("high").alias("high"),
-        F.sort_array(F.collect_list(cell)).alias("cells"))
-    heads = blocks.groupBy("symbol").agg(
-        F.sort_array(F.collect_list(F.struct("blk", "low", "high"))).alias("heads"))
+        F.min("low").alias("low"), F.min("nhigh").alias("nhigh"),
+        in_order("pos", "low")["low"].alias("cell_low"),
+        in_order("pos", "nhigh")["nhigh"].alias("cell_high"))
+    heads = blocks.groupBy("symbol").agg(in_order("blk", "low")["low"].alias("head_low"),
+                                         in_order("blk", "nhigh")["nhigh"].alias("head_high"))
+
+    up = F.col("direction") == "up"
+    lower, upper = F.least("start", "end"), F.greatest("start", "end")
+    g = gaps.withColumns({
+        "rest": F.when(up, F.col("rest_low")).otherwise(F.col("rest_high")),
+        "_l": F.when(up, lower).otherwise(-upper), "_u": F.when(up, upper).otherwise(-lower)})
+    g = g.withColumn("_s", F.when(F.col("_u") > F.col("_l"), F.col("_u") - F.col("_l"))) \
+        .drop("rest_low", "rest_high", "nhigh").join(heads, "symbol")
 
     def fill(x):
-        return gap_fill_pct(x["low"], x["high"])
-
-    def first_closing(cells):
-        return F.get(F.filter(cells, lambda x: fill(x) >= CLOSE_AT), F.lit(0))
-
-    def extreme(cells, start):
-        """Lowest low and highest high of a list, at least as far out as ``start``."""
-        return F.aggregate(cells, start, lambda a, x: F.struct(
-            F.least(a["low"], x["low"]).alias("low"),
-            F.greatest(a["high"], x["high"]).alias("high")))
-
-    none = F.struct(F.lit(None).cast("double").alias("low"),
-                    F.lit(None).cast("double").alias("high"))
-    g = gaps.join(heads, "symbol")
-    later = F.filter("heads", lambda h: h["blk"] > F.col("blk"))
-    g = g.withColumns({"_own": first_closing(F.col("rest")), "_later": later})
+        return (F.col("_u") - F.greatest(x, F.col("_l"))) / F.col("_s") * 100
+
+    def closes(x):
+        return fill(x) >= CLOSE_AT
+
+    heads_of = F.when(up, F.col("head_low")).otherwise(F.col("head_high"))
+    later = F.slice(heads_of, F.col("blk") + 2, F.greatest(F.size(heads_of) - F.col("blk") - 1,
+                                                           F.lit(0)))
+    g = g.withColumns({"_own": F.get(F.filter("rest", closes), F.lit(0)), "_later": later}) \
+        .drop("head_low", "head_high")
+    step = F.array_position(F.transform("_later", lambda x: F.coalesce(closes(x), F.lit(False))),
+                            F.lit(True))
     g = g.withColumns({
-        "_target": F.when(F.col("_own").isNull(), first_closing(F.col("_later"))["blk"]),
-        "_far": extreme(F.col("_later"), extreme(F.col("rest"), none))}) \
-        .drop("rest", "heads", "_later", "blk")
-    target = blocks.select(F.col("symbol").alias("_sym"), F.col("blk").alias("_blk"), "cells")
+        "_target": F.when(F.col("_own").isNull() & (step > 0), F.col("blk") + step.cast("int")),
+        "_far": F.least(F.array_min("rest"), F.array_min("_later"))}).drop("rest", "_later", "blk")
+    target = blocks.select(F.col("symbol").alias("_sym"), F.col("blk").alias("_blk"),
+                           "cell_low", "cell_high")
     g = g.join(target, (F.col("symbol") == F.col("_sym")) & (F.col("_target") == F.col("_blk")),
                "left")
-    hit = F.coalesce(F.col("_own"), first_closing(F.col("cells")))
-    g = g.withColumn("_hit", hit)
+    cells = F.when(up, F.col("cell_low")).otherwise(F.col("cell_high"))
+    g = g.withColumn("_hit", F.coalesce("_own", F.get(F.filter(cells, closes), F.lit(0))))
+    seen = F.coalesce("_hit", "_far")
+    reached = F.coalesce(F.when(seen.isNotNull(), fill(seen)), F.lit(0.0))
     return g.withColumns({
         "closed": F.col("_hit").isNotNull(),
-        "fill_pct": F.coalesce(fill(F.col("_hit")), fill(F.col("_far")), F.lit(0.0))}) \
-        .drop("_hit", "_own", "_target", "_far", "_sym", "_blk", "cells")
+        "fill_pct": F.greatest(F.lit(0.0), F.least(F.lit(100.0), reached))}) \
+        .drop("_hit", "_own", "_target", "_far", "_sym", "_blk", "cell_low", "cell_high",
+              "_l", "_u", "_s")
 
 
 def _probability() -> Column:

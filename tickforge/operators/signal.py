@@ -244,18 +244,27 @@ def label_for_timeframe(df: DataFrame, timeframe: str, as_of: dt.date) -> DataFr
     return df.selectExpr("* EXCEPT (label, display_label)", f"{base} AS label", f"{shown} AS display_label")
 
 
+def _settled(df: DataFrame) -> DataFrame:
+    """Fix the columns computed so far behind a generator of one row.
+
+    The stages reuse earlier columns many times over; without a boundary the optimizer would
+    inline them into each other (and into pushed-down filters) again and again.
+    """
+    return df.select(F.inline(F.array(F.struct(*df.columns))))
+
+
 def unified_signal(df: DataFrame, as_of: dt.date, use_filter: bool = True,
                    states: dict[str, int] | None = None) -> DataFrame:
     """All stages in order; symbols without a positive price get the neutral default."""
     valid = F.col("price") > 0
     s = season_score(df.where(valid))
-    s = gap_score(sr_score(s))
+    s = _settled(gap_score(sr_score(s)))
     s = market_score(tech_score(s, use_filter), states)
-    s = denial_and_setup(s, use_filter)
+    s = _settled(denial_and_setup(s, use_filter))
     s = directional_score(month_end_bonus(s, as_of), use_filter)
-    s = signal_label(confidence(votes(s, use_filter), use_filter))
-    s = execution_plan(s)
-    return s
+    s = _settled(votes(s, use_filter))
+    s = _settled(signal_label(confidence(s, use_filter)))
+    return _settled(execution_plan(s))
 
 
 def no_price_signal(df: DataFrame) -> DataFrame:
