@@ -1,6 +1,6 @@
 """All registered queries; importing a query module registers its entries."""
 
-from tickforge.plans import (bar_queries, gap_queries, indicator_queries,  # noqa: F401
+from tickforge.plans import (bar_queries, fundamental_queries, gap_queries, indicator_queries,  # noqa: F401
                              season_queries, signal_queries, zone_queries)
 from tickforge.plans.registry import ORACLE, QUERIES
 
