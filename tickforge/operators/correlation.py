@@ -95,7 +95,7 @@ def correlation_matrices(features: DataFrame, variables: Sequence[str] = FEATURE
     names = list(variables)
     k = len(names)
 
-    def matrices(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def matrices(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         by_fold: dict = {}
         for fold, n, mean, m in zip(pdf["fold"], pdf["n"], pdf["mean"], pdf["m"]):
             by_fold.setdefault(int(fold), []).append(

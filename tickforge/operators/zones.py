@@ -137,18 +137,21 @@ def zone_threshold(sums: Column, strength: float) -> Column:
     return lo + (hi - lo) * F.lit(part)
 
 
-def _zone_list(sums: str, strength: float) -> Column:
-    limit = zone_threshold(F.col(sums), strength)
-    kept = F.filter(F.sequence(F.lit(0), F.lit(BINS - 1)), lambda b: F.get(F.col(sums), b) >= limit)
+def _zone_list(sums: str, limit: str) -> Column:
+    kept = F.filter(F.sequence(F.lit(0), F.lit(BINS - 1)),
+                    lambda b: F.get(F.col(sums), b) >= F.col(limit))
     return F.transform(kept, lambda b: F.struct(
         rnd((_edge(b) + _edge(b + 1)) / 2, 2).alias("price"),
         rnd(_edge(b), 2).alias("min"), rnd(_edge(b + 1), 2).alias("max")))
 
 
 def raw_zones(bars: DataFrame, strength: float, hilo: bool) -> DataFrame:
-    h = zone_histogram(bars, hilo)
-    return h.select("symbol", "price", _zone_list("support_sums", strength).alias("support"),
-                    _zone_list("resistance_sums", strength).alias("resistance"))
+    # the limits are columns of their own, or every bin would sort the sums again
+    h = zone_histogram(bars, hilo).withColumns({
+        "_sl": zone_threshold(F.col("support_sums"), strength),
+        "_rl": zone_threshold(F.col("resistance_sums"), strength)})
+    return h.select("symbol", "price", _zone_list("support_sums", "_sl").alias("support"),
+                    _zone_list("resistance_sums", "_rl").alias("resistance"))
 
 
 def zone_distance_filter(zones: DataFrame, min_pct: float) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tickforge.sources.bars import bars_from_trades, sequence_key
+from tickforge.sources.stored import stored
 
 AS_OF = dt.date(2001, 11, 4)
 
@@ -35,6 +36,11 @@ def supplier_bars(spark: SparkSession, sf: str) -> DataFrame:
     return bars_from_trades(trades(spark, sf, F.col("l_suppkey").cast("string")))
 
 
+def stored_supplier_bars(spark: SparkSession, sf: str) -> DataFrame:
+    """The same as a table, as a user would keep it, for jobs with several branches over bars."""
+    return stored(supplier_bars(spark, sf))
+
+
 def market_bars(spark: SparkSession, sf: str) -> DataFrame:
     """One market series: mean order value per day."""
     orders = table(spark, sf, "orders")

@@ -315,14 +315,18 @@ def _(spark, sf):
     return c.select("c_custkey", T.pick_best_label(first, second, F.col("c_name")).alias("label"))
 
 
-@query("coerce_numbers", """SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 THEN c_nationkey ELSE 5 END AS n,
- CASE WHEN c_custkey % 2 = 0 THEN c_acctbal ELSE 0 END AS x FROM customer""")
+@query("coerce_non_negative_int", "SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 THEN c_nationkey ELSE 5 END AS n FROM customer")
 def _(spark, sf):
-    c = table(spark, sf, "customer")
     k, nat = F.col("c_custkey"), F.col("c_nationkey")
     n = F.when(k % 3 == 0, nat.cast("string")).when(k % 3 == 1, (-nat - 1).cast("string")).otherwise(F.lit("many"))
+    return table(spark, sf, "customer").select("c_custkey", T.coerce_non_negative_int(n, 5).alias("n"))
+
+
+@query("coerce_float", "SELECT c_custkey, CASE WHEN c_custkey % 2 = 0 THEN c_acctbal ELSE 0 END AS x FROM customer")
+def _(spark, sf):
+    k = F.col("c_custkey")
     x = F.when(k % 2 == 0, F.col("c_acctbal").cast("string")).when(k % 4 == 1, F.lit("NaN")).otherwise(F.lit("-"))
-    return c.select("c_custkey", T.coerce_non_negative_int(n, 5).alias("n"), T.coerce_float(x).alias("x"))
+    return table(spark, sf, "customer").select("c_custkey", T.coerce_float(x).alias("x"))
 
 
 @query("timeframe_map", """SELECT event_id, CASE event_type WHEN 'click' THEN '60m' WHEN 'view' THEN '240m' WHEN 'error' THEN '1wk' WHEN 'signup' THEN '1mo' ELSE '1d' END AS code FROM events""")

@@ -11,9 +11,9 @@ from tickforge.plans.data import AS_OF, AS_OF_SQL, DAY_SQL, SUPPLIER_SQL, day, s
 from tickforge.plans.registry import query
 
 
-def gap_sql(where: str = "") -> str:
+def gap_sql(where: str = "", source: str = "bars") -> str:
     """CTE chain: g (all gaps), la (look-ahead), st (status by self-join)."""
-    return f"""r AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY ts) - 1 AS pos FROM bars {where}),
+    return f"""r AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY ts) - 1 AS pos FROM {source} {where}),
  n AS (SELECT *, lag(high) OVER w AS h1, lag(low) OVER w AS l1, lag(high, 2) OVER w AS h2, lag(low, 2) OVER w AS l2,
   lag(open) OVER w AS o1, lag(close) OVER w AS c1, lag(open, 2) OVER w AS o2, lag(close, 2) OVER w AS c2,
   min(low) OVER nx AS al, max(high) OVER nx AS ah FROM r

@@ -111,6 +111,8 @@ _indicator("rsi", ["rsi14", "rsi7", "rsi21"], I.with_rsi)
 _indicator("macd", ["macd", "macd_signal"], I.with_macd)
 _indicator("macd_hist", ["macd_hist"], I.with_macd)
 _indicator("stochastic14", ["stochastic14"], I.with_stochastic)
+# the slow form reports the plain 14-bar value: its smoothed line is never used
+_indicator("stoch_slow", ["stochastic14"], I.with_stochastic)
 _indicator("atr14", ["atr14"], I.with_atr)
 _indicator("cci", ["cci20", "cci50"], I.with_cci)
 _indicator("adx14", ["adx14"], I.with_adx)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from tickforge.functions.scalars import rnd
 from tickforge.operators import portfolio as O
 from tickforge.operators import signal as X
-from tickforge.plans.data import AS_OF, supplier_bars, table
+from tickforge.plans.data import AS_OF, stored_supplier_bars, table
 from tickforge.plans.registry import query
 from tickforge.plans.signal_queries import SIGNAL_SQL
 
@@ -400,5 +400,5 @@ FROM w LEFT JOIN (SELECT symbol AS ticker, shown, tone, bs, cur FROM sg) USING (
 def _(spark, sf):
     w = table(spark, sf, "supplier").select(F.col("s_nationkey").alias("user_id"), F.explode(F.array(
         F.col("s_suppkey").cast("string"), F.concat(F.lit("Z"), F.col("s_suppkey").cast("string")))).alias("ticker"))
-    s = X.portfolio_signal(supplier_bars(spark, sf), AS_OF).select("symbol", "display_label", "tone", rnd("score_pct", 4).alias("score_pct"), "has_data")
+    s = X.portfolio_signal(stored_supplier_bars(spark, sf), AS_OF).select("symbol", "display_label", "tone", rnd("score_pct", 4).alias("score_pct"), "has_data")
     return O.watchlist_signals(w, s).select("user_id", "ticker", "display_label", "tone", "score_pct", "has_data")

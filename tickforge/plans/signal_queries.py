@@ -7,12 +7,12 @@ from pyspark.sql import functions as F
 from tickforge.functions.scalars import rnd, rr_tone
 from tickforge.operators import signal as X
 from tickforge.operators import zones as Z
-from tickforge.plans.data import AS_OF, AS_OF_SQL, SUPPLIER_SQL, supplier_bars
+from tickforge.plans.data import AS_OF, AS_OF_SQL, SUPPLIER_SQL, stored_supplier_bars, supplier_bars
 from tickforge.plans.gap_queries import STATUS_SQL, gap_sql
 from tickforge.plans.indicator_queries import SUPPLIER_ROWS_SQL, VOTES_SQL
 from tickforge.plans.registry import query
 from tickforge.plans.season_queries import CLIENT_SQL
-from tickforge.plans.zone_queries import zone_sql
+from tickforge.plans.zone_queries import _SLOT, zone_sql
 
 TF = "1d"
 
@@ -22,32 +22,50 @@ def _strip(sql):
 
 
 # Monthly signal: month zones, five years of daily gaps, month indicators, season medians.
-_MONTH_BARS = """CAST(last_day(ts) AS TIMESTAMP) AS ts, arg_min(open, bars.ts) AS open, max(high) AS high, min(low) AS low,
+_AGGREGATES = """arg_min(open, bars.ts) AS open, max(high) AS high, min(low) AS low,
  arg_max(close, bars.ts) AS close, sum(volume) AS volume"""
-_ROWS = _strip(SUPPLIER_ROWS_SQL).replace(
-    f"FROM bars WHERE ts >= {AS_OF_SQL} - INTERVAL 24 MONTH",
-    f"FROM (SELECT symbol, {_MONTH_BARS} FROM bars GROUP BY 1, 2) WHERE ts >= {AS_OF_SQL} - INTERVAL 240 MONTH")
-assert "INTERVAL 240 MONTH" in _ROWS
+_SLOT_BARS = {tf: f"(SELECT symbol, {slot} AS ts, {_AGGREGATES} FROM bars GROUP BY 1, 2)" for tf, slot in _SLOT.items()}
 
-INPUT_SQL = f"""{SUPPLIER_SQL}, {_strip(CLIENT_SQL)}, {zone_sql('1mo', 'z_')},
- {gap_sql(f"WHERE ts >= {AS_OF_SQL} - INTERVAL 60 MONTH")}, {STATUS_SQL}, {_ROWS}{VOTES_SQL},
+def _rows_sql(tf):
+    days = f"FROM bars WHERE ts >= {AS_OF_SQL} - INTERVAL 24 MONTH"
+    months = {"1w": 60, "1mo": 240}[tf]
+    out = _strip(SUPPLIER_ROWS_SQL).replace(days, f"FROM {_SLOT_BARS[tf]} WHERE ts >= {AS_OF_SQL} - INTERVAL {months} MONTH")
+    assert days not in out
+    return out
+
+
+# Weekly gaps come from the shown history: five years, newest 120 weeks, prices to the cent.
+_WEEKS = f"""(SELECT symbol, ts, round(open, 2) AS open, round(high, 2) AS high, round(low, 2) AS low, round(close, 2) AS close
+ FROM {_SLOT_BARS['1w']} WHERE ts >= {AS_OF_SQL} - INTERVAL 60 MONTH QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY ts DESC) <= 120)"""
+_GAPS = {"1mo": gap_sql(f"WHERE ts >= {AS_OF_SQL} - INTERVAL 60 MONTH"), "1w": gap_sql(source=_WEEKS)}
+_MEDIANS = {"1mo": "SELECT symbol, max(median) FILTER (month = 11) AS cur, max(median) FILTER (month = 12) AS nxt FROM cpct GROUP BY 1",
+            "1w": "SELECT symbol, NULL::DOUBLE AS cur, NULL::DOUBLE AS nxt FROM cpct GROUP BY 1"}
+
+
+def input_sql(tf):
+    return f"""{SUPPLIER_SQL}, {_strip(CLIENT_SQL)}, {zone_sql(tf, 'z_')},
+ {_GAPS[tf]}, {STATUS_SQL}, {_rows_sql(tf)}{VOTES_SQL},
  og AS (SELECT st.symbol, st.pos, st.ord, a AS gs, b AS ge, (a + b) / 2 AS center, abs((a + b) / 2 - price) AS dist, price FROM st JOIN z_st ON z_st.symbol = st.symbol WHERE NOT closed),
  near_gap AS (SELECT symbol,
   arg_min({{'s': gs, 'e': ge, 'c': center, 'd': dist}}, (dist, ord, pos)) FILTER (center >= price) AS up,
   arg_min({{'s': gs, 'e': ge, 'c': center, 'd': dist}}, (dist, ord, pos)) FILTER (center < price) AS dn FROM og GROUP BY 1),
  prob AS (SELECT symbol, avg(CASE WHEN fill_ahead >= 50 THEN 100.0::DOUBLE ELSE 0 END) AS close_prob FROM la GROUP BY 1),
- med AS (SELECT symbol, max(median) FILTER (month = 11) AS cur, max(median) FILTER (month = 12) AS nxt FROM cpct GROUP BY 1),
+ med AS ({_MEDIANS[tf]}),
  inp AS (SELECT z_st.symbol, price, list_reverse_sort(list_filter(list_transform(s, lambda z: z.price), lambda q: q <= price)) AS sup,
   list_sort(list_filter(list_transform(r, lambda z: z.price), lambda q: q >= price)) AS res, state, state_strength, up, dn, close_prob, cur, nxt,
   general, strength, buy, sell, neutral FROM z_st LEFT JOIN near_gap USING (symbol) LEFT JOIN prob USING (symbol)
   LEFT JOIN summary USING (symbol) LEFT JOIN med USING (symbol) WHERE price > 0)"""
 
 
+INPUT_SQL = input_sql("1mo")
+
+
 def _cl(x, lo, hi):
     return f"least(greatest({x}, {lo}), {hi})"
 
 
-SIGNAL_SQL = f"""{INPUT_SQL},
+def signal_sql(tf):
+    return f"""{input_sql(tf)},
  k1 AS (SELECT *, CASE WHEN cur IS NULL OR nxt IS NULL THEN 0.0::DOUBLE ELSE {_cl('(nxt - cur) / 10', -1, 1)} END AS season,
   CASE WHEN nxt - cur > 0.15 THEN 'up' WHEN nxt - cur < -0.15 THEN 'down' ELSE 'neutral' END AS season_dir,
   CASE WHEN sup[1] IS NOT NULL AND res[1] IS NOT NULL THEN coalesce({_cl('((res[1] - price) - (price - sup[1])) / nullif((res[1] - price) + (price - sup[1]), 0)', -1, 1)}, 0)
@@ -81,6 +99,8 @@ SIGNAL_SQL = f"""{INPUT_SQL},
  sg AS (SELECT *, CASE WHEN tone = 'buy' AND mbuy AND bs >= 62 THEN CASE WHEN label = 'Compra forte' THEN 'Compra forte fine mese' ELSE 'Compra a fine mese' END
   WHEN tone = 'sell' AND msell AND bs <= 38 THEN CASE WHEN label = 'Vendi forte' THEN 'Vendi forte fine mese' ELSE 'Vendi fine mese' END ELSE label END AS shown FROM k17)"""
 
+
+SIGNAL_SQL = signal_sql("1mo")
 _PLAN_SQL = """, p0 AS (SELECT *, greatest(tg.s, tg.e) AS top, least(tg.s, tg.e) AS bot FROM sg WHERE tone <> 'neutral'),
  p1 AS (SELECT *, tone = 'buy' AS b, CASE WHEN tone = 'buy' THEN least(price, coalesce(sup[1] * 1.006, price * 0.996)) ELSE least(price, coalesce(res[1] * 0.985, price * 0.996)) END AS mn,
   CASE WHEN tone = 'buy' THEN greatest(price, coalesce(sup[1] * 1.015, price * 1.004)) ELSE greatest(price, coalesce(res[1] * 0.994, price * 1.004)) END AS mx,
@@ -96,13 +116,13 @@ _PLAN_SQL = """, p0 AS (SELECT *, greatest(tg.s, tg.e) AS top, least(tg.s, tg.e)
 
 
 def _signal(spark, sf, tf="1mo"):
-    return X.portfolio_signal(supplier_bars(spark, sf), AS_OF, tf)
+    return X.portfolio_signal(stored_supplier_bars(spark, sf), AS_OF, tf)
 
 
 @query("signal_fan_in", f"""WITH {INPUT_SQL} SELECT symbol, price, len(sup) AS n_support, len(res) AS n_resistance, state, round(up.c, 4) AS gap_up_center,
  round(dn.c, 4) AS gap_down_center, round(close_prob, 4) AS close_prob, round(cur, 2) AS current_median, round(nxt, 2) AS next_median, general, buy, sell, neutral FROM inp""")
 def _(spark, sf):
-    s = X.signal_inputs(supplier_bars(spark, sf), "1mo", AS_OF)
+    s = X.signal_inputs(stored_supplier_bars(spark, sf), "1mo", AS_OF)
     return s.select(
         "symbol", "price", F.size(Z.nearest_levels(F.col("support"), F.col("price"), True)).alias("n_support"),
         F.size(Z.nearest_levels(F.col("resistance"), F.col("price"), False)).alias("n_resistance"), "state",
@@ -173,15 +193,19 @@ def _(spark, sf):
                                      rr_tone(F.col("plan.risk_reward2")).alias("tone2"))
 
 
-# Week and day forms end in the label rules; their parts are checked above and in the tests.
-@query("label_for_timeframe")
+# The query date is a Sunday, so unsure weekly labels wait for the end of the week.
+_WEEK_LABEL = "CASE tone WHEN 'buy' THEN 'Compra' WHEN 'sell' THEN 'Vendi' ELSE 'Neutro' END"
+
+
+@query("label_for_timeframe", f"""WITH {signal_sql('1w')} SELECT symbol, {_WEEK_LABEL} AS label, CASE WHEN tone = 'neutral' OR conf >= 72 THEN {_WEEK_LABEL}
+ WHEN tone = 'buy' THEN 'Compra a fine settimana' ELSE 'Vendi a fine settimana' END AS display_label, tone, round(conf, 4) AS confidence_pct FROM sg""")
 def _(spark, sf):
     return _signal(spark, sf, "1w").select("symbol", "label", "display_label", "tone", rnd("confidence_pct", 4).alias("confidence_pct"))
 
 
 @query("timeframe_signal")
 def _(spark, sf):
-    daily = supplier_bars(spark, sf)
+    daily = stored_supplier_bars(spark, sf)
     out = None
     for tf in ("1d", "1w", "1mo"):
         s = X.timeframe_signal(daily, tf, AS_OF).select(
@@ -203,7 +227,7 @@ def _sr_sql(tf, prefix):
 SELECT timeframe, symbol, s AS support, r AS resistance, round(score_pct, 4) AS score_pct,
  CASE WHEN score_pct >= 20 THEN 'Compra' WHEN score_pct <= -20 THEN 'Vendi' ELSE 'Neutrale' END AS action FROM sc""")
 def _(spark, sf):
-    return X.sr_horizons(supplier_bars(spark, sf), AS_OF).select(
+    return X.sr_horizons(stored_supplier_bars(spark, sf), AS_OF).select(
         "timeframe", "symbol", F.col("s").alias("support"), F.col("r").alias("resistance"),
         rnd("score_pct", 4).alias("score_pct"), "action")
 

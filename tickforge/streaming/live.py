@@ -6,8 +6,6 @@ over the data that is there and returns the final state per key.
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator, Sequence
 
 import pandas as pd
@@ -16,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from tickforge.operators.portfolio import social_tickers
+from tickforge.sources.stored import scratch_folder
 
 WATERMARK = "1 day"
 SLOTS = {"1h": "1 hour", "4h": "4 hours", "1d": "1 day"}
@@ -82,12 +81,6 @@ def ticker_events(snapshots: DataFrame) -> DataFrame:
 
 # --- running a stream to the end of the available data -----------------------------------------
 
-def scratch(spark: SparkSession) -> str:
-    """A fresh folder below the cluster's checkpoint folder; a local one only where none is set."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tickforge-")
-    return f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
-
-
 def settle(stream: DataFrame, keys: Sequence[str], mode: str = "update") -> DataFrame:
     """Process what is available and return the last version of each key.
 
@@ -95,7 +88,7 @@ def settle(stream: DataFrame, keys: Sequence[str], mode: str = "update") -> Data
     a restart after a lost executor neither loses nor doubles rows. Nothing goes through the driver.
     """
     spark = stream.sparkSession
-    folder = scratch(spark)
+    folder = scratch_folder(spark, "stream")
 
     def write(batch: DataFrame, number: int) -> None:
         batch.withColumn("_batch", F.lit(number)).write.mode("overwrite").parquet(f"{folder}/rows/b{number}")
