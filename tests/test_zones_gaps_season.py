@@ -31,6 +31,9 @@ def test_gap_status_against_the_plain_loop(spark):
     by = {f.symbol[0]: f for f in frames}
     got = G.gap_status(rows).collect()
     assert len(got) > 60 and len({r["closed"] for r in got}) == 2
+    key = ("symbol", "pos", "ord", "closed", "fill_ahead")
+    light = {tuple(r) for r in G.gap_closed(rows).select(*key).collect()}
+    assert light == {tuple(r[k] for k in key) for r in got}
     for r in got:
         f = by[r["symbol"]]
         most, closed = 0.0, False

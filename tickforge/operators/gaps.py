@@ -101,6 +101,21 @@ def gap_lookahead(rows: DataFrame, n: int = LOOKAHEAD) -> DataFrame:
             .drop("ahead_low", "ahead_high"))
 
 
+def gap_closed(rows: DataFrame) -> DataFrame:
+    """All gaps with ``closed`` and ``fill_ahead`` only, where the fill at closing is not needed.
+
+    The largest fill of all later bars follows from their lowest low and highest high, so
+    running extremes from the newest bar backwards are enough: no search and no join.
+    """
+    later = (Window.partitionBy("symbol").orderBy(F.col("pos").desc())
+             .rowsBetween(Window.unboundedPreceding, -1))
+    ext = rows.withColumns({"later_low": F.min("low").over(later),
+                            "later_high": F.max("high").over(later)})
+    most = gap_fill_pct(F.col("later_low"), F.col("later_high"))
+    return (gap_lookahead(ext).withColumn("closed", F.coalesce(most >= CLOSE_AT, F.lit(False)))
+            .drop("later_low", "later_high"))
+
+
 def gap_status(rows: DataFrame) -> DataFrame:
     """All gaps with ``closed`` and ``fill_pct`` (fill at the first bar that closes the gap, or
     the largest fill if none does) and ``fill_ahead``.

@@ -321,7 +321,7 @@ def signal_inputs(daily: DataFrame, timeframe: str, as_of: dt.date) -> DataFrame
     z = Z.supply_demand(daily, timeframe, as_of)
     zones = z.select("symbol", "price", F.col("support.price").alias("support"),
                      F.col("resistance.price").alias("resistance"), "state", "state_strength")
-    status = G.gap_status(gap_rows(daily, timeframe, as_of))
+    status = G.gap_closed(gap_rows(daily, timeframe, as_of))
     prices = zones.select("symbol", "price")
     gaps = nearest_open_gaps(status, prices)
     prob = G.gap_close_probability(status)

@@ -12,8 +12,8 @@ def build_session(master: str | None = None, app_name: str = "tickforge",
         SparkSession.builder.appName(app_name)
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.python.sql.dataFrameDebugging.enabled", "false")
-        # methods beyond 8000 bytes are never compiled by the JVM: run such stages without fusion
-        .config("spark.sql.codegen.hugeMethodLimit", "8000")
+        # jobs with many stages outgrow the default of 100 compiled stages and compile them anew
+        .config("spark.sql.codegen.cache.maxEntries", "1000")
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
