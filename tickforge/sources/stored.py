@@ -2,16 +2,47 @@
 
 from __future__ import annotations
 
+import atexit
+import re
+import shutil
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+_FOLDERS: list[str] = []
+
+
+def shared_base(spark: SparkSession) -> str:
+    """The folder of ``spark.checkpoint.dir``. Only a session that is one process may go without:
+    it gets a temporary folder, removed at exit. Any other master must name a shared folder."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if base:
+        return base.rstrip("/")
+    if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+    base = tempfile.mkdtemp(prefix="tickforge-")
+    atexit.register(shutil.rmtree, base, ignore_errors=True)
+    spark.conf.set("spark.checkpoint.dir", base)
+    return base
+
 
 def scratch_folder(spark: SparkSession, kind: str) -> str:
-    """A fresh folder below the cluster's checkpoint folder; a local one only where none is set."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tickforge-")
-    return f"{base.rstrip('/')}/{kind}-{uuid.uuid4().hex}"
+    """A fresh folder below the shared one; ``clear_scratch`` removes it."""
+    folder = f"{shared_base(spark)}/{kind}-{uuid.uuid4().hex}"
+    _FOLDERS.append(folder)
+    return folder
+
+
+def clear_scratch(spark: SparkSession, *folders: str) -> None:
+    """Delete the given folders, or all that ``scratch_folder`` has handed out so far. Frames read
+    from them can't be computed any more."""
+    jvm, conf = spark._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    for folder in folders or tuple(_FOLDERS):
+        path = jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(conf).delete(path, True)
+        if folder in _FOLDERS:
+            _FOLDERS.remove(folder)
 
 
 def stored(df: DataFrame, kind: str = "bars") -> DataFrame:
