@@ -11,6 +11,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _FOLDERS: list[str] = []
+_OWN: list[str] = []
 
 
 def shared_base(spark: SparkSession) -> str:
@@ -21,10 +22,10 @@ def shared_base(spark: SparkSession) -> str:
         return base.rstrip("/")
     if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
         raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
-    base = tempfile.mkdtemp(prefix="tickforge-")
-    atexit.register(shutil.rmtree, base, ignore_errors=True)
-    spark.conf.set("spark.checkpoint.dir", base)
-    return base
+    if not _OWN:
+        _OWN.append(tempfile.mkdtemp(prefix="tickforge-"))
+        atexit.register(shutil.rmtree, _OWN[0], ignore_errors=True)
+    return _OWN[0]
 
 
 def scratch_folder(spark: SparkSession, kind: str) -> str:
