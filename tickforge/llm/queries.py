@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tickforge.llm import near_dedup, quality
+from tickforge.llm import decontamination, mixing, near_dedup, quality, secret_scan
 from tickforge.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -18,6 +19,16 @@ def query(fn: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSessio
     return fn
 
 
+@query
+def op3_secrets(spark: SparkSession, sf: str) -> DataFrame:
+    return secret_scan.report(table(spark, sf, "documents"))
+
+
+@query
+def op4_decontamination(spark: SparkSession, sf: str) -> DataFrame:
+    return decontamination.contaminated(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
+
+
 @query
 def op6_near_duplicates(spark: SparkSession, sf: str) -> DataFrame:
     return near_dedup.near_duplicates(table(spark, sf, "documents"), size=2).drop("rows")
@@ -26,3 +37,10 @@ def op6_near_duplicates(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def op7_quality(spark: SparkSession, sf: str) -> DataFrame:
     return quality.classify(table(spark, sf, "documents"), table(spark, sf, "labels"))
+
+
+@query
+def op10_mixing(spark: SparkSession, sf: str) -> DataFrame:
+    rows = mixing.mixed(table(spark, sf, "documents"))
+    return rows.select("doc_id", "source", "lang", F.col("_topic").alias("topic"), F.col("_tokens").alias("tokens"),
+                       F.round("_probability", 6).alias("probability"))
