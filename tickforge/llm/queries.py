@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickforge.llm import decontamination, mixing, near_dedup, quality, secret_scan
+from tickforge.llm import decontamination, mixing, near_dedup, quality, secret_scan, toxicity
 from tickforge.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -19,6 +19,11 @@ def query(fn: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSessio
     return fn
 
 
+@query
+def op1_toxicity(spark: SparkSession, sf: str) -> DataFrame:
+    return toxicity.classify(table(spark, sf, "documents"), table(spark, sf, "labels"))
+
+
 @query
 def op3_secrets(spark: SparkSession, sf: str) -> DataFrame:
     return secret_scan.report(table(spark, sf, "documents"))
