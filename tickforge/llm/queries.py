@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickforge.llm import decontamination, language_model, mixing, near_dedup, quality, secret_scan, toxicity
+from tickforge.llm import decontamination, language_model, mixing, near_dedup, quality, secret_scan, toxicity, vector_search
 from tickforge.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -44,6 +44,11 @@ def op7_quality(spark: SparkSession, sf: str) -> DataFrame:
     return quality.classify(table(spark, sf, "documents"), table(spark, sf, "labels"))
 
 
+@query
+def op8_vector_search(spark: SparkSession, sf: str) -> DataFrame:
+    return vector_search.nearest(table(spark, sf, "embeddings"))
+
+
 @query
 def op9_language_model(spark: SparkSession, sf: str) -> DataFrame:
     return language_model.score_all(table(spark, sf, "documents"))
