@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickforge.llm import decontamination, language_model, mixing, near_dedup, quality, secret_scan, toxicity, vector_search
+from tickforge.llm import chat, decontamination, language_model, mixing, near_dedup, quality, secret_scan, toxicity, vector_search
 from tickforge.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -24,6 +24,12 @@ def op1_toxicity(spark: SparkSession, sf: str) -> DataFrame:
     return toxicity.classify(table(spark, sf, "documents"), table(spark, sf, "labels"))
 
 
+@query
+def op2_chat(spark: SparkSession, sf: str) -> DataFrame:
+    rows = table(spark, sf, "conversations").select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), "role", "text")
+    return chat.read_back(chat.format_conversations(rows.union(chat.probe(spark))))
+
+
 @query
 def op3_secrets(spark: SparkSession, sf: str) -> DataFrame:
     return secret_scan.report(table(spark, sf, "documents"))
