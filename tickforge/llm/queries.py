@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickforge.llm import chat, decontamination, language_model, mixing, near_dedup, quality, secret_scan, toxicity, vector_search
+from tickforge.llm import chat, decontamination, language_model, mixing, near_dedup, quality, secret_scan, token_files, toxicity, vector_search
 from tickforge.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -40,6 +40,11 @@ def op4_decontamination(spark: SparkSession, sf: str) -> DataFrame:
     return decontamination.contaminated(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
 
 
+@query
+def op5_token_counts(spark: SparkSession, sf: str) -> DataFrame:
+    return token_files.token_counts(table(spark, sf, "documents"))
+
+
 @query
 def op6_near_duplicates(spark: SparkSession, sf: str) -> DataFrame:
     return near_dedup.near_duplicates(table(spark, sf, "documents"), size=2).drop("rows")
