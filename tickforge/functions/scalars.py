@@ -35,8 +35,14 @@ def percent_in_range(low: Column, high: Column, value: Column) -> Column:
     return F.coalesce(clamp_pct(F.try_divide(value - low, span) * 100), F.lit(0.0))
 
 
+def strip(x: Column) -> Column:
+    """Without white space of any kind at either end (``F.trim`` takes blanks only)."""
+    return F.regexp_replace(x, r"^[\s\u00a0]+|[\s\u00a0]+$", "")
+
+
 # --- tickers -----------------------------------------------------------------------------
 
+# Tickers that start with a number.
 DIGIT_LED = r"^\d+[A-Z]{1,6}(\.[A-Z]{1,3})?$"
 DIGIT_LED_BARE = r"^\d+[A-Z]{1,6}$"
 
@@ -50,7 +56,7 @@ NEWS_LOCALES = {".MI": ("IT", "it-IT"), ".L": ("GB", "en-GB"), ".DE": ("DE", "de
 
 
 def compact_upper(x: Column) -> Column:
-    return F.replace(F.upper(F.trim(x)), F.lit(" "), F.lit(""))
+    return F.replace(F.upper(strip(x)), F.lit(" "), F.lit(""))
 
 
 def _no_digits(x: Column) -> Column:
@@ -84,7 +90,7 @@ def fundamentals_candidates(x: Column) -> Column:
 
 
 def news_symbol(x: Column) -> Column:
-    s = F.regexp_replace(F.trim(F.upper(x)), "^[0-9]+", "")
+    s = F.regexp_replace(strip(F.upper(x)), "^[0-9]+", "")
     out = s
     for suffix in reversed(NEWS_SUFFIXES):
         cut = F.substring(s, F.lit(1), F.length(s) - len(suffix))
@@ -122,16 +128,16 @@ def _with_unit(s: Column) -> Column:
     scale = F.lit(1.0)
     for letter, factor in UNITS.items():
         scale = F.when(unit == letter, F.lit(factor)).otherwise(scale)
-    body = F.trim(F.when(has, F.substring(s, F.lit(1), F.length(s) - 1)).otherwise(s))
+    body = strip(F.when(has, F.substring(s, F.lit(1), F.length(s) - 1)).otherwise(s))
     return F.when(body.rlike(NUMBER), _finite(body.try_cast("double") * scale))
 
 
 def parse_number(x: Column) -> Column:
     """'1.2B', '5%', '1,234' -> number; texts without one -> null. Percent is a fraction."""
-    s = F.trim(F.replace(F.trim(x), F.lit(","), F.lit("")))
+    s = strip(F.replace(strip(x), F.lit(","), F.lit("")))
     bad = (s == "") | F.upper(s).isin(*NO_NUMBER)
     # the part before one or more percent signs is a number text again
-    base = F.trim(F.regexp_replace(s, r"[%\s]+$", ""))
+    base = strip(F.regexp_replace(s, r"[%\s]+$", ""))
     signs = F.length(s) - F.length(F.replace(s, F.lit("%"), F.lit("")))
     bad_base = (base == "") | F.upper(base).isin(*NO_NUMBER)
     percent = F.when(~bad_base, _with_unit(base)) / F.pow(F.lit(100.0), signs)
@@ -145,7 +151,7 @@ def parse_number_leaf(raw: Column, fmt: Column) -> Column:
 
 def to_text(raw: Column, fmt: Column | None = None) -> Column:
     fmt = F.lit(None).cast("string") if fmt is None else F.when(fmt != "", fmt)
-    return F.nullif(F.trim(F.coalesce(fmt, raw.cast("string"))), F.lit(""))
+    return F.nullif(strip(F.coalesce(fmt, raw.cast("string"))), F.lit(""))
 
 
 def normalize_row_key(x: Column) -> Column:
@@ -154,12 +160,13 @@ def normalize_row_key(x: Column) -> Column:
 
 def coerce_non_negative_int(x: Column, default: Column | int = 0) -> Column:
     default = F.lit(default) if isinstance(default, int) else default
-    n = x.try_cast("int")
+    n = F.when(strip(x.cast("string")).rlike(r"^[+-]?\d+$"), x.try_cast("bigint"))
     return F.coalesce(F.when(n >= 0, n), default)
 
 
 def coerce_float(x: Column, default: float = 0.0) -> Column:
-    return F.coalesce(_finite(x.try_cast("double")), F.lit(default))
+    s = strip(x.cast("string"))
+    return F.coalesce(_finite(F.when(s.rlike(NUMBER), s.try_cast("double"))), F.lit(default))
 
 
 def pick_keys(*cols: Column) -> Column:
@@ -172,7 +179,7 @@ EMPTY_LABELS = ("N/A", "NA", "N.D.", "N/D", "NULL", "NONE", "UNKNOWN", "-", "--"
 
 def pick_best_label(*cols: Column) -> Column:
     def meaningful(x):
-        t = F.trim(x)
+        t = strip(x)
         return F.when((t != "") & ~F.upper(t).isin(*EMPTY_LABELS), t)
     return F.coalesce(*[meaningful(c) for c in cols])
 

@@ -13,14 +13,15 @@ Two kinds of groups occur, and they are treated differently:
 
 from __future__ import annotations
 
+import math
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
-# Rows per EMA segment: decay powers stay inside the double range for spans >= 9 and a
-# whole segment outweighs everything older by 1e-13 for spans <= 200.
-SEGMENT = 3000
+# Rows per EMA segment: the inverse decay of the shortest span (2) stays below 1e96, and the value at
+# the end of a segment is carried in full, so every span and history length is exact.
+SEGMENT = 200
 
 
 def by_time(order: str = "ts") -> WindowSpec:
@@ -49,21 +50,29 @@ def in_segment() -> WindowSpec:
     return Window.partitionBy("symbol", "seg").orderBy("pos")
 
 
-def positioned(bars: DataFrame) -> DataFrame:
+def positioned(bars: DataFrame, segment: int = SEGMENT) -> DataFrame:
     """Add ``pos`` (0-based place in the symbol's history) and ``seg`` (EMA segment)."""
     out = bars.withColumn("pos", F.row_number().over(by_time()) - 1)
-    return out.withColumn("seg", F.floor(F.col("pos") / F.lit(SEGMENT)).cast("int"))
+    return out.withColumn("seg", F.floor(F.col("pos") / F.lit(segment)).cast("int"))
 
 
-def with_ema(series: DataFrame, specs: Mapping[str, tuple[str, int]]) -> DataFrame:
+def with_ema(series: DataFrame, specs: Mapping[str, tuple[str, int]], segment: int = SEGMENT) -> DataFrame:
     """Add exponential means ``{name: (source column, span)}`` that start at the first value.
 
     ``y0 = x0; y = a*x + (1-a)*y_prev`` is, inside a segment, a prefix sum of inversely decayed
-    terms; the value at the end of the previous segment is carried in with its remaining weight.
+    terms. Each segment's last row folds the own parts of all segments up to it into the full value,
+    which the next segment carries in with its remaining weight. ``segment`` is that of ``positioned``.
     """
-    k = F.col("pos") - F.col("seg") * F.lit(SEGMENT)
+    for _, span in specs.values():
+        if span < 1 or segment * math.log((span + 1) / max(span - 1, 1e-9)) > 300 and span > 1:
+            raise ValueError(f"span {span} does not fit segments of {segment} rows")
+    k = F.col("pos") - F.col("seg") * F.lit(segment)
     running = in_segment().rowsBetween(Window.unboundedPreceding, 0)
+    until = along().rowsBetween(Window.unboundedPreceding, 0)
     earlier = along().rowsBetween(Window.unboundedPreceding, -1)
+    last = k == segment - 1
+    plain = {name: F.col(source).cast("double") for name, (source, span) in specs.items() if span == 1}
+    specs = {name: v for name, v in specs.items() if v[1] > 1}
     part = {}
     for name, (source, span) in specs.items():
         alpha = 2.0 / (span + 1.0)
@@ -72,13 +81,21 @@ def with_ema(series: DataFrame, specs: Mapping[str, tuple[str, int]]) -> DataFra
         part[f"_part_{name}"] = (F.sum(weight * F.col(source) * F.pow(keep, -k)).over(running)
                                  * F.pow(keep, k))
     out = series.withColumns(part)
-    full = {}
+    tails, full = {}, {}
+    for name, (_, span) in specs.items():
+        whole = F.lit((1.0 - 2.0 / (span + 1.0)) ** segment)
+        ends = F.collect_list(F.when(last, F.col(f"_part_{name}"))).over(until)  # one value per segment
+        tails[f"_tail_{name}"] = F.when(last, _folded(ends, whole))
+    out = out.withColumns(tails)
     for name, (_, span) in specs.items():
         keep = F.lit(1.0 - 2.0 / (span + 1.0))
-        tail = F.when(k == SEGMENT - 1, F.col(f"_part_{name}"))
-        carry = F.coalesce(F.last(tail, ignorenulls=True).over(earlier), F.lit(0.0))
+        carry = F.coalesce(F.last(f"_tail_{name}", ignorenulls=True).over(earlier), F.lit(0.0))
         full[name] = F.col(f"_part_{name}") + carry * F.pow(keep, k + 1)
-    return out.withColumns(full).drop(*part)
+    return out.withColumns(full | plain).drop(*part, *tails)
+
+
+def _folded(ends: Column, whole: Column) -> Column:
+    return F.aggregate(ends, F.lit(0.0), lambda y, t: y * whole + t)
 
 
 def tail_rows(bars: DataFrame, n: int) -> DataFrame:

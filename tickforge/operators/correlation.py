@@ -18,6 +18,7 @@ from tickforge.functions.scalars import rnd
 from tickforge.operators.indicators import FEATURES
 
 FOLDS = 5
+HELD_KEYS = 2000  # keys a task holds before it hands their moments on: 10 MB
 ALPHAS = (1e-4, 1e-3, 1e-2, 3e-2, 1e-1, 3e-1)
 
 
@@ -44,6 +45,12 @@ def moments(rows: DataFrame, variables: Sequence[str]) -> DataFrame:
     """``(symbol, fold, n, mean, m)``: partial moments per task and key."""
     names = list(variables)
 
+    def frame(state: dict) -> pd.DataFrame:
+        return pd.DataFrame({
+            "symbol": [k[0] for k in state], "fold": [int(k[1]) for k in state],
+            "n": [v[0] for v in state.values()], "mean": [v[1].tolist() for v in state.values()],
+            "m": [v[2].ravel().tolist() for v in state.values()]})
+
     def reduce_task(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         state: dict = {}
         for pdf in batches:
@@ -53,10 +60,11 @@ def moments(rows: DataFrame, variables: Sequence[str]) -> DataFrame:
                 c = x - mean
                 part = (float(len(x)), mean, c.T @ c)
                 state[key] = _combine([state[key], part]) if key in state else part
-        yield pd.DataFrame({
-            "symbol": [k[0] for k in state], "fold": [int(k[1]) for k in state],
-            "n": [v[0] for v in state.values()], "mean": [v[1].tolist() for v in state.values()],
-            "m": [v[2].ravel().tolist() for v in state.values()]})
+                if len(state) >= HELD_KEYS:  # the second step merges parts of a key anyway
+                    yield frame(state)
+                    state = {}
+        if state:
+            yield frame(state)
 
     return rows.select("symbol", "fold", *names).mapInPandas(
         reduce_task, "symbol string, fold int, n double, mean array<double>, m array<double>")

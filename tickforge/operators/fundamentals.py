@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tickforge.sources.payloads import news_scan
 from tickforge.functions.scalars import news_symbol, rnd, ticker_candidates
 
 
@@ -41,7 +42,9 @@ def merge_missing_info(sources: DataFrame, fields: Sequence[str]) -> DataFrame:
 
 
 def news_with_fallback(wanted: DataFrame, news: DataFrame) -> DataFrame:
-    """Items under the symbol itself, else under its form without digits and exchange suffix."""
+    """Items under the symbol itself, else under its form without digits and exchange suffix. A symbol has
+    at most 100 items, cut before the join, so a ticker never meets a whole feed."""
+    news = news_scan(news)
     c = wanted.select("ticker", F.posexplode(F.array(F.col("ticker"), news_symbol(F.col("ticker"))))
                       .alias("priority", "symbol"))
     found = c.join(news, "symbol")

@@ -1,9 +1,9 @@
 """Technical indicators as series columns, and the votes on each symbol's newest bar.
 
 All functions take a positioned series (``functions.windows.positioned``) with clean OHLCV and
-add columns; unused ones are pruned by Catalyst, so a query pays for what it selects. Means and
-sums over short frames are window aggregates; long ones are differences of running sums, which
-costs the same for 50 and 200 rows.
+add columns; unused ones are pruned by Catalyst, so a query pays for what it selects. Means are
+window aggregates over their frame at every length: differences of running sums would lose the digits
+of small prices after large ones.
 """
 
 from __future__ import annotations
@@ -16,67 +16,33 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tickforge.functions.scalars import rnd
-from tickforge.functions.windows import along, positioned, roll, with_ema
+from tickforge.functions.windows import SEGMENT, along, positioned, roll, with_ema
 from tickforge.sources.bars import clean_bars, in_period
 
 MA_PERIODS = (10, 20, 50, 100, 200)
-LONG = 30  # frames above this length use running sums
-
-
-def so_far() -> WindowSpec:
-    return along().rowsBetween(Window.unboundedPreceding, 0)
-
-
 
 def _full(p: int) -> Column:
     return F.col("pos") >= F.lit(p - 1)
 
 
-def _steps_back(col: str, n: int) -> Column:
-    return F.coalesce(F.lag(col, n).over(along()), F.lit(0.0))
-
-
 def with_sma(s: DataFrame, periods: Iterable[int] = MA_PERIODS) -> DataFrame:
-    s = s.withColumn("_c", F.sum("close").over(so_far()))
-    out = {}
-    for p in periods:
-        if p <= LONG:
-            out[f"sma{p}"] = roll(F.avg, F.col("close"), p, along())
-        else:
-            out[f"sma{p}"] = F.when(_full(p), (F.col("_c") - _steps_back("_c", p)) / F.lit(float(p)))
-    return s.withColumns(out).drop("_c")
+    return s.withColumns({f"sma{p}": roll(F.avg, F.col("close"), p, along()) for p in periods})
 
 
-def with_ma_ema(s: DataFrame, periods: Iterable[int] = MA_PERIODS) -> DataFrame:
-    return with_ema(s, {f"ema{p}": ("close", p) for p in periods})
+def with_ma_ema(s: DataFrame, periods: Iterable[int] = MA_PERIODS, segment: int = SEGMENT) -> DataFrame:
+    return with_ema(s, {f"ema{p}": ("close", p) for p in periods}, segment)
 
 
 def with_wma(s: DataFrame, periods: Iterable[int]) -> DataFrame:
-    """Weights 1..p, newest heaviest. Short: one term per lag; long: two running sums."""
-    periods = sorted(set(periods))
-    short = [p for p in periods if p <= LONG]
-    long = [p for p in periods if p > LONG]
-    if short:
-        lags = {f"_l{j}": F.lag("close", j).over(along()) for j in range(1, max(short))}
-        s = s.withColumn("_l0", F.col("close")).withColumns(lags)
-        cols = {}
-        for p in short:
-            total = sum((F.col(f"_l{j}") * F.lit(float(p - j)) for j in range(1, p)),
-                        F.col("_l0") * F.lit(float(p)))
-            cols[f"wma{p}"] = total / F.lit(p * (p + 1) / 2)  # null until p bars exist
-        s = s.withColumns(cols).drop("_l0", *lags)
-    if long:
-        s = s.withColumns({
-            "_c": F.sum("close").over(so_far()),
-            "_pc": F.sum(F.col("pos") * F.col("close")).over(so_far())})
-        cols = {}
-        for p in long:
-            plain = F.col("_c") - _steps_back("_c", p)
-            placed = F.col("_pc") - _steps_back("_pc", p)
-            cols[f"wma{p}"] = F.when(_full(p), (placed - (F.col("pos") - p) * plain)
-                                     / F.lit(p * (p + 1) / 2))
-        s = s.withColumns(cols).drop("_c", "_pc")
-    return s
+    """Weights 1..p, newest heaviest: two sums over the frame, of closes and of places times closes."""
+    out = {}
+    for p in sorted(set(periods)):
+        frame = along().rowsBetween(-(p - 1), 0)
+        plain = F.sum("close").over(frame)
+        # the weight of a row is its place, counted from the row before the frame
+        placed = F.sum(F.col("pos") * F.col("close")).over(frame) - (F.col("pos") - p) * plain
+        out[f"wma{p}"] = F.when(_full(p), placed / F.lit(p * (p + 1) / 2))
+    return s.withColumns(out)
 
 
 def with_hma(s: DataFrame, periods: Iterable[int] = MA_PERIODS) -> DataFrame:

@@ -13,11 +13,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tickforge.functions.scalars import (coerce_float, coerce_non_negative_int, compact_upper,
-                                         pick_best_label, rnd)
-from tickforge.functions.windows import running_totals
+                                         pick_best_label, rnd, strip)
+from tickforge.functions.windows import numbered, running_totals
 
 SOCIAL_TICKERS, NAME_LENGTH, CLIENT_NAME_LENGTH = 12, 80, 40
 FEED_EVENTS, SAVED_EVENTS, KEPT_EVENTS = 6, 8, 120
+ID_BUCKET = 1000  # owners numbered in one task
 DEFAULT_NAME, DEFAULT_CATEGORY, NO_NAME = "Portafoglio", "Altro", "Posizione portafoglio"
 
 
@@ -46,7 +47,7 @@ def watchlist_positions(lists: DataFrame) -> DataFrame:
 # --- portfolio lists -----------------------------------------------------------------------------
 
 def _filled(x: Column) -> Column:
-    t = F.trim(x)
+    t = strip(x)
     return F.when(t != "", t)
 
 
@@ -133,25 +134,33 @@ def collection_normalize(docs: DataFrame) -> DataFrame:
 
 # --- snapshots -------------------------------------------------------------------------------------
 
-def portfolio_upsert(old: DataFrame, new: DataFrame, now: Column) -> DataFrame:
+def portfolio_upsert(old: DataFrame, new: DataFrame, now: Column, saved: DataFrame | None = None) -> DataFrame:
     """Stored table after an owner's list is saved: matched rows updated with ``created_at``
     and ``id`` kept, new ones added, missing ones of that owner removed.
 
-    Owners not in ``new`` stay. One full join on (owner, client id), which no single owner can
+    ``saved(owner_id)`` are the owners who saved, those of ``new`` if not given; an owner who saved an
+    empty list has no row in ``new`` and loses all. Other owners stay. New rows take the ids after the
+    largest one by owner and client id. One join on (owner, client id), which no single owner can
     skew because the client id is part of the key.
     """
-    owners = new.select("owner_id").distinct()
+    owners = (new if saved is None else saved).select("owner_id").distinct()
     touched = old.join(owners, "owner_id", "left_semi")
     untouched = old.join(owners, "owner_id", "left_anti")
     o = touched.select("owner_id", "client_id", "id", F.col("created_at").alias("_created"))
-    merged = new.join(o, ["owner_id", "client_id"], "left").withColumns({
+    given = new.drop("id").join(o, ["owner_id", "client_id"], "left").withColumns({
         "created_at": F.coalesce("_created", now), "updated_at": now}).drop("_created")
-    return untouched.unionByName(merged.select(*untouched.columns))
-
-
-def replace_missing(old: DataFrame, new: DataFrame) -> DataFrame:
-    """Stored rows that saving ``new`` deletes: the owner saved, the client id not in the list."""
-    owners = new.select("owner_id").distinct()
+    largest = old.agg(F.max("id")).first()[0] or 0
+    fresh = numbered(given.where(F.col("id").isNull()), [], [F.col("owner_id"), F.col("client_id")],
+                     F.floor(F.col("owner_id") / ID_BUCKET), "_no")
+    fresh = fresh.withColumn("id", (F.col("_no") + largest).cast(dict(old.dtypes)["id"]))
+    known = given.where(F.col("id").isNotNull())
+    return untouched.unionByName(known.select(*untouched.columns)).unionByName(fresh.select(*untouched.columns))
+
+
+def replace_missing(old: DataFrame, new: DataFrame, saved: DataFrame | None = None) -> DataFrame:
+    """Stored rows that saving ``new`` deletes: the owner saved (``saved(owner_id)``; those of ``new`` if not
+    given), the client id is not in the list."""
+    owners = (new if saved is None else saved).select("owner_id").distinct()
     return (old.join(owners, "owner_id", "left_semi")
             .join(new.select("owner_id", "client_id"), ["owner_id", "client_id"], "left_anti"))
 
@@ -271,16 +280,17 @@ def quote_refresh_merge(previous: DataFrame, fresh: DataFrame) -> DataFrame:
 def portfolio_summary(valued: DataFrame) -> DataFrame:
     """Invested, current value, summed return and count per portfolio: total, open, closed.
 
-    The return of a portfolio is the plain sum of its entries' percentages.
+    The return of a portfolio is the plain sum of its entries' percentages. Every portfolio has all three
+    scopes; sums without a number are 0.
     """
-    scope = F.when(F.grouping("status") == 1, "total") \
-        .otherwise(F.when(F.col("status") == "sold", "closed").otherwise("open"))
-    return valued.groupingSets(
-        [["owner_id", "portfolio_id"], ["owner_id", "portfolio_id", "status"]],
-        "owner_id", "portfolio_id", "status").agg(
-        scope.alias("scope"), F.sum("initial_price").alias("invested"),
-        F.sum("current_value").alias("current"), F.sum("value_return_pct").alias("return_pct"),
-        F.count(F.lit(1)).alias("n")).drop("status")
+    closed = F.col("status") == "sold"
+    scopes = {"total": F.lit(True), "open": ~closed, "closed": closed}
+    sums = {"invested": "initial_price", "current": "current_value", "return_pct": "value_return_pct"}
+    made = {f"_{s}_{n}": F.coalesce(F.sum(F.when(cond, F.col(c))), F.lit(0.0)) for s, cond in scopes.items() for n, c in sums.items()}
+    made |= {f"_{s}_n": F.count_if(cond) for s, cond in scopes.items()}
+    out = valued.groupBy("owner_id", "portfolio_id").agg(*[v.alias(k) for k, v in made.items()])
+    rows = [F.struct(F.lit(s).alias("scope"), *[F.col(f"_{s}_{n}").alias(n) for n in (*sums, "n")]) for s in scopes]
+    return out.select("owner_id", "portfolio_id", F.inline(F.array(*rows)))
 
 
 def category_counts(valued: DataFrame) -> DataFrame:
@@ -357,17 +367,11 @@ def feed_join(portfolios: DataFrame, users: DataFrame, likes: DataFrame, saves:
               viewer: int) -> DataFrame:
     """Portfolios with owner name, counts and the viewer's own flags.
 
-    Counts are aggregated before the join and the viewer's rows are unique by portfolio, so
-    every join keeps one row per portfolio.
+    Counts and the viewer's flag are one aggregate per reaction table before the join, so every join
+    keeps one row per portfolio.
     """
-    def mine(reactions, flag):
-        return reactions.where(F.col("user_id") == viewer).select(
-            F.col("portfolio_id").alias("id"), F.lit(True).alias(flag))
-
     u = users.select(F.col("id").alias("owner_id"), F.col("username").alias("owner_username"))
-    out = _with_counts(portfolios.join(u, "owner_id"), likes, saves)
-    out = out.join(mine(likes, "viewer_liked"), "id", "left").join(mine(saves, "viewer_saved"), "id", "left")
-    return out.fillna(False, ["viewer_liked", "viewer_saved"]) \
+    return _with_reactions(portfolios.join(u, "owner_id"), likes, saves, viewer) \
         .withColumn("return_pct", rnd(coerce_float(F.col("return_pct")), 2))
 
 
@@ -377,19 +381,25 @@ def feed_order(feed: DataFrame) -> DataFrame:
 
 def saved_join(portfolios: DataFrame, users: DataFrame, likes: DataFrame, saves: DataFrame,
                user: int) -> DataFrame:
+    """Portfolios the user saved, newest save first."""
     mine = saves.where(F.col("user_id") == user).select(
         F.col("portfolio_id").alias("id"), F.col("created_at").alias("saved_at"))
     u = users.select(F.col("id").alias("owner_id"), F.col("username").alias("owner_username"))
-    return _with_counts(portfolios.join(mine, "id").join(u, "owner_id"), likes, saves)
+    out = _with_counts(portfolios.join(mine, "id").join(u, "owner_id"), likes, saves)
+    return out.orderBy(F.col("saved_at").desc(), F.col("id").desc())
 
 
 def reaction_snapshot(portfolios: DataFrame, likes: DataFrame, saves: DataFrame, viewer: int) -> DataFrame:
     """Counts and the viewer's flags in one aggregate per reaction table."""
+    return _with_reactions(portfolios.select("id"), likes, saves, viewer)
+
+
+def _with_reactions(portfolios: DataFrame, likes: DataFrame, saves: DataFrame, viewer: int) -> DataFrame:
     def one(reactions, count, flag):
         return reactions.groupBy(F.col("portfolio_id").alias("id")).agg(
             F.count(F.lit(1)).alias(count), F.bool_or(F.col("user_id") == viewer).alias(flag))
 
-    out = portfolios.select("id").join(one(likes, "likes_count", "viewer_liked"), "id", "left") \
+    out = portfolios.join(one(likes, "likes_count", "viewer_liked"), "id", "left") \
         .join(one(saves, "saves_count", "viewer_saved"), "id", "left")
     return out.fillna(0, ["likes_count", "saves_count"]).fillna(False, ["viewer_liked", "viewer_saved"])
 

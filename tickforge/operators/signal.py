@@ -194,8 +194,8 @@ def signal_label(df: DataFrame) -> DataFrame:
 def execution_plan(df: DataFrame, tone: str = "tone") -> DataFrame:
     """Entry band, stop, two targets and two risk/reward ratios.
 
-    A short plan is the long plan with levels and comparisons mirrored; each side uses its own
-    band factors.
+    Without a level or gap to aim at, the first target is 1.6 risks from the current price (not from
+    the band's end); the second is 0.9 of the first step beyond the first.
     """
     df = df.selectExpr("*", "get(supports, 0) AS _s1", "get(supports, 1) AS _s2",
                        "get(resistances, 0) AS _r1", "get(resistances, 1) AS _r2",
@@ -210,8 +210,8 @@ def execution_plan(df: DataFrame, tone: str = "tone") -> DataFrame:
         f"WHEN 'sell' THEN coalesce(_r1 * 1.008D, price * 1.028D) END AS _stop")
     df = df.selectExpr(
         "*", f"CASE {tone} WHEN 'buy' THEN coalesce(array_min(filter(array(_r1, _top), x -> x > _max)), "
-        "_max + (_max - _stop) * 1.6D) WHEN 'sell' THEN coalesce(array_max(filter(array(_s1, _bottom), "
-        "x -> x < _min)), _min - (_stop - _min) * 1.6D) END AS _t1")
+        "price + (_max - _stop) * 1.6D) WHEN 'sell' THEN coalesce(array_max(filter(array(_s1, _bottom), "
+        "x -> x < _min)), price - (_stop - _min) * 1.6D) END AS _t1")
     df = df.selectExpr(
         "*", f"CASE {tone} WHEN 'buy' THEN coalesce(array_min(filter(array(_r2, _top), x -> x > _t1)), "
         "_t1 + (_t1 - _max) * 0.9D) WHEN 'sell' THEN coalesce(array_max(filter(array(_s2, _bottom), "
@@ -256,23 +256,29 @@ def _settled(df: DataFrame) -> DataFrame:
 def unified_signal(df: DataFrame, as_of: dt.date, use_filter: bool = True,
                    states: dict[str, int] | None = None) -> DataFrame:
     """All stages in order; symbols without a positive price get the neutral default."""
-    valid = F.col("price") > 0
-    s = season_score(df.where(valid))
+    s = season_score(df)
     s = _settled(gap_score(sr_score(s)))
     s = market_score(tech_score(s, use_filter), states)
     s = _settled(denial_and_setup(s, use_filter))
     s = directional_score(month_end_bonus(s, as_of), use_filter)
     s = _settled(votes(s, use_filter))
     s = _settled(signal_label(confidence(s, use_filter)))
-    return _settled(execution_plan(s))
+    return or_neutral(_settled(execution_plan(s)))
 
 
-def no_price_signal(df: DataFrame) -> DataFrame:
-    """The answer for symbols without a usable price."""
-    return df.where(~F.coalesce(F.col("price") > 0, F.lit(False))).select(
-        "symbol", F.lit("Neutro").alias("label"), F.lit("Neutro").alias("display_label"),
-        F.lit("neutral").alias("tone"), F.lit(0.0).alias("score"), F.lit(50.0).alias("score_pct"),
-        F.lit(0.0).alias("confidence_pct"), F.lit("Dati insufficienti").alias("regime"))
+# The answer for symbols without a usable price.
+NEUTRAL = {"label": "Neutro", "display_label": "Neutro", "tone": "neutral", "score": 0.0, "score_pct": 50.0,
+           "confidence_pct": 0.0, "regime": "Dati insufficienti", "target_direction": "none", "target_gap": None, "plan": None,
+           "season_score": 0.0, "gap_score": 0.0, "sr_score": 0.0, "tech_score": 0.0, "market_score": 0.0,
+           "month_end_bonus": 0, "consensus": 0.0, "bullish": 0, "bearish": 0, "alignment": 0.0}
+
+
+def or_neutral(signal: DataFrame) -> DataFrame:
+    """Columns of ``NEUTRAL`` replaced where the price is missing or not positive; no row is lost."""
+    valid = F.coalesce(F.col("price") > 0, F.lit(False))
+    types = dict(signal.dtypes)
+    return signal.withColumns({c: F.when(valid, F.col(c)).otherwise(F.lit(v).cast(types[c]))
+                               for c, v in NEUTRAL.items() if c in types})
 
 
 # --- gathering the parts ---------------------------------------------------------------------
@@ -302,8 +308,10 @@ def season_medians(daily: DataFrame, as_of: dt.date) -> DataFrame:
 
 
 def timeframe_bars(daily: DataFrame, timeframe: str) -> DataFrame:
-    rule = {"1w": "W-FRI", "1mo": "ME"}.get(timeframe)
-    return resample(daily, rule) if rule else daily
+    rules = {"1d": None, "1w": "W-FRI", "1mo": "ME"}
+    if timeframe not in rules:
+        raise ValueError(f"daily bars give no {timeframe} bars")
+    return resample(daily, rules[timeframe]) if rules[timeframe] else daily
 
 
 def gap_rows(daily: DataFrame, timeframe: str, as_of: dt.date) -> DataFrame:
@@ -317,7 +325,7 @@ def gap_rows(daily: DataFrame, timeframe: str, as_of: dt.date) -> DataFrame:
 
 
 def signal_inputs(daily: DataFrame, timeframe: str, as_of: dt.date) -> DataFrame:
-    """Six parts joined by symbol, each already one row per symbol."""
+    """Six parts joined by symbol, each already one row per symbol; every symbol with a bar has one."""
     z = Z.supply_demand(daily, timeframe, as_of)
     zones = z.select("symbol", "price", F.col("support.price").alias("support"),
                      F.col("resistance.price").alias("resistance"), "state", "state_strength")
@@ -327,7 +335,8 @@ def signal_inputs(daily: DataFrame, timeframe: str, as_of: dt.date) -> DataFrame
     prob = G.gap_close_probability(status)
     tech = tech_summary(vote_counts(technicals_rows(timeframe_bars(daily, timeframe), timeframe, as_of)))
     tech = tech.select("symbol", "general", "strength", "buy", "sell", "neutral")
-    out = (zones.join(gaps, "symbol", "left").join(prob, "symbol", "left")
+    out = (daily.select("symbol").distinct().join(zones, "symbol", "left")
+           .join(gaps, "symbol", "left").join(prob, "symbol", "left")
            .join(tech, "symbol", "left"))
     if timeframe == "1mo":
         return out.join(season_medians(daily, as_of), "symbol", "left")
@@ -371,13 +380,14 @@ def sr_only_signal(zones: DataFrame) -> DataFrame:
 
 def sr_horizons(daily: DataFrame, as_of: dt.date) -> DataFrame:
     """The level-only signal on day, week and month zones against the daily price."""
-    price = Z.supply_demand(daily, "1d", as_of).select("symbol", "price")
+    price = daily.select("symbol").distinct().join(
+        Z.supply_demand(daily, "1d", as_of).select("symbol", "price"), "symbol", "left")
     out = None
     for tf in ("1d", "1w", "1mo"):
         z = Z.supply_demand(daily, tf, as_of).select(
             "symbol", F.col("support.price").alias("support"),
             F.col("resistance.price").alias("resistance"))
-        part = sr_only_signal(z.join(price, "symbol")).withColumn("timeframe", F.lit(tf))
+        part = sr_only_signal(price.join(z, "symbol", "left")).withColumn("timeframe", F.lit(tf))
         out = part if out is None else out.unionByName(part)
     return out
 

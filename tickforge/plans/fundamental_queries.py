@@ -452,7 +452,7 @@ def _(spark, sf):
 
 
 @query("news_join_fallback", """WITH w AS (SELECT DISTINCT CASE WHEN event_id % 2 = 0 THEN '7' || upper(event_type) || '.MI' ELSE upper(event_type) END AS ticker, upper(event_type) AS base FROM events)
-SELECT ticker, base AS source_ticker, count(*) AS n FROM w JOIN events ON upper(event_type) = base GROUP BY 1, 2""")
+SELECT ticker, base AS source_ticker, least(count(*), 100) AS n FROM w JOIN events ON upper(event_type) = base GROUP BY 1, 2""")
 def _(spark, sf):
     e = table(spark, sf, "events")
     kind = F.upper("event_type")

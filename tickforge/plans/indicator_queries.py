@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tickforge.functions.scalars import rnd
-from tickforge.functions.windows import positioned
+from tickforge.functions.windows import SEGMENT, positioned
 from tickforge.operators import indicators as I
 from tickforge.plans.data import AS_OF, AS_OF_SQL, DAY_SQL, FLAG_SQL, SUPPLIER_SQL, day, flag_bars, supplier_bars
 from tickforge.plans.registry import query
@@ -92,18 +92,20 @@ def _series_sql(bars_sql=SUPPLIER_SQL, where=""):
 _SERIES = _series_sql()
 
 
-def _indicator(name, cols, build, digits=2, bars=supplier_bars, chain=_SERIES):
+def _indicator(name, cols, build, digits=2, bars=supplier_bars, chain=_SERIES, segment=SEGMENT):
     sql = (f"WITH {chain} SELECT symbol, {DAY_SQL} AS day, "
            + ", ".join(f"round({c}, {digits}) AS {c}" for c in cols) + " FROM s5")
 
     @query(name, sql)
     def _(spark, sf):
-        s = build(positioned(clean_bars(bars(spark, sf))))
+        s = build(positioned(clean_bars(bars(spark, sf)), segment))
         return s.select("symbol", day().alias("day"), *[rnd(c, digits).alias(c) for c in cols])
 
 
 _indicator("sma", [f"sma{p}" for p in P], I.with_sma)
 _indicator("ema", [f"ema{p}" for p in P], I.with_ma_ema)
+# histories of many short segments: the carried value matters
+_indicator("ema_segments", [f"ema{p}" for p in P], lambda s: I.with_ma_ema(s, segment=16), segment=16)
 _indicator("wma", [f"wma{p}" for p in P], lambda s: I.with_wma(s, P))
 _indicator("hma", [f"hma{p}" for p in P], I.with_hma)
 _indicator("tema", [f"tema{p}" for p in P], I.with_tema)

@@ -123,8 +123,9 @@ def _(spark, sf):
     return O.quote_refresh_merge(old, new)
 
 
-@query("portfolio_summary", f"""WITH {_POS_SQL}, u AS (SELECT *, 'total' AS scope FROM valued UNION ALL SELECT *, CASE WHEN status = 'sold' THEN 'closed' ELSE 'open' END FROM valued)
-SELECT owner_id, portfolio_id, scope, round(sum(ip), 2) AS invested, round(sum(current_value), 2) AS current, round(sum(ret), 2) AS return_pct, count(*) AS n FROM u GROUP BY 1, 2, 3""")
+@query("portfolio_summary", f"""WITH {_POS_SQL}, u AS (SELECT *, unnest(['total', 'open', 'closed']) AS scope FROM valued), k AS (SELECT *, scope = 'total' OR (scope = 'closed') = (status = 'sold') AS has FROM u)
+SELECT owner_id, portfolio_id, scope, round(coalesce(sum(ip) FILTER (has), 0), 2) AS invested, round(coalesce(sum(current_value) FILTER (has), 0), 2) AS current,
+ round(coalesce(sum(ret) FILTER (has), 0), 2) AS return_pct, count(*) FILTER (has) AS n FROM k GROUP BY 1, 2, 3""")
 def _(spark, sf):
     s = O.portfolio_summary(valued(spark, sf))
     return s.select("owner_id", "portfolio_id", "scope", rnd("invested", 2).alias("invested"),
@@ -359,21 +360,27 @@ def _snapshots(spark, sf):
     return old, new
 
 
-@query("portfolio_upsert", f"""WITH {_SOCIAL}, old AS (SELECT * FROM sp WHERE client_id <> '5-LOW'), new AS (SELECT * FROM sp WHERE owner_id % 3 <> 0 AND client_id <> '1-URGENT')
-SELECT owner_id, client_id, old.id AS id, round(new.return_pct + 1, 2) AS return_pct, new.name || ' v2' AS name, strftime(coalesce(old.created_at, TIMESTAMP '2001-11-04'), '%Y-%m-%d') AS created FROM new LEFT JOIN old USING (owner_id, client_id)
-UNION ALL SELECT owner_id, client_id, id, return_pct, name, strftime(created_at, '%Y-%m-%d') FROM old WHERE owner_id NOT IN (SELECT owner_id FROM new)""")
+def _saved(spark, sf):
+    """Owners who saved: those of the new lists, and every ninth with an empty list."""
+    return portfolios(spark, sf).where("owner_id % 3 <> 0 OR owner_id % 9 = 0").select("owner_id").distinct()
+
+
+@query("portfolio_upsert", f"""WITH {_SOCIAL}, old AS (SELECT * FROM sp WHERE client_id <> '5-LOW'), new AS (SELECT * FROM sp WHERE owner_id % 3 <> 0 AND client_id <> '1-URGENT'),
+ fresh AS (SELECT owner_id, client_id, row_number() OVER (ORDER BY owner_id, client_id) + (SELECT max(id) FROM old) AS nid FROM new ANTI JOIN old USING (owner_id, client_id))
+SELECT owner_id, client_id, coalesce(old.id, nid) AS id, round(new.return_pct + 1, 2) AS return_pct, new.name || ' v2' AS name, strftime(coalesce(old.created_at, TIMESTAMP '2001-11-04'), '%Y-%m-%d') AS created FROM new LEFT JOIN old USING (owner_id, client_id) LEFT JOIN fresh USING (owner_id, client_id)
+UNION ALL SELECT owner_id, client_id, id, return_pct, name, strftime(created_at, '%Y-%m-%d') FROM old WHERE owner_id % 3 = 0 AND owner_id % 9 <> 0""")
 def _(spark, sf):
     old, new = _snapshots(spark, sf)
-    u = O.portfolio_upsert(old, new, F.lit(AS_OF).cast("timestamp_ntz"))
+    u = O.portfolio_upsert(old, new, F.lit(AS_OF).cast("timestamp_ntz"), _saved(spark, sf))
     return u.select("owner_id", "client_id", "id", rnd("return_pct", 2).alias("return_pct"), "name",
                     F.date_format("created_at", "yyyy-MM-dd").alias("created"))
 
 
 @query("replace_missing", f"""WITH {_SOCIAL}, old AS (SELECT * FROM sp WHERE client_id <> '5-LOW'), new AS (SELECT * FROM sp WHERE owner_id % 3 <> 0 AND client_id <> '1-URGENT')
-SELECT id, owner_id, client_id FROM old WHERE owner_id IN (SELECT owner_id FROM new) AND (owner_id, client_id) NOT IN (SELECT (owner_id, client_id) FROM new)""")
+SELECT id, owner_id, client_id FROM old WHERE (owner_id % 9 = 0 OR owner_id % 3 <> 0) AND (owner_id, client_id) NOT IN (SELECT (owner_id, client_id) FROM new)""")
 def _(spark, sf):
     old, new = _snapshots(spark, sf)
-    return O.replace_missing(old, new).select("id", "owner_id", "client_id")
+    return O.replace_missing(old, new, _saved(spark, sf)).select("id", "owner_id", "client_id")
 
 
 @query("ticker_diff_events", f"""WITH {_SOCIAL}, tk AS (SELECT id, owner_id, client_id, ticker FROM (SELECT id, owner_id, client_id, ticker, min(o_orderkey) AS p FROM so GROUP BY 1, 2, 3, 4)

@@ -105,8 +105,8 @@ _PLAN_SQL = """, p0 AS (SELECT *, greatest(tg.s, tg.e) AS top, least(tg.s, tg.e)
  p1 AS (SELECT *, tone = 'buy' AS b, CASE WHEN tone = 'buy' THEN least(price, coalesce(sup[1] * 1.006, price * 0.996)) ELSE least(price, coalesce(res[1] * 0.985, price * 0.996)) END AS mn,
   CASE WHEN tone = 'buy' THEN greatest(price, coalesce(sup[1] * 1.015, price * 1.004)) ELSE greatest(price, coalesce(res[1] * 0.994, price * 1.004)) END AS mx,
   CASE WHEN tone = 'buy' THEN coalesce(sup[1] * 0.992, price * 0.972) ELSE coalesce(res[1] * 1.008, price * 1.028) END AS stop FROM p0),
- p2 AS (SELECT *, CASE WHEN b THEN coalesce(list_min(list_filter([res[1], top], lambda q: q > mx)), mx + (mx - stop) * 1.6)
-  ELSE coalesce(list_max(list_filter([sup[1], bot], lambda q: q < mn)), mn - (stop - mn) * 1.6) END AS t1 FROM p1),
+ p2 AS (SELECT *, CASE WHEN b THEN coalesce(list_min(list_filter([res[1], top], lambda q: q > mx)), price + (mx - stop) * 1.6)
+  ELSE coalesce(list_max(list_filter([sup[1], bot], lambda q: q < mn)), price - (stop - mn) * 1.6) END AS t1 FROM p1),
  p3 AS (SELECT *, CASE WHEN b THEN coalesce(list_min(list_filter([res[2], top], lambda q: q > t1)), t1 + (t1 - mx) * 0.9)
   ELSE coalesce(list_max(list_filter([sup[2], bot], lambda q: q < t1)), t1 - (mn - t1) * 0.9) END AS t2,
   CASE WHEN b THEN greatest(mx - stop, 1e-9) ELSE greatest(stop - mn, 1e-9) END AS risk FROM p2)
@@ -185,6 +185,26 @@ def _(spark, sf):
     return _signal(spark, sf).where(F.col("plan").isNotNull()).select("symbol", "plan.*")
 
 
+# Day zones with a tone and without some of their levels, by rules on the supplier: every fallback is reached.
+_HOLES = {"tone": "CASE WHEN k % 2 = 0 THEN 'buy' ELSE 'sell' END", "sup": "k % 3 = 0", "res": "k % 5 < 2"}
+
+
+@query("execution_plan_fallbacks", f"""WITH {SUPPLIER_SQL}, {zone_sql('1d')}, k AS (SELECT *, CAST(symbol AS BIGINT) AS k FROM st WHERE price > 0),
+ sg AS (SELECT symbol, price, {_HOLES['tone']} AS tone, CASE WHEN {_HOLES['sup']} THEN [] ELSE list_reverse_sort(list_filter(list_transform(s, lambda z: z.price), lambda q: q <= price)) END AS sup,
+  CASE WHEN {_HOLES['res']} THEN [] ELSE list_sort(list_filter(list_transform(r, lambda z: z.price), lambda q: q >= price)) END AS res,
+  CASE WHEN k % 7 = 0 THEN {{'s': price * 1.1, 'e': price * 1.2}} END AS tg FROM k){_PLAN_SQL}""")
+def _(spark, sf):
+    z = Z.supply_demand(supplier_bars(spark, sf), TF, AS_OF).withColumn("k", F.col("symbol").cast("long")).where("price > 0")
+
+    def level(prices, below, hole):
+        return F.when(F.expr(hole), F.array().cast("array<double>")).otherwise(Z.nearest_levels(F.col(prices), F.col("price"), below))
+
+    gap = F.struct((F.col("price") * 1.1).alias("start"), (F.col("price") * 1.2).alias("end"))
+    rows = z.select("symbol", "price", F.expr(_HOLES["tone"]).alias("tone"), level("support.price", True, _HOLES["sup"]).alias("supports"),
+                    level("resistance.price", False, _HOLES["res"]).alias("resistances"), F.when(F.col("k") % 7 == 0, gap).alias("target_gap"))
+    return X.execution_plan(rows).select("symbol", "plan.*")
+
+
 @query("rr_tone", f"""WITH {SIGNAL_SQL}, pl AS (SELECT * FROM ({_PLAN_SQL.replace(', p0 AS', 'WITH p0 AS', 1)}))
 SELECT symbol, CASE WHEN risk_reward1 IS NULL THEN 'neutral' WHEN risk_reward1 >= 1.5 THEN 'strong' WHEN risk_reward1 >= 1 THEN 'ok' ELSE 'weak' END AS tone1,
  CASE WHEN risk_reward2 IS NULL THEN 'neutral' WHEN risk_reward2 >= 1.5 THEN 'strong' WHEN risk_reward2 >= 1 THEN 'ok' ELSE 'weak' END AS tone2 FROM sg LEFT JOIN pl USING (symbol)""")

@@ -7,7 +7,7 @@ import datetime as dt
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tickforge.functions.scalars import rnd
+from tickforge.functions.scalars import rnd, strip
 from tickforge.functions.windows import by_time, tail_rows
 
 OHLCV = ("open", "high", "low", "close", "volume")
@@ -84,12 +84,18 @@ def in_period(bars: DataFrame, analysis: str, timeframe: str, as_of: dt.date) ->
     return bars.where(F.col("ts") >= start.cast("timestamp_ntz"))
 
 
+# numbers as texts, also infinities, which cleaning keeps
+NUMERIC = r"^[+-]?((\d+\.?\d*|\.\d+)([eE][+-]?\d+)?|(?i:inf|infinity))$"
+DATED = r"^\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2}(:\d{2}(\.\d+)?)?$"
+
+
 def _number(name: str, present: set[str]) -> Column:
     if name not in present:
         return F.lit(None).cast("double")
     text = F.col(name)
     value = text.try_cast("double")
-    return F.when(~F.isnan(value), value)
+    # a text must be a plain number: the cast alone takes suffixes like 3d
+    return F.when(~F.isnan(value) & strip(text.cast("string")).rlike(NUMERIC), value)
 
 
 def clean_bars(bars: DataFrame, fill_volume: bool = True) -> DataFrame:
@@ -128,13 +134,14 @@ def bar_date(interval: str, ts: Column) -> Column:
 def valid_gap_rows(rows: DataFrame) -> DataFrame:
     """Rows ``(symbol, idx, date, open..close)`` with a readable date and finite prices.
 
-    ``date`` may be ``yyyy-MM`` (day 1). ``idx`` is the place before the filter and is kept;
+    ``date`` may be ``yyyy-MM`` (day 1) or carry a time. ``idx`` is the place before the filter and is kept;
     ``pos`` is the place after it, which all gap rules use.
     """
-    day = F.coalesce(F.try_to_date("date", "yyyy-MM-dd"),
-                     F.try_to_date(F.concat("date", F.lit("-01")), "yyyy-MM-dd"))
+    day = F.coalesce(F.try_to_date("date", "yyyy-MM-dd").cast("timestamp_ntz"),
+                     F.try_to_date(F.concat("date", F.lit("-01")), "yyyy-MM-dd").cast("timestamp_ntz"),
+                     F.when(F.col("date").rlike(DATED), F.col("date").try_cast("timestamp_ntz")))
     num = {c: F.col(c).try_cast("double") for c in ("open", "high", "low", "close")}
-    out = rows.select("symbol", "idx", "date", day.cast("timestamp_ntz").alias("ts"),
+    out = rows.select("symbol", "idx", "date", day.alias("ts"),
                       *[c.alias(n) for n, c in num.items()])
     keep = F.col("ts").isNotNull()
     for c in num:
