@@ -19,6 +19,11 @@ def bounded_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
+def unused(docs: DataFrame) -> str:
+    """A prefix with which no column name of ``docs`` can begin."""
+    return "_" * (1 + max(map(len, docs.columns)))
+
+
 def fold_of(doc_id: str, folds: int) -> Column:
     """crc32 of the id as text, modulo ``folds``; -1 for a null id."""
     return F.coalesce(F.crc32(F.col(doc_id).cast("string")) % folds, F.lit(-1))

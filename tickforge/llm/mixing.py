@@ -11,12 +11,14 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
+from tickforge.llm.common import unused
 from tickforge.sources.stored import stored
 
 MARGINS = ("source", "lang", "topic")
 BUDGET, TEMPERATURE, SEED = 0.5, 0.5, "mix-1"
-TOLERANCE, MOST_ROUNDS = 1e-10, 60
+TOLERANCE, ROUNDS, MOST_ROUNDS = 1e-9, 6, 60
 WORD = r"[^\x20\x09-\x0D]+"
 LANGUAGES = {"en": 0.4, "de": 0.2, "fr": 0.2, "es": 0.2}
 TOPICS = {"legal": 0.05, "contact": 0.1, "table": 0.1, "note": 0.15, "prose": 0.6}
@@ -30,11 +32,12 @@ def topic_of(text: Column) -> Column:
             .when(F.length(text) < 400, "note").otherwise("prose"))
 
 
-def described(docs: DataFrame) -> DataFrame:
-    """``docs`` columns plus ``_source``, ``_lang``, ``_topic``, ``_tokens``; null values of a margin are one value, ''."""
-    return docs.withColumns({"_source": F.coalesce(F.col("source").cast("string"), F.lit("")),
-                             "_lang": F.coalesce(F.col("lang").cast("string"), F.lit("")), "_topic": topic_of(F.col("text")),
-                             "_tokens": F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")})
+def described(docs: DataFrame, own: str = "_") -> DataFrame:
+    """``docs`` columns plus ``_source``, ``_lang``, ``_topic``, ``_tokens`` (beginning with ``own``); null values of a margin
+    are one value, ''."""
+    return docs.withColumns({f"{own}source": F.coalesce(F.col("source").cast("string"), F.lit("")),
+                             f"{own}lang": F.coalesce(F.col("lang").cast("string"), F.lit("")), f"{own}topic": topic_of(F.col("text")),
+                             f"{own}tokens": F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")})
 
 
 def cells_of(docs: DataFrame) -> DataFrame:
@@ -50,13 +53,15 @@ def shares(spark: SparkSession, given: dict[str, float]) -> DataFrame:
 
 
 def targets(cells: DataFrame, margin: str, given: DataFrame) -> DataFrame:
-    """``(value, target)`` summing to 1 over the values that occur. A value that ``given(value, weight)``
-    does not name keeps its own share of the tokens; the named ones divide the rest by weight."""
-    now = cells.groupBy(F.col(margin).alias("value")).agg(F.sum("tokens").cast("double").alias("t"))
-    rows = stored(now.join(given, "value", "left"), "targets")
-    s = rows.agg(F.sum("t").alias("all"), F.sum(F.when(F.col("weight").isNull(), F.col("t"))).alias("own"), F.sum("weight").alias("w")).first()
-    total, own, weights = s["all"] or 1.0, s["own"] or 0.0, s["w"] or 1.0
-    return rows.select("value", F.coalesce(F.col("weight") * (1 - own / total) / weights, F.col("t") / total).alias("target"))
+    """``cells`` with ``_goal_<margin>``, summing to 1 over the values that occur. A value that
+    ``given(value, weight)`` does not name keeps its own share of the tokens; the named ones divide the rest
+    by weight."""
+    now = (cells.groupBy(F.col(margin).alias("value")).agg(F.sum("tokens").cast("double").alias("t")).join(given, "value", "left"))
+    every = Window.partitionBy()  # one row per value of a margin
+    own = F.coalesce(F.sum(F.when(F.col("weight").isNull(), F.col("t"))).over(every), F.lit(0.0))
+    total, weights = F.sum("t").over(every), F.sum("weight").over(every)
+    goal = F.coalesce(F.col("weight") * (1 - own / total) / weights, F.col("t") / total)
+    return cells.join(now.select(F.col("value").alias(margin), goal.alias(f"_goal_{margin}")), margin)
 
 
 def tempered(cells: DataFrame, temperature: float = TEMPERATURE) -> DataFrame:
@@ -65,25 +70,25 @@ def tempered(cells: DataFrame, temperature: float = TEMPERATURE) -> DataFrame:
 
 
 def rake(cells: DataFrame, wanted: dict[str, DataFrame]) -> DataFrame:
-    """``cells`` with ``raked``: shares that meet the targets of every margin. A round is a written table
-    and stops the loop once no factor differs from 1 by more than ``TOLERANCE``. Targets that contradict
-    each other (an empty cell where two margins need one) leave the last margin exact after ``MOST_ROUNDS``."""
-    total = cells.agg(F.sum("tokens")).first()[0]
-    now = cells.withColumn("raked", F.col("tokens") / F.lit(float(total or 1)))
-    wanted = {m: stored(t, "targets") for m, t in wanted.items()}
-    for _ in range(MOST_ROUNDS):
-        factors = F.lit(0.0)
-        for margin, target in wanted.items():
-            sums = now.groupBy(F.col(margin).alias("value")).agg(F.sum("raked").alias("sum"))
-            factor = sums.join(target, "value").select(F.col("value").alias(margin), (F.col("target") / F.col("sum")).alias("factor"))
-            now = now.join(factor, margin).withColumns({"raked": F.col("raked") * F.col("factor"), f"_{margin}": F.abs(F.col("factor") - 1)}).drop("factor")
-            factors = F.greatest(factors, F.col(f"_{margin}"))
-        now = stored(now.withColumn("_off", factors).drop(*[f"_{m}" for m in wanted]), "raked")
-        off = now.agg(F.max("_off")).first()[0]
-        now = now.drop("_off")
+    """``cells`` with ``raked``: shares that meet the targets ``wanted[margin](value, weight)``.
+
+    ``ROUNDS`` rounds are one job and one written table; the loop stops once a whole round moves no cell by
+    more than ``TOLERANCE`` of itself. Targets that contradict each other (an empty cell where two margins
+    need one) leave the last margin exact after ``MOST_ROUNDS``."""
+    now = cells.withColumn("raked", F.col("tokens").cast("double"))
+    for margin, given in wanted.items():
+        now = targets(now, margin, given)
+    for _ in range(0, MOST_ROUNDS, ROUNDS):
+        for _ in range(ROUNDS):
+            now = now.withColumn("_before", F.col("raked"))
+            for margin in wanted:
+                held = F.sum("raked").over(Window.partitionBy(margin))
+                now = now.withColumn("raked", F.col("raked") * F.col(f"_goal_{margin}") / held)
+        now = stored(now, "raked")
+        off = now.agg(F.max(F.abs(F.col("raked") / F.col("_before") - 1))).first()[0]
         if off is None or off < TOLERANCE:
             break
-    return now
+    return now.select(*cells.columns, "raked")
 
 
 def probabilities(raked: DataFrame, budget: float = BUDGET) -> DataFrame:
@@ -107,8 +112,8 @@ def chance(doc_id: Column) -> Column:
     return F.conv(F.substring(digest, 1, 13), 16, 10).cast("double") / float(16 ** 13)
 
 
-def mixed(docs: DataFrame, wanted: dict[str, DataFrame] | None = None, budget: float = BUDGET) -> DataFrame:
-    """The sampled rows of ``docs`` with ``_source``, ``_lang``, ``_topic``, ``_tokens``, ``_probability``.
+def mixed(docs: DataFrame, wanted: dict[str, DataFrame] | None = None, budget: float = BUDGET, own: str = "_") -> DataFrame:
+    """The sampled rows of ``docs`` with ``_source``, ``_lang``, ``_topic``, ``_tokens``, ``_probability`` (beginning with ``own``).
 
     Without ``wanted`` sources are tempered and languages and topics take the shares above. Documents
     without a word belong to no cell and go. Repeated rows share their fate, as it depends on the id.
@@ -116,13 +121,12 @@ def mixed(docs: DataFrame, wanted: dict[str, DataFrame] | None = None, budget: f
     spark, cells = docs.sparkSession, cells_of(docs)
     if wanted is None:
         wanted = {"source": tempered(cells), "lang": shares(spark, LANGUAGES), "topic": shares(spark, TOPICS)}
-    goals = {m: targets(cells, m, wanted[m]) for m in MARGINS if m in wanted}
-    rates = stored(probabilities(rake(cells, goals), budget).select(
-        *[F.col(m).alias(f"_{m}") for m in MARGINS], F.col("probability").alias("_probability")), "rates")
-    rows = described(docs).where("_tokens > 0")
-    return rows.join(rates, [f"_{m}" for m in MARGINS]).where(chance(F.col("doc_id")) < F.col("_probability"))
+    rates = stored(probabilities(rake(cells, wanted), budget).select(
+        *[F.col(m).alias(f"{own}{m}") for m in MARGINS], F.col("probability").alias(f"{own}probability")), "rates")
+    rows = described(docs, own).where(F.col(f"{own}tokens") > 0)
+    return rows.join(rates, [f"{own}{m}" for m in MARGINS]).where(chance(F.col("doc_id")) < F.col(f"{own}probability"))
 
 
 def sample(docs: DataFrame) -> DataFrame:
     """The sampled rows of ``docs``, columns unchanged."""
-    return mixed(docs).select(*[docs[c] for c in docs.columns])
+    return mixed(docs, own=unused(docs)).select(*docs.columns)
