@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickforge.llm.common import bounded_batches
+from tickforge.llm.common import bounded_batches, unused
 from tickforge.llm.words import WordHashes, rolled, word_numbers
 from tickforge.sources.stored import stored
 
@@ -151,5 +151,6 @@ def contaminated(docs: DataFrame, items: DataFrame, coverage: float = COVERAGE)
 
 def without_leaks(docs: DataFrame, items: DataFrame, coverage: float = COVERAGE) -> DataFrame:
     """The rows of ``docs`` that contain no benchmark item, columns unchanged; rows without an id stay."""
-    bad = stored(contaminated(docs, items, coverage).select(F.col("doc_id").alias("_bad")).distinct(), "leaks")
-    return docs.join(bad, docs["doc_id"].cast("long") == bad["_bad"], "left_anti")
+    own = unused(docs)
+    bad = stored(contaminated(docs, items, coverage).select(F.col("doc_id").alias(own)).distinct(), "leaks")
+    return docs.join(bad, F.col("doc_id").cast("long") == F.col(own), "left_anti")

@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tickforge.llm.common import bounded_batches, fold_of, one_label
+from tickforge.llm.common import bounded_batches, fold_of, one_label, unused
 
 SAMPLE_ROWS = 20_000
 MAX_BINS, PAIR_BINS, PAIRS = 48, 12, 8
@@ -252,5 +252,5 @@ def classify(docs: DataFrame, labels: DataFrame, label: str = "quality") -> Data
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of ``docs`` that the classifier accepts, columns unchanged."""
-    at = "_quality" + "_" * max(map(len, docs.columns))
+    at = unused(docs)
     return score(docs, train(docs, labels), at).where(F.col(at) >= THRESHOLD).select(*docs.columns)

@@ -21,6 +21,8 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tickforge.llm.common import unused
+
 # The patterns of the base kinds, in the order of their rank.
 ASSIGN = r"(?i)(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)"
 ACCESS = r"AKIA[A-Z0-9]{14,}"
@@ -203,16 +205,18 @@ def report(docs: DataFrame) -> DataFrame:
 def redact(docs: DataFrame, mark: str = "[secret]") -> DataFrame:
     """``docs`` with each secret replaced by ``mark``; overlapping spans become one mark. ``n_chars``, where
     it exists, follows; other columns and null texts stay as they are."""
-    spans = "_spans" + "_" * max(map(len, docs.columns))
+    spans = unused(docs)
     rows = docs.withColumn(spans, secret_spans(F.coalesce("text", F.lit("")), thresholds(docs)))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("parts"))
+    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("parts"), F.lit(0).alias("n"))
 
     def step(acc: Column, s: Column) -> Column:
-        fresh = F.concat(acc["parts"], F.array(F.substring(F.col("text"), acc["at"] + 1, s["start"] - acc["at"]), F.lit(mark)))
-        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.when(s["start"] >= acc["at"], fresh).otherwise(acc["parts"]).alias("parts"))
-
-    text = F.aggregate(spans, start, step, lambda acc: F.concat(
-        F.array_join(acc["parts"], ""), F.substring(F.col("text"), acc["at"] + 1, F.length("text"))))
-    text = F.when(F.size(spans) > 0, text).otherwise(F.col("text"))
-    made = {"text": text} | ({"n_chars": F.length(text).cast("long")} if "n_chars" in docs.columns else {})
-    return rows.select(*[(F.when(F.size(spans) > 0, made[c]).otherwise(F.col(c)) if c in made else F.col(c)).alias(c) for c in docs.columns])
+        apart, gap = s["start"] >= acc["at"], s["start"] - acc["at"]
+        fresh = F.concat(acc["parts"], F.array(F.substring(F.col("text"), acc["at"] + 1, gap), F.lit(mark)))
+        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.when(apart, fresh).otherwise(acc["parts"]).alias("parts"),
+                        F.when(apart, acc["n"] + gap + len(mark)).otherwise(acc["n"]).alias("n"))
+
+    made = F.aggregate(spans, start, step, lambda acc: F.struct(
+        F.concat(F.array_join(acc["parts"], ""), F.substring(F.col("text"), acc["at"] + 1, F.length("text"))).alias("text"),
+        (acc["n"] + F.length("text") - acc["at"]).cast("long").alias("n_chars")))
+    rows = rows.withColumn(f"{spans}new", F.when(F.size(spans) > 0, made))
+    return rows.select(*[F.coalesce(F.col(f"{spans}new.{c}"), F.col(c)).alias(c) if c in ("text", "n_chars") else F.col(c) for c in docs.columns])
