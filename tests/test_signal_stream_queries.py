@@ -61,9 +61,16 @@ def test_weekly_label_waits_for_the_week_end(spark):
 
 
 def test_no_price_gives_the_default(spark):
-    df = signal(spark, price=None)
-    assert X.unified_signal(df, dt.date(2001, 11, 4)).count() == 0
-    assert X.no_price_signal(df).first()["regime"] == "Dati insufficienti"
+    for price in (None, 0.0, -1.0):
+        (r,) = X.unified_signal(signal(spark, price=price), dt.date(2001, 11, 4)).collect()
+        assert {c: r[c] for c in X.NEUTRAL if c in r} == X.NEUTRAL
+
+
+@pytest.mark.parametrize("tone, support, target1", [("buy", [], 105.12), ("buy", [99.5], 103.66), ("sell", [], 94.88)])
+def test_first_target_without_a_level_starts_at_the_price(spark, tone, support, target1):
+    row = spark.createDataFrame([("A", 100.0, tone, support, [], None)], "symbol string, price double, tone string, supports array<double>, "
+                                "resistances array<double>, target_gap struct<start: double, end: double>")
+    assert X.execution_plan(row).first()["plan"]["target1"] == pytest.approx(target1, abs=0.006)
 
 
 def test_moments_combine_over_tasks(spark):
