@@ -135,7 +135,7 @@ def _cmp(x, y):
     return f"CASE WHEN {x} > {y} THEN 'Buy' WHEN {x} < {y} THEN 'Sell' ELSE 'Neutral' END"
 
 
-def _rows_sql(bars_sql):
+def _rows_sql(bars_sql, where=f"WHERE ts >= {AS_OF_SQL} - INTERVAL 24 MONTH"):
     ma = [f"SELECT symbol, 'ma' AS grp, '{k.upper()}{p}' AS name, round({k}{p}, 2) AS value, "
           f"{_cmp('close', f'{k}{p}')} AS action FROM last WHERE n >= {p}"
           for p in P for k in ("sma", "ema", "wma", "hma", "tema")]
@@ -152,7 +152,7 @@ def _rows_sql(bars_sql):
            ("StochSlow", "stochastic14", _band("stochastic14", 80, 20)),
            ("MACD_Hist", "macd_hist", _cmp("macd_hist", 0)), ("CMF20", "cmf20", _cmp("cmf20", 0))]
     rows = ma + [f"SELECT symbol, 'osc', '{n}', round({v}, 2), {a} FROM last" for n, v, a in osc]
-    return (_series_sql(bars_sql, f"WHERE ts >= {AS_OF_SQL} - INTERVAL 24 MONTH")
+    return (_series_sql(bars_sql, where)
             + ",\n last AS MATERIALIZED (SELECT * FROM s5 WHERE pos = n - 1),\n tr AS MATERIALIZED ("
             + "\n UNION ALL ".join(rows) + ")")
 

@@ -11,15 +11,15 @@ from tickforge.plans.registry import query
 
 _SLOT = {"1w": "CAST(CAST(ts AS DATE) + CAST((5 - isodow(ts) + 7) % 7 AS INTEGER) AS TIMESTAMP)",
          "1mo": "CAST(last_day(ts) AS TIMESTAMP)"}
-_PERIOD = {"1d": 6, "1w": 60, "1mo": 240}
+_PERIOD = {"4h": 3, "1d": 6, "1w": 60, "1mo": 240}
 
 
-def zone_sql(tf: str, prefix: str = "") -> str:
+def zone_sql(tf: str, prefix: str = "", as_of: str = AS_OF_SQL, **override: float) -> str:
     """CTE chain up to ``{prefix}zl`` (zones as lists), ``{prefix}st`` (market state)."""
-    p = Z.zone_params(tf)
+    p = Z.zone_params(tf, **override)
     x = prefix
-    if tf == "1d":
-        rows = f"SELECT symbol, ts, high, low, close, volume FROM bars WHERE ts >= {AS_OF_SQL} - INTERVAL {_PERIOD[tf]} MONTH"
+    if tf in ("4h", "1d"):
+        rows = f"SELECT symbol, ts, high, low, close, volume FROM bars WHERE ts >= {as_of} - INTERVAL {_PERIOD[tf]} MONTH"
     else:
         rows = (f"SELECT symbol, {_SLOT[tf]} AS ts, max(high) AS high, min(low) AS low, arg_max(close, bars.ts) AS close, "
                 f"sum(volume) AS volume FROM bars WHERE bars.ts >= {AS_OF_SQL} - INTERVAL {_PERIOD[tf]} MONTH GROUP BY 1, 2")
