@@ -27,6 +27,8 @@ _AGGREGATES = """arg_min(open, bars.ts) AS open, max(high) AS high, min(low) AS
 _SLOT_BARS = {tf: f"(SELECT symbol, {slot} AS ts, {_AGGREGATES} FROM bars GROUP BY 1, 2)" for tf, slot in _SLOT.items()}
 
 def _rows_sql(tf):
+    if tf == "1d":
+        return _strip(SUPPLIER_ROWS_SQL)
     days = f"FROM bars WHERE ts >= {AS_OF_SQL} - INTERVAL 24 MONTH"
     months = {"1w": 60, "1mo": 240}[tf]
     out = _strip(SUPPLIER_ROWS_SQL).replace(days, f"FROM {_SLOT_BARS[tf]} WHERE ts >= {AS_OF_SQL} - INTERVAL {months} MONTH")
@@ -37,9 +39,11 @@ def _rows_sql(tf):
 # Weekly gaps come from the shown history: five years, newest 120 weeks, prices to the cent.
 _WEEKS = f"""(SELECT symbol, ts, round(open, 2) AS open, round(high, 2) AS high, round(low, 2) AS low, round(close, 2) AS close
  FROM {_SLOT_BARS['1w']} WHERE ts >= {AS_OF_SQL} - INTERVAL 60 MONTH QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY ts DESC) <= 120)"""
-_GAPS = {"1mo": gap_sql(f"WHERE ts >= {AS_OF_SQL} - INTERVAL 60 MONTH"), "1w": gap_sql(source=_WEEKS)}
+_DAYS = f"""(SELECT symbol, ts, round(open, 2) AS open, round(high, 2) AS high, round(low, 2) AS low, round(close, 2) AS close
+ FROM bars WHERE ts >= {AS_OF_SQL} - INTERVAL 6 MONTH QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY ts DESC) <= 120)"""
+_GAPS = {"1d": gap_sql(source=_DAYS), "1mo": gap_sql(f"WHERE ts >= {AS_OF_SQL} - INTERVAL 60 MONTH"), "1w": gap_sql(source=_WEEKS)}
 _MEDIANS = {"1mo": "SELECT symbol, max(median) FILTER (month = 11) AS cur, max(median) FILTER (month = 12) AS nxt FROM cpct GROUP BY 1",
-            "1w": "SELECT symbol, NULL::DOUBLE AS cur, NULL::DOUBLE AS nxt FROM cpct GROUP BY 1"}
+            **dict.fromkeys(("1d", "1w"), "SELECT symbol, NULL::DOUBLE AS cur, NULL::DOUBLE AS nxt FROM cpct GROUP BY 1")}
 
 
 def input_sql(tf):
@@ -223,7 +227,16 @@ def _(spark, sf):
     return _signal(spark, sf, "1w").select("symbol", "label", "display_label", "tone", rnd("confidence_pct", 4).alias("confidence_pct"))
 
 
-@query("timeframe_signal")
+def _timeframe_sql(tf):
+    """Labels of one timeframe; symbols without bars in its period are neutral."""
+    shown = {"1d": _WEEK_LABEL, "1mo": "shown", "1w": f"""CASE WHEN tone = 'neutral' OR conf >= 72 THEN {_WEEK_LABEL}
+ WHEN tone = 'buy' THEN 'Compra a fine settimana' ELSE 'Vendi a fine settimana' END"""}[tf]
+    return f"""SELECT * FROM (WITH {signal_sql(tf)}, x AS (SELECT '{tf}' AS timeframe, symbol, {'label' if tf == '1mo' else _WEEK_LABEL} AS label, {shown} AS display_label, tone,
+ round(bs, 4) AS score_pct, round(conf, 4) AS confidence_pct FROM sg)
+ SELECT * FROM x UNION ALL SELECT '{tf}', symbol, 'Neutro', 'Neutro', 'neutral', 50.0::DOUBLE, 0.0::DOUBLE FROM (SELECT DISTINCT symbol FROM bars) WHERE symbol NOT IN (SELECT symbol FROM x))"""
+
+
+@query("timeframe_signal", " UNION ALL ".join(_timeframe_sql(tf) for tf in ("1d", "1w", "1mo")))
 def _(spark, sf):
     daily = stored_supplier_bars(spark, sf)
     out = None
