@@ -202,15 +202,16 @@ def rr_tone(x: Column) -> Column:
             .otherwise("weak"))
 
 
-def _swap(kind: str) -> str:
-    return kind.replace("Up", "\0").replace("Down", "Up").replace("\0", "Down")
+# Gap types and the names they are shown under.
+SHOWN_GAPS = {"Gap Up": "Gap Down", "Gap Down": "Gap Up", "Gap Up 3 candele": "Gap Down 3 candele",
+              "Gap Down 3 candele": "Gap Up 3 candele"}
 
 
 def swap_gap_label(kind: Column) -> Column:
     """Display name of a gap type is the opposite one."""
     out = F.when(kind != "", kind)
-    for k in ("Gap Up", "Gap Down", "Gap Up 3 candele", "Gap Down 3 candele"):
-        out = F.when(kind == k, F.lit(_swap(k))).otherwise(out)
+    for k, shown in SHOWN_GAPS.items():
+        out = F.when(kind == k, F.lit(shown)).otherwise(out)
     return F.coalesce(out, F.lit("Gap"))
 
 

@@ -27,6 +27,7 @@ from tickforge.sources.bars import clean_bars_strict, in_period, resample
 # Weights of the five scores with and without the technical filter.
 WEIGHTS = {True: {"sr": 0.32, "gap": 0.23, "season": 0.20, "tech": 0.17, "market": 0.10},
            False: {"sr": 0.40, "gap": 0.25, "season": 0.25, "tech": 0.0, "market": 0.10}}
+# Least strength, damping of contradicted scores, words of market states.
 MIN_TECH_STRENGTH = 55
 DENIAL = {"season": 0.72, "tech": 0.68, "market": 0.80}
 

@@ -80,6 +80,7 @@ INFO_FIELDS = {
     "short_name": ("shortName", "longName"), "sector": ("sector", "industry", "category")}
 TEXT_FIELDS = ("short_name", "sector")
 
+# Statement lines that name revenue and equity.
 REVENUE_LABELS = ("Total Revenue", "Revenue", "Operating Revenue")
 EQUITY_LABELS = ("Total Stockholder Equity", "Stockholders Equity",
                  "Total Equity Gross Minority Interest", "Common Stock Equity")
@@ -150,6 +151,7 @@ def _found(text: Column, pattern: str) -> Column:
     return F.nullif(F.regexp_extract(text, pattern, 1), F.lit(""))
 
 
+# The next two functions hold the patterns of numbers in provider pages.
 def page_json_text(html: Column, key: str) -> Column:
     """Number text behind ``\\"key\\":{\\"raw\\":`` in JSON that is escaped inside a page."""
     number = r"(-?[0-9]+(?:\.[0-9]+)?(?:[eE][+-]?[0-9]+)?)"
