@@ -9,11 +9,18 @@ is posted under each of its coordinate-value pairs.
   twice has no partner. Of the others only the rarest ``n - MATCHES + 1`` values are posted: two
   documents that agree in ``MATCHES`` values share one of those. Values of boilerplate are common, come
   last in that order, and are not posted by documents that have anything else.
-* Skip: in a posting list all are compared with two hubs (its smallest and its largest id) first. Links
-  join lists into components, and only pairs in different components are compared afterwards, so a
-  list of n copies costs 2n pairs, not n * n.
-* A pair is compared by its signature (at least ``MATCHES`` agreements) and then confirmed on both full
-  sets with integers. Nothing is capped: what the hubs leave apart is compared pair by pair.
+* Skip: in a posting list everyone is compared with one hub, its smallest id, by signature. Pairs that
+  agree join lists into clusters; confirmed pairs make components. What is in one component needs no
+  further pair, so a list of n copies costs n pairs, not n * n.
+* Within a cluster all sets are seen as differences from its smallest id: shingles missing (a) and extra
+  (e). That confirms the links to the hub. Two other members that share no extra shingle are at most as
+  similar as a and the sizes allow, so only members of fitting size meet; all others must share an extra
+  shingle, and meet in a join on the first ``e - need + 1`` of them in hash order (``need``: how many they
+  must share at least).
+* Between clusters, members of a list meet if two bits of each coordinate agree often enough.
+* All such pairs are confirmed on both full sets with integers. Nothing is capped: the bounds only leave
+  out what can't reach the similarity. Sets are made of the texts of clustered documents only, where the
+  texts lie; a bitmap of a fixed size tells which (a full bitmap lets more through and changes no result).
 """
 
 from __future__ import annotations
@@ -22,16 +29,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tickforge.llm.common import bounded_batches
+from tickforge.llm.common import bounded_batches, unused
 from tickforge.llm.components import components
 from tickforge.llm.words import WordHashes, mixed, shingle_set
 from tickforge.sources.stored import stored
 
 COORDINATES, MATCHES = 48, 25
+#: Agreements of two-bit coordinates: 40.8 of 48 at similarity 0.8, with a deviation of 2.5.
+BIT_MATCHES = 28
+SLOT_BITS = 24
 PERCENT = 80
 _ODD = (mixed(np.arange(1, COORDINATES + 1, dtype=np.uint64)) >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
 _ADD = mixed(np.arange(1001, COORDINATES + 1001, dtype=np.uint64)).astype(np.uint32)
@@ -47,9 +57,13 @@ def signature(shingles: np.ndarray, odd: np.ndarray = _ODD, add: np.ndarray = _A
     return best
 
 
+def _bits(sig: np.ndarray, bit: int) -> int:
+    return int(((sig >> np.uint32(bit)) & np.uint32(1)).astype(np.int64) @ (1 << np.arange(COORDINATES, dtype=np.int64)))
+
+
 def sketches(docs: DataFrame, size: int) -> DataFrame:
-    """``(doc_id, n, s1, s2, sig)``: set size, two sums that name the set, and its signature. Texts stay
-    where they are; of rows that repeat an id the one with the smallest sums counts."""
+    """``(doc_id, n, s1, s2, sig, b0, b1)``: set size, two sums that name the set, its signature, and the two
+    lowest bits of every coordinate. Texts stay where they are; of rows that repeat an id the one with the smallest sums counts."""
     bounded_batches(docs.sparkSession)
 
     def sketch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -58,14 +72,15 @@ def sketches(docs: DataFrame, size: int) -> DataFrame:
             out = []
             for doc_id, text in zip(batch["doc_id"], batch["text"]):
                 s = shingle_set(text, size, hashes)
+                sig = signature(s)
                 out.append((doc_id, len(s), int(s.sum(dtype=np.uint64).view(np.int64)) if len(s) else 0,
                             int(mixed(s).sum(dtype=np.uint64).view(np.int64)) if len(s) else 0,
-                            signature(s).view(np.int32) if len(s) else None))
-            yield pd.DataFrame(out, columns=["doc_id", "n", "s1", "s2", "sig"])
+                            sig.view(np.int32) if len(s) else None, _bits(sig, 0), _bits(sig, 1)))
+            yield pd.DataFrame(out, columns=["doc_id", "n", "s1", "s2", "sig", "b0", "b1"])
 
     rows = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long"), "text").mapInPandas(
-        sketch, "doc_id bigint, n bigint, s1 bigint, s2 bigint, sig array<int>")
-    return rows.groupBy("doc_id").agg(F.min(F.struct("n", "s1", "s2", "sig")).alias("s"),
+        sketch, "doc_id bigint, n bigint, s1 bigint, s2 bigint, sig array<int>, b0 bigint, b1 bigint")
+    return rows.groupBy("doc_id").agg(F.min(F.struct("n", "s1", "s2", "sig", "b0", "b1")).alias("s"),
                                       F.count(F.lit(1)).alias("rows")).select("doc_id", "s.*", "rows")
 
 
@@ -81,26 +96,72 @@ def prefix_postings(reps: DataFrame) -> DataFrame:
 
 
 def hub_pairs(posts: DataFrame) -> DataFrame:
-    """Everyone with the smallest and with the largest id of its list."""
-    hubs = (posts.groupBy("coordinate", "value").agg(F.min("id").alias("lo"), F.max("id").alias("hi"))
-            .where("lo < hi"))
-    both = posts.join(hubs, ["coordinate", "value"])
-    pairs = both.select(F.least("id", "lo").alias("a"), F.col("id").alias("b")).union(
-        both.select(F.col("id").alias("a"), F.col("hi").alias("b")))
-    return pairs.where("a < b").distinct()
-
-
-def open_pairs(posts: DataFrame, parts: DataFrame, done: DataFrame) -> DataFrame:
-    """Pairs of one list that are in different components and were not compared yet."""
-    placed = posts.join(parts, posts["id"] == parts["_id"], "left").select(
-        "coordinate", "value", "id", F.coalesce("component", "id").alias("c"))
-    mixed_lists = (placed.groupBy("coordinate", "value").agg(F.min("c").alias("lo"), F.max("c").alias("hi"))
-                   .where("lo < hi").select("coordinate", "value"))
-    left = placed.join(mixed_lists, ["coordinate", "value"])
-    right = left.select("coordinate", "value", F.col("id").alias("b"), F.col("c").alias("d"))
-    pairs = (left.join(right, ["coordinate", "value"]).where("c <> d AND id < b")
-             .select(F.col("id").alias("a"), "b").distinct())
-    return pairs.join(done, ["a", "b"], "left_anti")
+    """Everyone with the smallest id of its list."""
+    hubs = posts.groupBy("coordinate", "value").agg(F.min("id").alias("a"), F.max("id").alias("hi")).where("a < hi")
+    pairs = posts.join(hubs.drop("hi"), ["coordinate", "value"]).where("a < id")
+    return pairs.select("a", F.col("id").alias("b")).distinct()
+
+
+def between_clusters(posts: DataFrame, placed: DataFrame, signed: DataFrame) -> DataFrame:
+    """Pairs of one list in different clusters whose sizes and bits allow the similarity."""
+    rows = posts.join(placed.select("id", "cluster"), "id").join(signed.select("id", "n", "b0", "b1"), "id")
+    several = (rows.groupBy("coordinate", "value").agg(F.min("cluster").alias("lo"), F.max("cluster").alias("hi"))
+               .where("lo < hi").select("coordinate", "value"))
+    left = rows.join(several, ["coordinate", "value"])
+    right = left.select("coordinate", "value", *[F.col(c).alias(f"_{c}") for c in ("id", "cluster", "n", "b0", "b1")])
+    differ = F.bit_count(F.col("b0").bitwiseXOR(F.col("_b0")).bitwiseOR(F.col("b1").bitwiseXOR(F.col("_b1"))))
+    fits = F.least("n", "_n") * 100 >= F.greatest("n", "_n") * PERCENT
+    met = left.join(right, ["coordinate", "value"]).where((F.col("id") < F.col("_id")) & (F.col("cluster") != F.col("_cluster"))
+                                                          & fits & (differ <= COORDINATES - BIT_MATCHES))
+    return met.select(F.col("id").alias("a"), F.col("_id").alias("b")).distinct()
+
+
+def star(sets: DataFrame) -> DataFrame:
+    """``(hub, id, linked, n, a, e, hub_n, extra)`` of every member but the hub: whether it is similar to the
+    cluster's hub, the sizes of the differences, and the extra shingles that are posted."""
+    percent = PERCENT
+
+    def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out = []
+            for hub, i, x, h in zip(batch["hub"], batch["id"], batch["set_x"], batch["set_h"]):
+                x, h = np.frombuffer(x, np.uint64), np.frombuffer(h, np.uint64)
+                extra = np.setdiff1d(x, h, assume_unique=True)
+                e, n = len(extra), len(x)
+                need = max(1, -(-(100 * e - (100 - percent) * n) // 100))
+                linked = 100 * (n - e) >= percent * (len(h) + e)
+                out.append((hub, i, linked, n, len(h) - (n - e), e, len(h), extra[:max(0, e - need + 1)].view(np.int64)))
+            yield pd.DataFrame(out, columns=["hub", "id", "linked", "n", "a", "e", "hub_n", "extra"])
+
+    members = sets.where("id <> cluster").select(F.col("cluster").alias("hub"), "id", F.col("shingles").alias("set_x"))
+    hubs = sets.where("id = cluster").select(F.col("id").alias("hub"), F.col("shingles").alias("set_h"))
+    return members.join(hubs, "hub").select("hub", "id", "set_x", "set_h").mapInPandas(
+        compare, "hub bigint, id bigint, linked boolean, n bigint, a bigint, e bigint, hub_n bigint, extra array<bigint>")
+
+
+def within_clusters(rows: DataFrame) -> DataFrame:
+    """Pairs of different components of one cluster that can be similar, from ``star`` with components."""
+    other = rows.select("hub", *[F.col(c).alias(f"_{c}") for c in ("id", "component", "n", "a", "e", "extra")])
+    apart = F.col("component") != F.col("_component")
+    # with the shingles they may share beside the hub's: none of them extra, or at most the smaller e
+    most = F.col("hub_n") - F.greatest("a", "_a")
+
+    def reach(common: Column) -> Column:
+        common = F.least(common, "n", "_n")
+        return (100 + PERCENT) * common >= PERCENT * (F.col("n") + F.col("_n"))
+
+    tokens = rows.withColumn("token", F.explode("extra")).drop("extra")
+    theirs = other.withColumn("token", F.explode("_extra")).drop("_extra")
+    sharing = tokens.join(theirs, ["hub", "token"]).where(
+        apart & (F.col("id") < F.col("_id")) & reach(most + F.least("e", "_e"))).select("id", "_id")
+    # without a common extra shingle: 180 * (hub_n - a) >= 80 * (n + _n) for either a
+    room = F.floor(((100 + PERCENT) * (F.col("hub_n") - F.col("a")) - PERCENT * F.col("n")) / PERCENT)
+    sizes = rows.groupBy("hub").agg(F.min("n").alias("least"), F.max("n").alias("largest"))
+    loose = rows.where(F.col("component") != F.col("hub")).join(sizes, "hub")
+    low, high = F.greatest("least", F.ceil(F.col("n") * PERCENT / 100)), F.least("largest", room)
+    asking = loose.where(low <= high).withColumn("_n", F.explode(F.sequence(low, high))).drop("extra", "least", "largest")
+    plain = asking.join(other.drop("_extra"), ["hub", "_n"]).where(apart & reach(most)).select("id", "_id")
+    return sharing.union(plain).select(F.least("id", "_id").alias("a"), F.greatest("id", "_id").alias("b")).distinct()
 
 
 def agreeing(pairs: DataFrame, reps: DataFrame) -> DataFrame:
@@ -129,22 +190,39 @@ def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return pairs.join(b, "b").join(a, "a").select("a", "b", "set_a", "set_b").mapInPandas(compare, "a bigint, b bigint")
 
 
-def shingle_sets(docs: DataFrame, ids: DataFrame, size: int) -> DataFrame:
-    """``(id, shingles)``, the sorted set as bytes, of the documents in ``ids``. Of rows that repeat an
-    id the one with the smallest sums counts, as in ``sketches``."""
+def _slot(doc_id: Column) -> Column:
+    return F.pmod(F.xxhash64(doc_id), F.lit(1 << SLOT_BITS))
+
+
+def shingle_sets(docs: DataFrame, wanted: DataFrame, size: int, repeated: bool) -> DataFrame:
+    """``(id, cluster, shingles)``, the sorted set as bytes, of the documents in ``wanted(id, s1, cluster)``. Of rows
+    that repeat an id (``repeated``: there are such) one with the wanted sum counts."""
+    spark = docs.sparkSession
+    chunks = (wanted.select(_slot(F.col("id")).alias("slot")).select(F.shiftright("slot", 15).alias("chunk"), (F.col("slot") % 32768).alias("bit"))
+              .groupBy("chunk").agg(F.bitmap_construct_agg("bit").alias("bits")).collect())
+    bits = np.zeros(1 << SLOT_BITS >> 3, np.uint8)
+    for row in chunks:
+        bits[row["chunk"] * 4096:(row["chunk"] + 1) * 4096] = np.frombuffer(row["bits"], np.uint8)
+    sent = spark.sparkContext.broadcast(bits)  # 2 MB
+
+    @F.pandas_udf("boolean")
+    def marked(slot: pd.Series) -> pd.Series:
+        at = slot.to_numpy(np.int64)
+        return pd.Series((sent.value[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1)
 
     def build(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         hashes = WordHashes()
         for batch in batches:
             out = []
-            for doc_id, s1, text in zip(batch["doc_id"], batch["s1"], batch["text"]):
+            for doc_id, text in zip(batch["doc_id"], batch["text"]):
                 s = shingle_set(text, size, hashes)
-                if len(s) and int(s.sum(dtype=np.uint64).view(np.int64)) == s1:
-                    out.append((doc_id, s.tobytes()))
-            yield pd.DataFrame(out, columns=["id", "shingles"])
+                out.append((doc_id, int(s.sum(dtype=np.uint64).view(np.int64)) if len(s) else 0, s.tobytes()))
+            yield pd.DataFrame(out, columns=["id", "s1", "shingles"])
 
-    rows = docs.select(F.col("doc_id").cast("long"), "text").join(ids.select(F.col("id").alias("doc_id"), "s1"), "doc_id")
-    return rows.select("doc_id", "s1", "text").mapInPandas(build, "id bigint, shingles binary")
+    rows = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    made = rows.where(marked(_slot(F.col("doc_id")))).mapInPandas(build, "id bigint, s1 bigint, shingles binary")
+    out = made.join(wanted, ["id", "s1"]).select("id", "cluster", "shingles")
+    return out.dropDuplicates(["id"]) if repeated else out
 
 
 def near_duplicates(docs: DataFrame, size: int = 2) -> DataFrame:
@@ -155,16 +233,23 @@ def near_duplicates(docs: DataFrame, size: int = 2) -> DataFrame:
     """
     known = stored(sketches(docs, size), "sketches")
     classes = stored(known.where("n > 0").groupBy("n", "s1", "s2").agg(
-        F.min("doc_id").alias("id"), F.first("sig").alias("sig")), "classes")
+        F.min("doc_id").alias("id"), F.first("sig").alias("sig"), F.first("b0").alias("b0"), F.first("b1").alias("b1")), "classes")
     posts = stored(prefix_postings(classes), "postings")
-    found = posts.select("id").distinct().join(classes.select("id", "s1"), "id")
-    sets = stored(shingle_sets(docs, found, size), "sets")
-    signed = stored(found.select("id").join(classes, "id").select("id", "n", "sig"), "signed")
-    first = stored(hub_pairs(posts), "pairs")
-    links = stored(confirmed(agreeing(first, signed), sets), "confirmed")
+    signed = stored(posts.select("id").distinct().join(classes, "id").select("id", "n", "s1", "sig", "b0", "b1"), "signed")
+    near = stored(agreeing(hub_pairs(posts), signed), "near")
+    clusters = components(near).withColumnRenamed("component", "cluster")
+    clustered = stored(signed.join(clusters, "id", "left").select("id", "s1", F.coalesce("cluster", "id").alias("cluster")), "clustered")
+    apart = stored(agreeing(between_clusters(posts, clustered, signed), signed), "apart")
+    several = near.select(F.explode(F.array("a", "b")).alias("id")).union(apart.select(F.explode(F.array("a", "b")))).distinct()
+    repeated = not known.where("rows > 1").isEmpty()
+    sets = stored(shingle_sets(docs, clustered.join(several, "id"), size, repeated), "sets")
+    seen = stored(star(sets), "star")
+    links = seen.where("linked").select(F.col("hub").alias("a"), F.col("id").alias("b"))
     parts = components(links)
-    rest = open_pairs(posts, parts.withColumnRenamed("id", "_id"), first)
-    more = stored(confirmed(agreeing(stored(rest, "pairs"), signed), sets), "confirmed")
+    placed = stored(seen.join(parts, "id", "left").withColumn("component", F.coalesce("component", "id")), "placed")
+    mixed_hubs = placed.groupBy("hub").agg(F.max(F.col("component") != F.col("hub")).alias("open")).where("open").select("hub")
+    rest = within_clusters(placed.join(mixed_hubs, "hub").drop("linked"))
+    more = stored(confirmed(apart.union(agreeing(rest, signed)), sets), "confirmed")
     if not more.isEmpty():
         parts = components(links.union(more))
     placed = known.join(classes.select("n", "s1", "s2", "id"), ["n", "s1", "s2"], "left")
@@ -179,12 +264,13 @@ def near_duplicates(docs: DataFrame, size: int = 2) -> DataFrame:
 
 def one_of_each(docs: DataFrame, size: int = 5) -> DataFrame:
     """The rows of ``docs`` that stay: one document of each component; of rows that repeat an id one."""
-    kept = near_duplicates(docs, size).where("kept AND doc_id IS NOT NULL").select(F.col("doc_id").alias("_kept"), "rows")
+    own = unused(docs)
+    kept = near_duplicates(docs, size).where("kept AND doc_id IS NOT NULL").select(
+        F.col("doc_id").alias(f"{own}id"), F.col("rows").alias(f"{own}rows"))
     kept = stored(kept, "kept")
-    mine = docs.join(kept, docs["doc_id"].cast("long") == kept["_kept"])
-    if kept.where("rows > 1").isEmpty():
-        out = mine.select(*[docs[c] for c in docs.columns])
+    mine, rows = docs.join(kept, F.col("doc_id").cast("long") == F.col(f"{own}id")), F.col(f"{own}rows")
+    if kept.where(rows > 1).isEmpty():
+        out = mine.select(*docs.columns)
     else:
-        out = (mine.where("rows = 1").select(*[docs[c] for c in docs.columns])
-               .union(mine.where("rows > 1").select(*[docs[c] for c in docs.columns]).dropDuplicates(["doc_id"])))
+        out = mine.where(rows == 1).select(*docs.columns).union(mine.where(rows > 1).select(*docs.columns).dropDuplicates(["doc_id"]))
     return out.union(docs.where(F.col("doc_id").isNull()))
