@@ -20,20 +20,22 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pandas as pd
+import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tickforge.llm.common import bounded_batches, fold_of
-from tickforge.llm.words import WordHashes, mixed, split_words
+from tickforge.llm.words import mixed, split_words
 from tickforge.sources.stored import stored
 
 FOLDS, HELD_OUT = 5, 1
 CLASSES, MEMBERS, BUCKETS, HOT = 32, 64, 2048, 131_072
-ROUNDS, BATCH, RATE = 3, 4096, 0.15
+ROUNDS, BATCH, RATE = 3, 8192, 0.25
 PIECE = 16_384
 _END, _START = b" end", b" start"  # no word holds a blank
 _PRIME = np.uint64(0x9E3779B97F4A7C15)
@@ -66,11 +68,43 @@ class Counts:
         return out
 
 
-def streams(texts: pd.Series, hashes: WordHashes) -> tuple[np.ndarray, np.ndarray]:
-    """Hashed tokens of all texts one after the other, an end after each, and the length of each."""
-    words = [split_words(t) + [_END] for t in texts]
-    lengths = np.fromiter(map(len, words), np.int64, len(words))
-    return np.fromiter((hashes[w] for ws in words for w in ws), np.uint64, int(lengths.sum())), lengths
+class Reader(dict):
+    """Texts as streams of tokens. A word is hashed and looked up once and then known by a small number,
+    for up to ``room`` words; the arrays below go by that number."""
+
+    room = 400_000
+
+    def __init__(self, counts: Counts | None = None):
+        super().__init__()
+        self.known, self.fresh = counts, []
+        self.forget()
+
+    def forget(self) -> None:
+        self.clear()
+        self.hashes, self.counts, self.ranks = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def __missing__(self, word: bytes) -> int:
+        number = self[word] = len(self)
+        self.fresh.append(word)
+        return number
+
+    def read(self, texts: pd.Series) -> tuple[np.ndarray, np.ndarray]:
+        """Numbers of the tokens of all texts one after the other, an end after each, and their lengths."""
+        if len(self) > self.room:
+            self.forget()
+        words = [split_words(t) for t in texts]
+        for ws in words:
+            ws.append(_END)
+        lengths = np.fromiter(map(len, words), np.int64, len(words))
+        numbers = np.fromiter(map(self.__getitem__, chain.from_iterable(words)), np.int64, int(lengths.sum()))
+        new = np.fromiter(map(xxhash.xxh3_64_intdigest, self.fresh), np.uint64, len(self.fresh))
+        self.fresh = []
+        self.hashes = np.concatenate((self.hashes, new))
+        if self.known is not None:
+            count, rank = self.known.find(new)
+            self.counts = np.concatenate((self.counts, count))
+            self.ranks = np.concatenate((self.ranks, np.where(rank < CLASSES * MEMBERS, rank, -1)))
+        return numbers, lengths
 
 
 def contexts(tokens: np.ndarray, lengths: np.ndarray) -> np.ndarray:
@@ -116,27 +150,31 @@ def _rows(context: np.ndarray, classes: np.ndarray | None) -> np.ndarray:
 
 
 def _chances(weights: np.ndarray, rows: np.ndarray) -> np.ndarray:
-    z = weights[rows[:, 0]]
+    z = weights.take(rows[:, 0], axis=0)
     for k in range(1, 4):
-        z += weights[rows[:, k]]
-    z -= z.max(axis=1, keepdims=True)
+        z += weights.take(rows[:, k], axis=0)
+    np.minimum(z, 60, out=z)  # keeps the exponentials finite
     np.exp(z, out=z)
-    z /= z.sum(axis=1, keepdims=True)
+    z *= 1 / np.maximum(z @ np.ones(z.shape[1], np.float32), np.float32(1e-30))[:, None]
     return z
 
 
-def _descend(weights: np.ndarray, squares: np.ndarray, rows: np.ndarray, right: np.ndarray) -> None:
-    """One step on a batch: adaptive rate per row, gradients of equal rows summed first."""
+def _descend(weights: np.ndarray, squares: np.ndarray, rows: np.ndarray, right: np.ndarray, turn: int) -> None:
+    """One step on a batch, for the biases and for one of the three features in turn: adaptive rate per row,
+    gradients of equal rows summed first."""
     g = _chances(weights, rows)
     g[np.arange(len(g)), right] -= 1
-    for k in range(4):
-        order = np.argsort(rows[:, k], kind="stable")
-        at = rows[order, k]
+    share = np.full(g.shape[1], 1 / g.shape[1], np.float32)
+    for k in (turn % 3, 3):
+        low = int(rows[:, k].min())
+        order = np.argsort((rows[:, k] - low).astype(np.uint16), kind="stable")  # a sort by digits
+        at = rows[:, k].take(order)
         first = np.flatnonzero(np.append(True, at[1:] != at[:-1]))
-        total = np.add.reduceat(g[order], first, axis=0)
-        here = at[first]
-        squares[here] += (total * total).mean(axis=1)
-        weights[here] -= RATE * total / np.sqrt(squares[here] + 1)[:, None]
+        here = at.take(first)
+        total = np.add.reduceat(g.take(order, axis=0), first, axis=0) if len(first) > 1 else g.sum(axis=0, keepdims=True)
+        squares[here] += (total * total) @ share
+        total *= (RATE / np.sqrt(squares.take(here) + 1))[:, None]
+        weights[here] -= total
 
 
 def count_words(docs: DataFrame) -> DataFrame:
@@ -144,17 +182,16 @@ def count_words(docs: DataFrame) -> DataFrame:
     bounded_batches(docs.sparkSession)
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        hashes, parts, held = WordHashes(), [], 0
+        reader, totals = Reader(), np.zeros(0, np.int64)
         for batch in batches:
-            parts.append(streams(batch["text"], hashes)[0])
-            held += len(parts[-1])
-            if held > 4_000_000:
-                word, n = np.unique(np.concatenate(parts), return_counts=True)
-                parts, held = [], 0
-                yield pd.DataFrame({"word": word.view(np.int64), "n": n})
-        if parts:
-            word, n = np.unique(np.concatenate(parts), return_counts=True)
-            yield pd.DataFrame({"word": word.view(np.int64), "n": n})
+            if len(reader) > reader.room:
+                yield pd.DataFrame({"word": reader.hashes.view(np.int64), "n": totals})
+                totals = np.zeros(0, np.int64)
+            seen = np.bincount(reader.read(batch["text"])[0], minlength=len(reader))
+            seen[:len(totals)] += totals
+            totals = seen
+        if len(totals):
+            yield pd.DataFrame({"word": reader.hashes.view(np.int64), "n": totals})
 
     return docs.select("text").mapInPandas(count, "word bigint, n bigint").groupBy("word").agg(F.sum("n").alias("count"))
 
@@ -195,20 +232,20 @@ def train(docs: DataFrame, counts: Counts) -> MaxEnt:
         now = spark.sparkContext.broadcast(model)
 
         def descend(batches: Iterator[pd.DataFrame], now=now) -> Iterator[pd.DataFrame]:
-            local, hashes, seen = MaxEnt(known.value), WordHashes(), 0
+            local, reader, seen, turns = MaxEnt(known.value), Reader(known.value), 0, 0
             before = now.value.flat()
             local.take(before)
             squares = [np.zeros(len(w), np.float32) for w in (local.by_class, local.by_member)]
             for batch in batches:
-                tokens, lengths = streams(batch["text"], hashes)
-                context = contexts(tokens, lengths)
-                rank = known.value.find(tokens)[1]
-                rank = np.where(rank < CLASSES * MEMBERS, rank, -1)
+                tokens, lengths = reader.read(batch["text"])
+                context = contexts(reader.hashes[tokens], lengths)
+                rank = reader.ranks[tokens]
                 for i in range(0, len(tokens), BATCH):
                     r, c = rank[i:i + BATCH], context[i:i + BATCH]
-                    _descend(local.by_class, squares[0], _rows(c, None), np.where(r >= 0, r // MEMBERS, CLASSES))
+                    _descend(local.by_class, squares[0], _rows(c, None), np.where(r >= 0, r // MEMBERS, CLASSES), turns)
                     if (inside := r >= 0).any():
-                        _descend(local.by_member, squares[1], _rows(c[inside], r[inside] // MEMBERS), r[inside] % MEMBERS)
+                        _descend(local.by_member, squares[1], _rows(c[inside], r[inside] // MEMBERS), r[inside] % MEMBERS, turns)
+                    turns += 1
                 seen += len(tokens)
             if seen:
                 change = (local.flat() - before) * np.float32(seen)
@@ -237,12 +274,11 @@ def score(docs: DataFrame, counts: Counts, table: DataFrame, model: MaxEnt) -> D
     log_other = float(np.log10(model.other + 0.5 * (counts.distinct - top + 1)))
 
     def evaluate(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        hashes, m = WordHashes(), sent.value
+        reader, m = Reader(known.value), sent.value
         for batch in batches:
-            tokens, lengths = streams(batch["text"], hashes)
+            numbers, lengths = reader.read(batch["text"])
             doc = np.repeat(np.arange(len(lengths)), lengths)
-            count, rank = known.value.find(tokens)
-            rank = np.where(rank < CLASSES * MEMBERS, rank, -1)
+            tokens, count, rank = reader.hashes[numbers], reader.counts[numbers], reader.ranks[numbers]
             context = contexts(tokens, lengths)
             logs = np.zeros(len(tokens))
             for i in range(0, len(tokens), BATCH):
