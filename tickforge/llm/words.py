@@ -11,7 +11,7 @@ _MULTIPLY = np.uint64(0x9E3779B97F4A7C15)
 class WordHashes(dict):
     """64-bit hash of a word (bytes), remembered for up to ``room`` words."""
 
-    room = 300_000
+    room = 150_000
 
     def __missing__(self, word: bytes) -> int:
         if len(self) >= self.room:
