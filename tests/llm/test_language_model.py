@@ -64,3 +64,10 @@ def test_edges(spark):
     only_held = next(i for i in range(99) if zlib.crc32(str(i).encode()) % 5 == 1)
     (r,) = L.score_all(docs(spark, {only_held: "a b"})).collect()
     assert (r.train_tokens, r.n_known, r.base_score, r.score) == (0, 0, 0.0, 0.0)
+
+
+def test_every_feature_learns_from_every_batch(spark):
+    rows = docs(spark, {i: "red green blue one two three" for i in range(6)})  # a single batch a round and task
+    model = L.train(rows, L.hot_counts(L.count_words(rows)))
+    for weights in (model.by_class, model.by_member):
+        assert all(weights[k * L.BUCKETS:(k + 1) * L.BUCKETS].any() for k in range(3))

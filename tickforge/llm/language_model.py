@@ -35,7 +35,7 @@ from tickforge.sources.stored import stored
 
 FOLDS, HELD_OUT = 5, 1
 CLASSES, MEMBERS, BUCKETS, HOT = 32, 64, 2048, 131_072
-ROUNDS, BATCH, RATE = 3, 8192, 0.25
+ROUNDS, BATCH, RATE = 3, 4096, 0.15
 PIECE = 16_384
 _END, _START = b" end", b" start"  # no word holds a blank
 _PRIME = np.uint64(0x9E3779B97F4A7C15)
@@ -159,13 +159,13 @@ def _chances(weights: np.ndarray, rows: np.ndarray) -> np.ndarray:
     return z
 
 
-def _descend(weights: np.ndarray, squares: np.ndarray, rows: np.ndarray, right: np.ndarray, turn: int) -> None:
-    """One step on a batch, for the biases and for one of the three features in turn: adaptive rate per row,
-    gradients of equal rows summed first."""
+def _descend(weights: np.ndarray, squares: np.ndarray, rows: np.ndarray, right: np.ndarray) -> None:
+    """One step on a batch, for the biases and all three features: adaptive rate per row, gradients of equal
+    rows summed first."""
     g = _chances(weights, rows)
     g[np.arange(len(g)), right] -= 1
     share = np.full(g.shape[1], 1 / g.shape[1], np.float32)
-    for k in (turn % 3, 3):
+    for k in range(4):
         low = int(rows[:, k].min())
         order = np.argsort((rows[:, k] - low).astype(np.uint16), kind="stable")  # a sort by digits
         at = rows[:, k].take(order)
@@ -232,7 +232,7 @@ def train(docs: DataFrame, counts: Counts) -> MaxEnt:
         now = spark.sparkContext.broadcast(model)
 
         def descend(batches: Iterator[pd.DataFrame], now=now) -> Iterator[pd.DataFrame]:
-            local, reader, seen, turns = MaxEnt(known.value), Reader(known.value), 0, 0
+            local, reader, seen = MaxEnt(known.value), Reader(known.value), 0
             before = now.value.flat()
             local.take(before)
             squares = [np.zeros(len(w), np.float32) for w in (local.by_class, local.by_member)]
@@ -242,10 +242,9 @@ def train(docs: DataFrame, counts: Counts) -> MaxEnt:
                 rank = reader.ranks[tokens]
                 for i in range(0, len(tokens), BATCH):
                     r, c = rank[i:i + BATCH], context[i:i + BATCH]
-                    _descend(local.by_class, squares[0], _rows(c, None), np.where(r >= 0, r // MEMBERS, CLASSES), turns)
+                    _descend(local.by_class, squares[0], _rows(c, None), np.where(r >= 0, r // MEMBERS, CLASSES))
                     if (inside := r >= 0).any():
-                        _descend(local.by_member, squares[1], _rows(c[inside], r[inside] // MEMBERS), r[inside] % MEMBERS, turns)
-                    turns += 1
+                        _descend(local.by_member, squares[1], _rows(c[inside], r[inside] // MEMBERS), r[inside] % MEMBERS)
                 seen += len(tokens)
             if seen:
                 change = (local.flat() - before) * np.float32(seen)
