@@ -1,10 +1,11 @@
 """Secret scans with SQL functions only.
 
 Three fixed patterns find keys that announce themselves. Beyond them every run of 16 or more characters
-of an encoding alphabet that holds a digit is a candidate: its encoding is inferred (hex, base32, base36,
-base62, base64) and a battery of three tests asks whether it looks drawn at random from that alphabet:
-chi-squared uniformity of the characters, the number of runs below and above the middle of the alphabet,
-and the serial correlation of neighbours. Fisher's method makes one p-value of the three; a candidate
+of an encoding alphabet is a candidate, and so are its pieces of that length between slashes, between
+``_`` and ``-``, and between any of them: a key may stand in a path or behind a name. The encoding of a
+candidate is inferred (hex, letters, base32, base36, base62, base64) and a battery of three tests asks
+whether it looks drawn at random from that alphabet: chi-squared uniformity of the characters, the number
+of runs below and above the middle of the alphabet, and the serial correlation of neighbours. Fisher's method makes one p-value of the three; a candidate
 that fails at ``BATTERY`` is no secret.
 
 What passes could still be text, since short strings give the tests little power. The likelihood ratio of
@@ -30,11 +31,13 @@ HEX = r"[0-9a-f]{16,}"
 KINDS = ("assign", "access", "hex", "random")
 ASSIGN_VALUE = 12
 
-CANDIDATE = r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*+[0-9])[A-Za-z0-9+/_-]{16,}+={0,2}"
+CANDIDATE = r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}+={0,2}"
+#: Pieces of a run: base64 has no ``_`` and ``-``, its URL form no slash, the others neither.
+PIECES = tuple(rf"{letters}{{16,}}+={{0,2}}" for letters in ("[A-Za-z0-9+_-]", "[A-Za-z0-9+/]", "[A-Za-z0-9+]"))
 _DIGITS, _UPPER, _LOWER = "0123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Pattern and alphabet of each encoding, narrowest first.
-ENCODINGS = ((r"^[0-9a-fA-F]+$", "0123456789abcdef"), (r"^[A-Z2-7]+$", _UPPER + "234567"), (r"^[a-z0-9]+$", _DIGITS + _LOWER),
-             (r"^[A-Za-z0-9]+$", _DIGITS + _UPPER + _LOWER), (r"", _DIGITS + _UPPER + _LOWER + "+/"))
+ENCODINGS = ((r"^[0-9a-fA-F]+$", "0123456789abcdef"), (r"^[a-z]+$", _LOWER), (r"^[A-Z]+$", _UPPER), (r"^[A-Z2-7]+$", _UPPER + "234567"),
+             (r"^[a-z0-9]+$", _DIGITS + _LOWER), (r"^[A-Za-z]+$", _UPPER + _LOWER), (r"^[A-Za-z0-9]+$", _DIGITS + _UPPER + _LOWER), (r"", _DIGITS + _UPPER + _LOWER + "+/"))
 #: Share of each kind of character in text; kinds share evenly among their characters.
 TEXT_SHARES = ((_LOWER, 0.90), (_UPPER, 0.06), (_DIGITS, 0.03), ("+/_-", 0.01))
 BATTERY, RATE = 0.001, 0.01
@@ -131,8 +134,14 @@ def tested(value: Column) -> Column:
 
 
 def candidates(text: Column) -> Column:
-    """``array<struct<start, end, cls, grid>>`` of the candidates that pass the battery: length class and
-    log10 bound on the grid."""
+    """``array<struct<start, end, cls, grid>>`` of the candidates, runs and their pieces, that pass the battery:
+    length class and log10 bound on the grid."""
+
+    def pieces(m: Column) -> Column:
+        whole = F.array(F.struct(m["start"].alias("start"), m["end"].alias("end"), m["value"].alias("value")))
+        parts = F.flatten(F.array(*[F.transform(matched(m["value"], p), lambda x: F.struct(
+            (m["start"] + x["start"]).alias("start"), (m["start"] + x["end"]).alias("end"), x["value"].alias("value"))) for p in PIECES]))
+        return F.when(m["value"].rlike("[/_-]"), F.array_distinct(F.concat(whole, parts))).otherwise(whole)
 
     def judged(m: Column) -> Column:
         return F.struct(m["start"].alias("start"), m["end"].alias("end"), tested(m["value"]).alias("t"))
@@ -144,7 +153,7 @@ def candidates(text: Column) -> Column:
         grid = F.floor(F.greatest(F.lit(0.0), F.least(F.lit(GRID_MOST / GRID), m["t"]["bound"])) * GRID).cast("int")
         return F.struct(m["start"].alias("start"), m["end"].alias("end"), cls.alias("cls"), grid.alias("grid"), m["t"]["battery"].alias("battery"))
 
-    found = F.transform(F.transform(matched(text, CANDIDATE), judged), graded)
+    found = F.transform(F.transform(F.flatten(F.transform(matched(text, CANDIDATE), pieces)), judged), graded)
     return F.filter(found, lambda m: m["battery"] >= BATTERY)
 
 
@@ -165,15 +174,21 @@ def thresholds(docs: DataFrame) -> dict[int, int]:
 
 
 def secret_spans(text: Column, limits: dict[int, int]) -> Column:
-    """``array<struct<start, rank, end>>``: the base spans, and the random strings that touch none of them."""
+    """``array<struct<start, rank, end>>``: the base spans, and the random strings that touch none of them.
+    A piece of a run that is reported is not reported again."""
 
     def both(b: Column) -> Column:
         new = F.filter(candidates(text), lambda m: F.lit(False) if not limits else F.coalesce(m["grid"] >= F.element_at(
             F.create_map(*[F.lit(v) for kv in limits.items() for v in kv]), m["cls"]), F.lit(False)))
         new = F.filter(new, lambda m: ~F.exists(b["base"], lambda s: (s["start"] < m["end"]) & (m["start"] < s["end"])))
+        return F.struct(b["base"].alias("base"), new.alias("new"))
+
+    def widest(b: Column) -> Column:
+        new = F.filter(b["new"], lambda m: ~F.exists(b["new"], lambda w: (w["start"] <= m["start"]) & (m["end"] <= w["end"])
+                                                    & (w["end"] - w["start"] > m["end"] - m["start"])))
         return F.array_sort(F.concat(b["base"], _spans(new, 3)))
 
-    return F.element_at(F.transform(F.array(F.struct(base_spans(text).alias("base"))), both), 1)
+    return F.element_at(F.transform(F.transform(F.array(F.struct(base_spans(text).alias("base"))), both), widest), 1)
 
 
 def named(spans: Column) -> Column:
