@@ -40,6 +40,8 @@ ENCODINGS = ((r"^[0-9a-fA-F]+$", "0123456789abcdef"), (r"^[a-z]+$", _LOWER), (r"
              (r"^[a-z0-9]+$", _DIGITS + _LOWER), (r"^[A-Za-z]+$", _UPPER + _LOWER), (r"^[A-Za-z0-9]+$", _DIGITS + _UPPER + _LOWER), (r"", _DIGITS + _UPPER + _LOWER + "+/"))
 #: Share of each kind of character in text; kinds share evenly among their characters.
 TEXT_SHARES = ((_LOWER, 0.90), (_UPPER, 0.06), (_DIGITS, 0.03), ("+/_-", 0.01))
+#: The same for a run of capital letters alone, which may be a word of a text in capitals: letters by frequency.
+CAPITAL_SHARES = (("EATIONSR", 0.66), ("HLDCUM", 0.22), ("FPGBWVYKZ", 0.115), ("QXJ", 0.005))
 BATTERY, RATE = 0.001, 0.01
 #: Lower ends of the length classes; grid of log10 bounds.
 LENGTHS, GRID, GRID_MOST = (16, 24, 32, 48, 96), 4, 240
@@ -122,10 +124,15 @@ def tested(value: Column) -> Column:
         runs = F.when(width > 0, (changes + 1 - expected) / F.sqrt(width)).otherwise(F.lit(8.0))
         half = -(F.log(_tail(s["uniform"])) + F.log(F.least(F.lit(1.0), 2 * _tail(F.abs(runs))))
                  + F.log(F.least(F.lit(1.0), 2 * _tail(F.abs(serial)))))
-        ratio = n * F.log10(1 / s["k"])
-        for letters, share in TEXT_SHARES:
-            count = n - F.length(F.translate(s["text"], letters, ""))
-            ratio = ratio - count * math.log10(share / len(letters))
+
+        def against(shares: tuple) -> Column:
+            ratio = n * F.log10(1 / s["k"])
+            for letters, share in shares:
+                count = n - F.length(F.translate(s["text"], letters, ""))
+                ratio = ratio - count * math.log10(share / len(letters))
+            return ratio
+
+        ratio = F.when(F.translate(s["text"], _UPPER, "") == "", against(CAPITAL_SHARES)).otherwise(against(TEXT_SHARES))
         return F.struct(n.cast("int").alias("n"), (F.exp(-half) * (1 + half + half * half / 2)).alias("battery"), ratio.alias("bound"))
 
     one = F.array(F.struct(plain.alias("text"), alphabet.alias("alphabet"), size.alias("size"), F.split(plain, "").alias("chars")))
