@@ -7,13 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickforge.llm import chat, decontamination, language_model, mixing, near_dedup, quality, secret_scan, token_files, toxicity, vector_search
+from tickforge.llm import (bpe_tree, chat, decontamination, fill_middle, language_model, merkle, mixing, near_dedup, quality, secret_scan, token_files,
+                           toxicity, vector_search)
 from tickforge.llm.common import table
-from tickforge.llm.twins import chat_sql, mixing_sql
+from tickforge.llm.twins import chat_sql, fill_middle_sql, merkle_sql, mixing_sql
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 #: The others train, search or scan in ways that SQL can't express; tests hold them against plain versions.
-ORACLE: dict[str, str] = {"op2_chat": chat_sql(), "op10_mixing": mixing_sql()}
+ORACLE: dict[str, str] = {"op2_chat": chat_sql(), "op10_mixing": mixing_sql(), "op11_merkle_manifest": merkle_sql(), "op13_fill_middle": fill_middle_sql()}
 
 
 def query(fn: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
@@ -72,3 +73,18 @@ def op10_mixing(spark: SparkSession, sf: str) -> DataFrame:
     rows = mixing.mixed(table(spark, sf, "documents"))
     return rows.select("doc_id", "source", "lang", F.col("_topic").alias("topic"), F.col("_tokens").alias("tokens"),
                        F.round("_probability", 6).alias("probability"))
+
+
+@query
+def op11_merkle_manifest(spark: SparkSession, sf: str) -> DataFrame:
+    return merkle.verified(table(spark, sf, "documents"))
+
+
+@query
+def op12_bpe_tree(spark: SparkSession, sf: str) -> DataFrame:
+    return bpe_tree.encoded(table(spark, sf, "documents"))
+
+
+@query
+def op13_fill_middle(spark: SparkSession, sf: str) -> DataFrame:
+    return fill_middle.transformed(table(spark, sf, "documents"))

@@ -1,8 +1,8 @@
-"""DuckDB SQL for the queries that SQL can express: chat formatting and mixing."""
+"""DuckDB SQL for the queries that SQL can express: chat formatting, mixing, the Merkle manifest, fill-in-the-middle."""
 
 from __future__ import annotations
 
-from tickforge.llm import chat, mixing
+from tickforge.llm import chat, fill_middle, mixing
 
 
 def chat_sql() -> str:
@@ -50,3 +50,53 @@ level AS (SELECT arg_max(({mixing.BUDGET} * every - used) / rest, (f, source, la
 rates AS (SELECT source, lang, topic, least(1.0, f * v) AS p FROM ranked, level)
 SELECT doc_id, _s AS source, _l AS lang, topic, CAST(tokens AS BIGINT) AS tokens, round(p, 6) AS probability FROM d JOIN rates USING (source, lang, topic)
 WHERE tokens > 0 AND CAST('0x' || substr(md5('{mixing.SEED}:' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 13) AS BIGINT) / {float(16 ** 13)} < p"""
+
+
+def merkle_sql(levels: int = 9) -> str:
+    """All levels of all trees written out, the languages' trees and the tree over them by the same rule; enough levels for 8 ** 9 leaves."""
+    def leaf(text: str) -> str:
+        return "sha256(" + " || ".join(
+            f"coalesce(CAST(strlen(CAST({c} AS VARCHAR)) AS VARCHAR) || ':' || CAST({c} AS VARCHAR), '-')" for c in ("doc_id", "source", "lang", "n_chars", text)) + ")"
+
+    def grown(name: str, start: str) -> tuple[str, str]:
+        """Nodes of every level ``(tree, i, d, m)``, and the way up ``(tree, r, d, proof, fold, many)`` of every leaf, as two lists of CTEs."""
+        nodes, ways, last = [f"{name}0 AS MATERIALIZED (SELECT tree, i, d, count(*) OVER (PARTITION BY tree) AS m FROM {start})"], [], f"{name}0"
+        way = f"{start}"
+        for k in range(1, levels + 1):
+            nodes.append(f"""{name}{k}_runs AS MATERIALIZED (SELECT tree, i // 8 AS i, any_value(m) AS m, list(d ORDER BY i) AS kids, string_agg(d, '' ORDER BY i) AS all_kids FROM {last} GROUP BY tree, i // 8),
+{name}{k} AS MATERIALIZED (SELECT tree, i, d, count(*) OVER (PARTITION BY tree) AS m FROM (SELECT tree, i, CASE WHEN m > 1 THEN sha256(all_kids) ELSE all_kids END AS d FROM {name}{k}_runs))""")
+            last = f"{name}{k}"
+            left, right = f"array_to_string(kids[:w.r % 8], '')", f"array_to_string(kids[w.r % 8 + 2:], '')"
+            ways.append(f"""{name}{k}_way AS (SELECT w.* REPLACE (w.r // 8 AS r, CASE WHEN n.m > 1 THEN proof || {left} || {right} ELSE proof END AS proof,
+  CASE WHEN n.m > 1 THEN sha256({left} || fold || {right}) ELSE fold END AS fold) FROM {way} w JOIN {name}{k}_runs n ON n.tree = w.tree AND n.i = w.r // 8)""")
+            way = f"{name}{k}_way"
+        return ",\n".join(nodes), ",\n".join(ways)
+
+    # crc32 of a text of ASCII digits, bit by bit
+    crc = ("xor(list_reduce(list_concat([4294967295::BIGINT], list_transform(range(1, length(CAST(doc_id AS VARCHAR)) + 1), lambda i: ascii(substr(CAST(doc_id AS VARCHAR), i, 1))::BIGINT)),"
+           " lambda c, b: list_reduce([xor(c, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda x, z: xor(x >> 1, (x & 1) * 3988292384))), 4294967295::BIGINT)")
+    upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    lang_nodes, lang_ways = grown("a", "leaves")
+    top_nodes, top_ways = grown("b", "tops")
+    return f"""WITH own AS MATERIALIZED (SELECT doc_id, coalesce('=' || lang, '') AS tree, {leaf('text')} AS d,
+ CASE WHEN {crc} % 3 = 0 THEN {leaf(f"translate(text, '{upper}', '{upper.lower()}')")} ELSE {leaf('text')} END AS received FROM documents),
+leaves AS MATERIALIZED (SELECT doc_id, tree, d, row_number() OVER w - 1 AS i, row_number() OVER w - 1 AS r, '' AS proof, received AS fold FROM own WINDOW w AS (PARTITION BY tree ORDER BY doc_id NULLS FIRST, d)),
+{lang_nodes}, {lang_ways},
+tops AS MATERIALIZED (SELECT tree AS of, '' AS tree, row_number() OVER (ORDER BY tree) - 1 AS i, row_number() OVER (ORDER BY tree) - 1 AS r, d, '' AS proof, '' AS fold FROM a{levels}),
+{top_nodes},
+joined AS MATERIALIZED (SELECT w.doc_id, w.d AS leaf, t.d AS subroot, '' AS tree, t.r, w.proof, w.fold FROM a{levels}_way w JOIN tops t ON t.of = w.tree),
+{top_ways.replace('FROM tops w', 'FROM joined w')}
+SELECT doc_id, leaf, subroot, n.d AS root, sha256(proof) AS proof_sha256, fold AS folded_root, fold = n.d AS verified FROM b{levels}_way, b{levels} n"""
+
+
+def fill_middle_sql() -> str:
+    """Both texts put together from parts and digested whole."""
+    marks = (fill_middle.PREFIX, fill_middle.SUFFIX, fill_middle.MIDDLE)
+    h = ", ".join(f"CAST('0x' || substr(h, {8 * k + 1}, 8) AS BIGINT) AS h{k + 1}" for k in range(4))
+    return f"""WITH d AS (SELECT doc_id, coalesce(text, '') AS t, length(coalesce(text, '')) AS n, sha256('{fill_middle.SEED}:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h FROM documents),
+k AS (SELECT *, {h} FROM d),
+c AS (SELECT *, least(h1 % (n + 1), h2 % (n + 1)) AS a, greatest(h1 % (n + 1), h2 % (n + 1)) AS b,
+ CASE WHEN n = 0 OR {' OR '.join(f"contains(t, '{m}')" for m in marks)} OR h3 % 100 >= {fill_middle.PLAIN_FROM} THEN 'plain' WHEN h4 % 100 < {fill_middle.SPM_BELOW} THEN 'spm' ELSE 'psm' END AS form FROM k),
+p AS (SELECT *, '{marks[0]}' || substring(t, 1, a) AS prefix, '{marks[2]}' || substring(t, a + 1, b - a) AS middle, '{marks[1]}' || substring(t, b + 1, n - b) AS suffix FROM c)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN a END AS prefix_chars, CASE WHEN form <> 'plain' THEN b - a END AS middle_chars,
+ sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN prefix || suffix || middle ELSE suffix || prefix || middle END) AS output_sha256, sha256(t) AS restored_sha256 FROM p"""
