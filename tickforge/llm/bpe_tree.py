@@ -65,6 +65,11 @@ class Codec:
         if len(made_at) < len(pairs) or any(max(made_at.get(a, -1), made_at.get(b, -1)) >= rank for rank, (a, b) in enumerate(pairs)):
             raise ValueError("a symbol ranks below its parts, or has two origins")
         self.symbols = {i: s for s, i in model["vocab"].items()}
+        # the byte alphabet: printable bytes stand for themselves, the others are counted from 256 on
+        own = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        byte_of = {chr(b): b for b in own} | {chr(256 + k): b for k, b in enumerate(b for b in range(256) if b not in set(own))}
+        self.bytes = {i: bytes(byte_of[c] for c in s) for i, s in self.symbols.items()} | {t["id"]: t["content"].encode() for t in made_of["added_tokens"]}
+        self.names = {i: str(i) for i in self.bytes}
         added = sorted((t["content"] for t in made_of["added_tokens"]), key=len, reverse=True)
         self.added = re.compile("(" + "|".join(map(re.escape, added)) + ")") if added else None
 
@@ -76,7 +81,8 @@ class Codec:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def decode(self, ids: list[int]) -> str:
-        return self.tokenizer.decode(ids, skip_special_tokens=False)
+        """The library's text, by a table of each identifier's bytes."""
+        return b"".join(map(self.bytes.__getitem__, ids)).decode(errors="replace")
 
     def merged(self, symbols: str) -> list[int]:
         """Merges alone, over symbols of the byte alphabet, without pre-tokenizer."""
@@ -191,7 +197,7 @@ class Digests:
 
     def add(self, ids: list[int], codec: Codec) -> Digests:
         if ids:
-            self.ids.update(("," * (self.n > 0) + ",".join(map(str, ids))).encode())
+            self.ids.update(("," * (self.n > 0) + ",".join(map(codec.names.__getitem__, ids))).encode())
             self.n += len(ids)
             self.text.update(codec.decode(ids).encode())
         return self
