@@ -29,6 +29,8 @@ from tickforge.llm.common import bounded_batches
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.json"
 #: Code points of a leaf; texts above ``SPREAD`` have their leaves dealt to tasks; identifiers a side of the first window.
 LEAF, SPREAD, WINDOW = 1 << 13, 1 << 16, 8
+#: Pieces that a worker remembers, and the longest of them.
+MEMORY, REMEMBERED = 300_000, 24
 #: Code points that the pre-tokenizer's patterns look ahead beyond the end of a match.
 AHEAD = 2
 WHOLE, HEAD, PART = 0, 1, 2
@@ -69,15 +71,39 @@ class Codec:
         own = [*range(33, 127), *range(161, 173), *range(174, 256)]
         byte_of = {chr(b): b for b in own} | {chr(256 + k): b for k, b in enumerate(b for b in range(256) if b not in set(own))}
         self.bytes = {i: bytes(byte_of[c] for c in s) for i, s in self.symbols.items()} | {t["id"]: t["content"].encode() for t in made_of["added_tokens"]}
+        self.known: dict[str, list[int]] = {}
+        self.sizes = {i: len(b) for i, b in self.bytes.items()}
         self.names = {i: str(i) for i in self.bytes}
         added = sorted((t["content"] for t in made_of["added_tokens"]), key=len, reverse=True)
         self.added = re.compile("(" + "|".join(map(re.escape, added)) + ")") if added else None
 
     def encode(self, text: str) -> list[int]:
         """What the library gives for a text, or for a leaf of kind ``WHOLE``."""
-        return self.tokenizer.encode(text, add_special_tokens=False).ids
+        return self.encode_all([text])[0]
 
     def encode_all(self, texts: list[str]) -> list[list[int]]:
+        """The same for several texts. They are cut at every blank where any text is cut; short pieces are remembered, and
+        new ones are encoded together, as one text that is cut between them."""
+        if len(self.known) > MEMORY:
+            self.known = {}
+        known, all_pieces = self.known, [None if self.added and self.added.search(t) else _pieces(t) for t in texts]
+        new = list(dict.fromkeys(p for pieces in all_pieces if pieces for p in pieces if p not in known))
+        inner = [p for p in new if p[:1] == " " and _solid(p[-1])]
+        outer = list(set(new).difference(inner))
+        fresh = dict(zip(outer, self._library(outer)))
+        if inner:
+            ids, at = self._library(["".join(inner)])[0], 0
+            for p in inner:
+                begin, left = at, len(p.encode())
+                while left:
+                    left -= self.sizes[ids[at]]
+                    at += 1
+                fresh[p] = ids[begin:at]
+        known.update((p, x) for p, x in fresh.items() if len(p) <= REMEMBERED)
+        return [self._library([t])[0] if pieces is None else [i for p in pieces for i in (known[p] if p in known else fresh[p])]
+                for t, pieces in zip(texts, all_pieces)]
+
+    def _library(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def decode(self, ids: list[int]) -> str:
@@ -179,6 +205,19 @@ def _solid(char: str) -> bool:
     return "!" <= char <= "~" or char.isalnum()
 
 
+def _pieces(text: str) -> list[str]:
+    """A text cut at every blank after something solid."""
+    out, held = [], ""
+    for k, part in enumerate(text.split(" ")):
+        if held and _solid(held[-1]):
+            out.append(held)
+            held = " " + part
+        else:
+            held += " " + part if k else part
+    out.append(held)
+    return out
+
+
 def _white(text: str, start: int, stop: int) -> int:
     """A place up to ``stop`` where any text is cut: a blank after something solid. 0 if none."""
     at = text.rfind(" ", start + 1, stop + 1)
@@ -213,11 +252,9 @@ def in_place(docs: DataFrame, path: str, leaf: int) -> DataFrame:
         codec = None
         for batch in batches:
             codec = codec or Codec(path)
-            short = [t for t in batch["text"] if len(t) <= leaf]
-            encoded = iter(codec.encode_all(short))
-            out = []
+            short, out = iter(codec.encode_all([t for t in batch["text"] if len(t) <= leaf])), []
             for doc_id, text in zip(batch["doc_id"], batch["text"]):
-                units = [next(encoded)] if len(text) <= leaf else codec.units(codec.encode_leaves(codec.leaves(text, leaf)))
+                units = [next(short)] if len(text) <= leaf else codec.units(codec.encode_leaves(codec.leaves(text, leaf)))
                 digests = Digests()
                 for ids in units:
                     digests.add(ids, codec)
