@@ -49,6 +49,41 @@ def test_gap_status_against_the_plain_loop(spark):
             assert max(ahead) == pytest.approx(r["fill_ahead"], abs=1e-9)
 
 
+def test_gap_status_climbs_a_tower_of_four_levels(spark):
+    """More than 32 ** 3 bars: every closing bar by a plain search from the gap on, and no list longer than a block."""
+    n, rng = 33_500, np.random.default_rng(3)
+    f = walk("L", n, 7)
+    level = 1000 + np.cumsum(rng.normal(0, 1, n)) + np.where(np.arange(n) % 5000 < 40, 60, 0)
+    f["open"], f["close"] = level, level + rng.normal(0, 0.5, n)
+    f["high"], f["low"] = np.maximum(f.open, f.close) + 0.1, np.minimum(f.open, f.close) - 0.1
+    f.loc[np.arange(0, n, 777), ["low"]] = np.nan
+    rows = positioned(bars(spark, f)).drop("seg").withColumn("low", F.nanvl("low", F.lit(None)))
+    status = G.gap_status(rows)
+    plan = status._jdf.queryExecution().executedPlan().toString()
+    assert "collect_list" not in "".join(x for x in plan.splitlines() if "Window" in x) and plan.count("Join") >= 7
+    rows = rows.orderBy("pos").collect()
+    low, high = [np.array([np.nan if r[c] is None else r[c] for r in rows]) for c in ("low", "high")]
+    found = far = 0
+    for r in status.collect():
+        lower, upper = min(r["start"], r["end"]), max(r["start"], r["end"])
+        x = low[r["pos"] + 1:] if r["direction"] == "up" else -high[r["pos"] + 1:]
+        l, u = (lower, upper) if r["direction"] == "up" else (-upper, -lower)
+        fills = (u - np.maximum(x, l)) / (u - l) * 100 if u > l else np.zeros(len(x))
+        at = np.flatnonzero(fills >= 50)
+        assert r["closed"] == bool(len(at))
+        want = fills[at[0]] if len(at) else np.nanmax(fills, initial=0)
+        assert r["fill_pct"] == pytest.approx(max(0, want), abs=1e-7)
+        found, far = found + 1, far + bool(len(at) and at[0] > 1024)
+    assert found > 300 and far > 5
+
+
+def test_tower_has_few_cells(spark):
+    rows = positioned(bars(spark, walk("A", 2100, 1), walk("B", 40, 2))).drop("seg")
+    tower = G.block_tower(rows, 3)
+    assert [x.agg(F.sum(F.size("cells_low"))).first()[0] for x in tower] == [2140, 66 + 2, 3 + 1]
+    assert tower[0].agg(F.max(F.size("cells_low"))).first()[0] == 32
+
+
 def test_three_candles_with_a_gap_of_no_size(spark):
     f = walk("A", 3, 1)
     f["open"], f["close"] = [10, 11, 12.0], [10.5, 11.5, 12.5]

@@ -10,10 +10,12 @@ import datetime as dt
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tickforge.sources.stored import stored
+
 THRESHOLD = 0.01
 CLOSE_AT = 50.0
 LOOKAHEAD = 10
-BLOCK = 32  # bars per block of the closing search
+BLOCK = 32  # parts of a block in the closing search
 
 
 def place() -> Window:
@@ -116,70 +118,78 @@ def gap_closed(rows: DataFrame) -> DataFrame:
             .drop("later_low", "later_high"))
 
 
+def block_tower(rows: DataFrame, height: int) -> list[DataFrame]:
+    """``tower[k - 1]``: blocks of ``BLOCK ** k`` bars as ``(symbol, blk, low, nhigh, cells_low, cells_nhigh)``, the extremes
+    of a block and those of its at most ``BLOCK`` parts in order. All levels together have n * 32 / 31 cells."""
+    level = rows.select("symbol", F.col("pos").alias("blk"), "low", (-F.col("high")).alias("nhigh"))
+    tower = []
+    for _ in range(height):
+        parts = F.sort_array(F.collect_list(F.struct("blk", "low", "nhigh")))
+        level = level.groupBy("symbol", F.floor(F.col("blk") / F.lit(BLOCK)).cast("int").alias("_up")).agg(
+            F.min("low").alias("low"), F.min("nhigh").alias("nhigh"), parts.alias("_parts"))
+        level = level.select("symbol", F.col("_up").alias("blk"), "low", "nhigh", F.col("_parts.low").alias("cells_low"),
+                             F.col("_parts.nhigh").alias("cells_nhigh"))
+        tower.append(level)
+    return tower
+
+
 def gap_status(rows: DataFrame) -> DataFrame:
     """All gaps with ``closed`` and ``fill_pct`` (fill at the first bar that closes the gap, or
     the largest fill if none does) and ``fill_ahead``.
 
-    The first closing bar is found by blocks of 32 bars, not by pairing bars: first in the rest
-    of the gap's own block, else in the first later block whose extreme closes the gap, which is
-    one equi-join. Per symbol only the block extremes travel with its gaps. Down gaps are
-    looked at upside down (``-high`` for ``low``), so one rule serves both directions.
+    The first closing bar is found in a tower of block extremes, not by pairing bars. A gap climbs: it
+    looks at the later parts of its own block of 32 bars, then of 32 * 32 and so on, until a part's
+    extreme closes it; then it goes down into that part to the bar. Every step is an equi-join on
+    (symbol, block), so the search has no hot symbol, and a gap never meets more than 32 cells
+    a step, however long the history is. Down gaps are looked at upside down (``-high`` for
+    ``low``), so one rule serves both directions. The rows are written once, because the height of the
+    tower comes from the longest history.
     """
-    blocked = rows.withColumns({"blk": F.floor(F.col("pos") / F.lit(BLOCK)).cast("int"),
-                                "nhigh": -F.col("high")})
-    rest = (Window.partitionBy("symbol", "blk").orderBy("pos")
-            .rowsBetween(1, Window.unboundedFollowing))
-    gaps = gap_lookahead(blocked.withColumns({"_rl": F.collect_list("low").over(rest),
-                                              "_rh": F.collect_list("nhigh").over(rest)})
-                         .withColumnsRenamed({"_rl": "rest_low", "_rh": "rest_high"}))
-
-    def in_order(key, value):
-        return F.sort_array(F.collect_list(F.struct(key, value)))
-
-    blocks = blocked.groupBy("symbol", "blk").agg(
-        F.min("low").alias("low"), F.min("nhigh").alias("nhigh"),
-        in_order("pos", "low")["low"].alias("cell_low"),
-        in_order("pos", "nhigh")["nhigh"].alias("cell_high"))
-    heads = blocks.groupBy("symbol").agg(in_order("blk", "low")["low"].alias("head_low"),
-                                         in_order("blk", "nhigh")["nhigh"].alias("head_high"))
-
+    rows = stored(rows, "positioned")
+    longest, height = rows.agg(F.max("pos")).first()[0] or 0, 1
+    while BLOCK ** height <= longest:
+        height += 1
+    tower = block_tower(rows, height)
     up = F.col("direction") == "up"
     lower, upper = F.least("start", "end"), F.greatest("start", "end")
-    g = gaps.withColumns({
-        "rest": F.when(up, F.col("rest_low")).otherwise(F.col("rest_high")),
-        "_l": F.when(up, lower).otherwise(-upper), "_u": F.when(up, upper).otherwise(-lower)})
-    g = g.withColumn("_s", F.when(F.col("_u") > F.col("_l"), F.col("_u") - F.col("_l"))) \
-        .drop("rest_low", "rest_high", "nhigh").join(heads, "symbol")
+    g = gap_lookahead(rows).withColumns({"_l": F.when(up, lower).otherwise(-upper), "_u": F.when(up, upper).otherwise(-lower)})
+    none = F.lit(None)
+    g = g.withColumns({"_s": F.when(F.col("_u") > F.col("_l"), F.col("_u") - F.col("_l")), "_level": none.cast("int"), "_at": none.cast("int"),
+                       "_hit": none.cast("double"), "_far": none.cast("double")})
 
-    def fill(x):
+    def fill(x: Column) -> Column:
         return (F.col("_u") - F.greatest(x, F.col("_l"))) / F.col("_s") * 100
 
-    def closes(x):
-        return fill(x) >= CLOSE_AT
-
-    heads_of = F.when(up, F.col("head_low")).otherwise(F.col("head_high"))
-    later = F.slice(heads_of, F.col("blk") + 2, F.greatest(F.size(heads_of) - F.col("blk") - 1,
-                                                           F.lit(0)))
-    g = g.withColumns({"_own": F.get(F.filter("rest", closes), F.lit(0)), "_later": later}) \
-        .drop("head_low", "head_high")
-    step = F.array_position(F.transform("_later", lambda x: F.coalesce(closes(x), F.lit(False))),
-                            F.lit(True))
-    g = g.withColumns({
-        "_target": F.when(F.col("_own").isNull() & (step > 0), F.col("blk") + step.cast("int")),
-        "_far": F.least(F.array_min("rest"), F.array_min("_later"))}).drop("rest", "_later", "blk")
-    target = blocks.select(F.col("symbol").alias("_sym"), F.col("blk").alias("_blk"),
-                           "cell_low", "cell_high")
-    g = g.join(target, (F.col("symbol") == F.col("_sym")) & (F.col("_target") == F.col("_blk")),
-               "left")
-    cells = F.when(up, F.col("cell_low")).otherwise(F.col("cell_high"))
-    g = g.withColumn("_hit", F.coalesce("_own", F.get(F.filter(cells, closes), F.lit(0))))
+    def first(cells: Column) -> Column:
+        """Place of the first cell that closes the gap, from 1; 0 if none does. Missing prices close nothing."""
+        return F.coalesce(F.array_position(F.transform(cells, lambda x: x.isNotNull() & F.coalesce(fill(x) >= CLOSE_AT, F.lit(False))), F.lit(True)), F.lit(0)).cast("int")
+
+    def step(g: DataFrame, level: int, looking: Column, block: Column, own: Column) -> DataFrame:
+        """Gaps that are ``looking`` meet their block of a level; the others pass by under keys that no block has."""
+        key = F.when(looking, block).otherwise(-1 - F.col("pos"))
+        blocks = tower[level - 1].select(F.col("symbol").alias("_symbol"), F.col("blk").alias("_blk"), "cells_low", "cells_nhigh")
+        g = g.withColumn("_key", key).join(blocks, (F.col("symbol") == F.col("_symbol")) & (F.col("_key") == F.col("_blk")), "left")
+        cells = F.when(up, F.col("cells_low")).otherwise(F.col("cells_nhigh"))
+        g = g.withColumn("_rest", F.slice(cells, own + 1, BLOCK)).withColumn("_n", first(F.col("_rest")))
+        found = looking & (F.col("_n") > 0)
+        g = g.withColumns({
+            "_far": F.least("_far", F.array_min("_rest")),
+            "_hit": F.when(found, F.get("_rest", F.col("_n") - 1)).otherwise(F.col("_hit")),
+            "_at": F.when(found, F.col("_key") * BLOCK + own + F.col("_n") - 1).otherwise(F.col("_at")),
+            "_level": F.when(found, F.lit(level - 1)).otherwise(F.col("_level"))})
+        return g.drop("_symbol", "_blk", "_key", "cells_low", "cells_nhigh", "_rest", "_n")
+
+    for level in range(1, height + 1):
+        part = F.floor(F.col("pos") / F.lit(BLOCK ** (level - 1))).cast("int")
+        g = step(g, level, F.col("_level").isNull(), F.floor(F.col("pos") / F.lit(BLOCK ** level)).cast("int"), part % BLOCK + 1)
+    for level in range(height - 1, 0, -1):
+        g = step(g, level, F.coalesce(F.col("_level") == level, F.lit(False)), F.col("_at"), F.lit(0))
     seen = F.coalesce("_hit", "_far")
     reached = F.coalesce(F.when(seen.isNotNull(), fill(seen)), F.lit(0.0))
     return g.withColumns({
         "closed": F.col("_hit").isNotNull(),
         "fill_pct": F.greatest(F.lit(0.0), F.least(F.lit(100.0), reached))}) \
-        .drop("_hit", "_own", "_target", "_far", "_sym", "_blk", "cell_low", "cell_high",
-              "_l", "_u", "_s")
+        .drop("_hit", "_far", "_at", "_level", "_l", "_u", "_s")
 
 
 def _probability() -> Column:
@@ -196,10 +206,9 @@ def gap_close_probability_by_type(gaps: DataFrame) -> DataFrame:
 
 
 def latest_open_gap(status: DataFrame) -> DataFrame:
-    newest = F.max_by(F.struct("ts", "kind", "start", "end", "fill_pct"),
-                      F.struct("ts", -F.col("ord")))
-    return (status.where(~F.col("closed")).groupBy("symbol").agg(newest.alias("_g"))
-            .select("symbol", "_g.*"))
+    newest = Window.partitionBy("symbol").orderBy(F.col("ts").desc(), "ord")
+    return (status.where(~F.col("closed")).withColumn("_n", F.row_number().over(newest)).where(F.col("_n") == 1)
+            .select("symbol", "ts", "kind", "start", "end", "fill_pct"))
 
 
 def gap_history(bars: DataFrame, as_of: dt.date, years: int = 5) -> DataFrame:
