@@ -1,5 +1,7 @@
 """Means over several segments, inputs with odd texts, empty tasks, shared folders."""
 
+import datetime as dt
+
 import numpy as np
 import pandas as pd
 import pytest
@@ -7,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tests.util import bars, walk
 from tickforge.functions import scalars as S
-from tickforge.functions.windows import positioned, with_ema
+from tickforge.functions.windows import in_ranges, positioned, running_totals, with_ema
 from tickforge.operators import correlation as C
 from tickforge.operators import indicators as I
 from tickforge.operators import portfolio as O
@@ -106,3 +108,45 @@ def test_scratch_folders_can_be_cleared(spark):
     D.clear_scratch(spark, folder)
     with pytest.raises(Exception, match="PATH_NOT_FOUND"):
         spark.read.parquet(folder)
+
+
+def test_bars_table_is_pruned_by_year_and_bucket(spark):
+    frames = [walk(f"S{k}", 900, k) for k in range(12)]
+    rows = bars(spark, *frames)
+    name, folder = D.scratch_table(spark, "history")
+    B.write_bars(rows, name, folder, buckets=4)
+    every = B.scan_bars(spark, name)
+    assert every.columns == rows.columns and every.count() == 12 * 900
+    since = dt.date(2002, 3, 1)
+    some = B.scan_bars(spark, name, ["S3"], since)
+    plan = some.groupBy("symbol").count()._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(year" in plan and "SelectedBucketsCount: 1 out of 4" in plan and "Exchange" not in plan
+    want = [(r.symbol, r.ts.to_pydatetime(), r.close) for r in frames[3].itertuples() if r.ts.date() >= since]
+    assert sorted((r.symbol, r.ts, r.close) for r in some.collect()) == want and len(want) > 90
+    read = {r.f for r in some.select(F.input_file_name().alias("f")).collect()}
+    assert len(read) == 1 < len(every.inputFiles())
+    assert len(every.inputFiles()) <= 3 * 4  # years and buckets, however many tasks wrote them
+    D.clear_scratch(spark, folder)
+    assert not spark.catalog.tableExists(name)
+    gone = B.scan_bars(spark, name, ["S3"], since)
+    assert gone.count() == 0 and gone.columns == rows.columns and gone.dtypes == rows.dtypes
+
+
+def test_ranges_split_a_hot_group_and_a_hot_day(spark):
+    rows = spark.range(4000).selectExpr("IF(id % 3 = 0, 'hot', concat('p', id % 50)) AS p", "IF(id % 2 = 0, 7, id % 30) AS day", "id")
+    for setting, value in (("spark.sql.adaptive.coalescePartitions.enabled", "false"), ("spark.sql.shuffle.partitions", "16")):
+        spark.conf.set(setting, value)
+    try:
+        ranged = in_ranges(rows, ["p"], [F.col("day"), F.col("id")])
+        sizes = [r["count"] for r in ranged.groupBy("range").count().collect()]
+        of_hot = ranged.where("p = 'hot'").select("range").distinct().count()
+        got = running_totals(ranged, ["p"], [F.col("day"), F.col("id")], F.col("range"), {"total": F.col("id")}).collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert of_hot >= 4 and max(sizes) < 4 * 4000 / 16
+    totals, want = {}, {}
+    for r in sorted(rows.collect(), key=lambda r: (r.p, r.day, r.id)):
+        totals[r.p] = totals.get(r.p, 0) + r.id
+        want[r.id] = totals[r.p]
+    assert {r.id: r.total for r in got} == want

@@ -9,6 +9,8 @@ import __spark_entry__ as entry
 from check import TABLES, rows_of
 from tickforge.operators import correlation as C
 from tickforge.operators import signal as X
+from tickforge.plans.data import AS_OF, stored_supplier_bars, supplier_bars
+from tickforge.sources.stored import stored
 from tickforge.streaming import live as L
 
 GAP = "struct<start:double,end:double,center:double,dist:double>"
@@ -121,3 +123,16 @@ def test_sql_twins(spark, sf, name):
 
 def test_entry_runs(spark):
     assert entry.entry(spark).count() > 0
+
+
+def test_signal_reads_bucketed_bars_without_an_exchange(spark, sf):
+    """All branches, and the joins of their parts, work on the buckets as they were written."""
+    daily = stored_supplier_bars(spark, sf)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for timeframe in ("1d", "1w", "1mo"):
+            plan = X.portfolio_signal(daily, AS_OF, timeframe)._jdf.queryExecution().executedPlan().toString()
+            assert "Exchange" not in plan and plan.count("Bucketed: true") >= 5
+        assert X.timeframe_signal(stored(supplier_bars(spark, sf)), "1mo", AS_OF)._jdf.queryExecution().executedPlan().toString().count("Exchange hash") > 5
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")

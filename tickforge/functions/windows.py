@@ -19,6 +19,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
+from tickforge.sources.stored import stored
+
 # Rows per EMA segment: the inverse decay of the shortest span (2) stays below 1e96, and the value at
 # the end of a segment is carried in full, so every span and history length is exact.
 SEGMENT = 200
@@ -127,6 +129,15 @@ def _attach(cut: DataFrame, offsets: DataFrame, keys: Sequence[str]) -> DataFram
     return cut.join(offsets, on).drop("_k_bucket", *[f"_k_{k}" for k in keys])
 
 
+def in_ranges(df: DataFrame, keys: Sequence[str], order: Sequence[Column], name: str = "range") -> DataFrame:
+    """``df`` as a table cut into ranges of (group, order) between sampled splitters, with the number of the range.
+
+    A range is a bucket for ``running_totals`` and ``numbered`` that holds about as many rows as any other, whatever share of
+    the rows falls on one group and one day. ``order`` should tell the rows of a group apart."""
+    ranged = df.repartitionByRange(*[F.col(k) for k in keys], *order).withColumn(name, F.spark_partition_id())
+    return stored(ranged, "ranges")
+
+
 def running_totals(df: DataFrame, keys: Sequence[str], order: Sequence[Column],
                    bucket: Column, sums: Mapping[str, Column]) -> DataFrame:
     """Running sums per group in ``order``, without putting a whole group into one task.

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from tickforge.functions.scalars import (coerce_float, coerce_non_negative_int, compact_upper,
                                          pick_best_label, rnd, strip)
-from tickforge.functions.windows import numbered, running_totals
+from tickforge.functions.windows import in_ranges, numbered, running_totals
 
 SOCIAL_TICKERS, NAME_LENGTH, CLIENT_NAME_LENGTH = 12, 80, 40
 FEED_EVENTS, SAVED_EVENTS, KEPT_EVENTS = 6, 8, 120
@@ -322,17 +322,18 @@ def public_portfolio_rollup(entries: DataFrame) -> DataFrame:
         "tickers", F.coalesce("tickers", F.array().cast("array<string>")))
 
 
-def realized_trend(valued: DataFrame, now_ms: int, bucket_ms: int = 30 * 86_400_000) -> DataFrame:
+def realized_trend(valued: DataFrame, now_ms: int) -> DataFrame:
     """Value-weighted return of the closed positions as they were sold, between a start point at
     zero and an end point with the summed return.
 
-    The running sums go by (portfolio, month of sale), never over a portfolio as a whole.
+    The running sums go by ranges of (portfolio, time of sale) of about the same size: sums per range, carried into the
+    next, so neither a portfolio nor a busy day is one task.
     """
     keys = ["owner_id", "portfolio_id"]
     closed = valued.where((F.col("status") == "sold") & F.col("initial_price").isNotNull()
                           & F.col("current_value").isNotNull() & (F.col("closed_at") > 0))
-    run = running_totals(closed, keys, [F.col("closed_at"), F.col("position")],
-                         F.floor(F.col("closed_at") / F.lit(bucket_ms)),
+    order = [F.col("closed_at"), F.col("position")]
+    run = running_totals(in_ranges(closed, keys, order), keys, order, F.col("range"),
                          {"_inv": F.col("initial_price"), "_val": F.col("current_value")})
     pct = F.coalesce(F.try_divide(F.col("_val") - F.col("_inv"), _positive(F.col("_inv"))) * 100, F.lit(0.0))
     points = run.select(*keys, F.lit(1).alias("part"), F.col("closed_at").alias("ts"), "position",

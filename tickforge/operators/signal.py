@@ -331,8 +331,7 @@ def signal_inputs(daily: DataFrame, timeframe: str, as_of: dt.date) -> DataFrame
     zones = z.select("symbol", "price", F.col("support.price").alias("support"),
                      F.col("resistance.price").alias("resistance"), "state", "state_strength")
     status = G.gap_closed(gap_rows(daily, timeframe, as_of))
-    prices = zones.select("symbol", "price")
-    gaps = nearest_open_gaps(status, prices)
+    gaps = nearest_open_gaps(status, Z.zone_price(daily, timeframe, as_of))
     prob = G.gap_close_probability(status)
     tech = tech_summary(vote_counts(technicals_rows(timeframe_bars(daily, timeframe), timeframe, as_of)))
     tech = tech.select("symbol", "general", "strength", "buy", "sell", "neutral")

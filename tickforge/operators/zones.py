@@ -52,6 +52,14 @@ def zone_bars(bars: DataFrame, timeframe: str, as_of: dt.date) -> DataFrame:
     return tail_rows(clean_bars(rows), zone_params(timeframe).tail)
 
 
+def zone_price(bars: DataFrame, timeframe: str, as_of: dt.date) -> DataFrame:
+    """``(symbol, price)`` as ``supply_demand`` gives it, without the zones: the newest close, which cleaning keeps from being null."""
+    rows = in_period(bars, "zones", timeframe, as_of)
+    rule = {"1w": "W-FRI", "1mo": "ME"}.get(timeframe)
+    rows = clean_bars(resample(rows, rule) if rule else rows)
+    return rows.groupBy("symbol").agg(rnd(F.max_by("close", "ts"), 2).alias("price"))
+
+
 def adl_cumsum(bars: DataFrame) -> DataFrame:
     span = F.col("high") - F.col("low")
     span = F.when(span == 0, F.lit(1e-9)).otherwise(span)

@@ -13,6 +13,7 @@ from tickforge.plans.data import (AS_OF, AS_OF_SQL, DAY_SQL, FLAG_SQL, SUPPLIER_
                                   flag_bars, market_bars, supplier_bars, table, ticks)
 from tickforge.plans.registry import query
 from tickforge.sources import bars as B
+from tickforge.sources.stored import scratch_table
 
 OHLC4 = ("open", "high", "low", "close")
 
@@ -34,7 +35,17 @@ def _(spark, sf):
 @query("scan_bars", f"""WITH {SUPPLIER_SQL} SELECT {_BARS_OUT} FROM bars
 WHERE ts >= {AS_OF_SQL} - INTERVAL 72 MONTH""")
 def _(spark, sf):
-    return _bars_out(B.in_period(supplier_bars(spark, sf), "quote", "1d", AS_OF))
+    name, folder = scratch_table(spark, "history")
+    B.write_bars(supplier_bars(spark, sf), name, folder, buckets=8)
+    return _bars_out(B.scan_bars(spark, name, since=B.period_start("quote", "1d", AS_OF)))
+
+
+@query("scan_bars_of_symbols", f"""WITH {SUPPLIER_SQL} SELECT {_BARS_OUT} FROM bars
+WHERE ts >= {AS_OF_SQL} - INTERVAL 24 MONTH AND symbol IN ('3', '7')""")
+def _(spark, sf):
+    name, folder = scratch_table(spark, "history")
+    B.write_bars(supplier_bars(spark, sf), name, folder, buckets=8)
+    return _bars_out(B.scan_bars(spark, name, ["3", "7"], B.period_start("technicals", "1d", AS_OF)))
 
 
 # Raw bars with gaps to clean, derived from the trades: every fifth day lacks high and low,

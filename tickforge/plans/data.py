@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tickforge.sources.bars import bars_from_trades, sequence_key
-from tickforge.sources.stored import stored
+from tickforge.sources.stored import stored_by_symbol
 
 AS_OF = dt.date(2001, 11, 4)
 
@@ -37,8 +37,8 @@ def supplier_bars(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def stored_supplier_bars(spark: SparkSession, sf: str) -> DataFrame:
-    """The same as a table, as a user would keep it, for jobs with several branches over bars."""
-    return stored(supplier_bars(spark, sf))
+    """The same as a table in buckets of symbols, as a user would keep it, for jobs with several branches over bars."""
+    return stored_by_symbol(supplier_bars(spark, sf))
 
 
 def market_bars(spark: SparkSession, sf: str) -> DataFrame:

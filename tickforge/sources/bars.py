@@ -61,15 +61,35 @@ def bars_from_trades(trades: DataFrame, slot: Column | None = None) -> DataFrame
     )
 
 
-def scan_bars(spark: SparkSession, path: str, symbols: list[str] | None = None,
-              since: dt.date | None = None) -> DataFrame:
-    """Bars table from Parquet; both filters reach the scan."""
-    out = spark.read.parquet(path)
+BARS = "symbol string, ts timestamp_ntz, open double, high double, low double, close double, volume double"
+
+
+def write_bars(bars: DataFrame, table: str, path: str | None = None, buckets: int = 64) -> None:
+    """Bars as a table of the session's catalog: a folder per year, in it a file per bucket of symbols, sorted by time.
+
+    A year of a bucket is written by one task, so the number of files is years * buckets however many tasks there
+    were. ``path`` makes it an external table."""
+    year = F.coalesce(F.year("ts"), F.lit(0))
+    rows = bars.withColumn("year", year)
+    out = rows.repartition(buckets, "symbol").write.partitionBy("year").bucketBy(buckets, "symbol").sortBy("symbol", "ts").format("parquet")
+    (out if path is None else out.option("path", path)).mode("errorifexists").saveAsTable(table)
+
+
+def scan_bars(spark: SparkSession, table: str, symbols: list[str] | None = None,
+              since: Column | dt.date | None = None) -> DataFrame:
+    """Bars of a table of ``write_bars``; a table that is not there gives an empty frame.
+
+    ``since`` prunes the folders of earlier years and ``symbols`` the files of other buckets before anything is read; both
+    reach the Parquet scan as well."""
+    if not spark.catalog.tableExists(table):
+        return spark.createDataFrame([], BARS)
+    out = spark.table(table)
     if symbols is not None:
         out = out.where(F.col("symbol").isin(symbols))
     if since is not None:
-        out = out.where(F.col("ts") >= F.lit(since))
-    return out
+        start = since if isinstance(since, Column) else F.lit(since)
+        out = out.where((F.col("year") >= F.year(start)) & (F.col("ts") >= start.cast("timestamp_ntz")))
+    return out.drop("year")
 
 
 def period_start(analysis: str, timeframe: str, as_of: dt.date) -> Column:

@@ -11,6 +11,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _FOLDERS: list[str] = []
+_TABLES: dict[str, str] = {}
 _OWN: list[str] = []
 
 
@@ -35,6 +36,13 @@ def scratch_folder(spark: SparkSession, kind: str) -> str:
     return folder
 
 
+def scratch_table(spark: SparkSession, kind: str) -> tuple[str, str]:
+    """The name of a fresh table and its folder; ``clear_scratch`` drops it with the folder."""
+    folder = scratch_folder(spark, kind)
+    _TABLES[folder] = f"tickforge_{folder.rsplit('-', 1)[1]}"
+    return _TABLES[folder], folder
+
+
 def clear_scratch(spark: SparkSession, *folders: str) -> None:
     """Delete the given folders, or all that ``scratch_folder`` has handed out so far. Frames read
     from them can't be computed any more."""
@@ -42,6 +50,8 @@ def clear_scratch(spark: SparkSession, *folders: str) -> None:
     for folder in folders or tuple(_FOLDERS):
         path = jvm.org.apache.hadoop.fs.Path(folder)
         path.getFileSystem(conf).delete(path, True)
+        if folder in _TABLES:
+            spark.sql(f"DROP TABLE IF EXISTS {_TABLES.pop(folder)}")
         if folder in _FOLDERS:
             _FOLDERS.remove(folder)
 
@@ -58,6 +68,20 @@ def stored(df: DataFrame, kind: str = "bars") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(folder)
 
 
+def stored_by_symbol(bars: DataFrame, kind: str = "bars", buckets: int | None = None, key: str = "symbol", order: str = "ts") -> DataFrame:
+    """The same for bars whose readers all work by symbol: one file per bucket of symbols, sorted by time.
+
+    Windows, aggregates and joins by symbol read the buckets as they are, so the bars are shuffled once, when they are
+    written, however many branches a job has. ``buckets`` is the number of shuffle partitions by default. The
+    folder is registered as a table of the session, which is how Spark gets to know the buckets."""
+    spark = bars.sparkSession
+    n = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    name, folder = scratch_table(spark, kind)
+    (bars.repartition(n, key).sortWithinPartitions(key, order).write.bucketBy(n, key).sortBy(key, order)
+     .format("parquet").option("path", folder).saveAsTable(name))
+    return spark.table(name)
+
+
 def write_documents(rows: DataFrame, folder: str, form: str = "json") -> None:
     """Response documents as nested JSON lines or Parquet, one per row."""
     if form not in ("json", "parquet"):
