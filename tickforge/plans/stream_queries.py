@@ -9,6 +9,7 @@ from tickforge.functions.windows import tail_rows
 from tickforge.plans.data import SUPPLIER_SQL, day, supplier_bars, table
 from tickforge.plans.portfolio_queries import _PID
 from tickforge.plans.registry import query
+from tickforge.sources.stored import stored
 from tickforge.streaming import live as L
 
 
@@ -50,17 +51,18 @@ SELECT symbol, strftime(ts, '%Y-%m-%d') AS day, round(open, 4) AS open, round(gr
 FROM l LEFT JOIN p USING (symbol)""")
 def _(spark, sf):
     stream = (spark.readStream.schema(_schema(spark, sf, "supplier")).option("pathGlobFilter", "supplier.parquet").parquet(sf))
-    quotes = stream.where("s_acctbal > 0").select(F.col("s_suppkey").cast("string").alias("symbol"),
-                                                  F.lit(1).alias("ts"), F.col("s_acctbal").alias("price"))
-    prices = L.settle(L.live_price(quotes), ["symbol"])
-    c = L.live_candle(tail_rows(supplier_bars(spark, sf), 1), prices)
+    quotes = stream.select(F.col("s_suppkey").cast("string").alias("symbol"), F.lit("2001-11-05 10:00:00").cast("timestamp").alias("ts"), F.col("s_acctbal").alias("price"))
+    newest = stored(tail_rows(supplier_bars(spark, sf), 1), "candles")
+    c = L.newest_candles(L.settle(L.live_candles(quotes, newest), ["symbol", "slot"]), newest)
     return c.select("symbol", day().alias("day"), *[rnd(x, 4).alias(x) for x in ("open", "high", "low", "close")])
 
 
-@query("stream_reaction_counts", f"SELECT {_PID} AS portfolio_id, count(DISTINCT o_orderkey % 3) AS n FROM orders WHERE o_orderstatus = 'F' GROUP BY 1")
+# Every order is a click: a user whose last order of a portfolio is divisible by four has taken the reaction back.
+@query("stream_reaction_counts", f"""WITH r AS (SELECT {_PID} AS portfolio_id, o_orderkey % 3 AS user_id, arg_max(o_orderkey % 4 <> 0, o_orderkey) AS active
+ FROM orders WHERE o_orderstatus = 'F' GROUP BY 1, 2) SELECT portfolio_id, count(*) FILTER (active) AS n FROM r GROUP BY 1""")
 def _(spark, sf):
-    r = _orders(spark, sf).where("o_orderstatus = 'F'").selectExpr(f"{_PID} AS portfolio_id", "o_orderkey % 3 AS user_id")
-    return L.settle(L.reaction_counts(r), ["portfolio_id"])
+    r = _orders(spark, sf).where("o_orderstatus = 'F'").selectExpr(f"{_PID} AS portfolio_id", "o_orderkey % 3 AS user_id", "o_orderkey AS seq", "o_orderkey % 4 <> 0 AS active")
+    return L.reaction_counts(L.settle(L.reaction_states(r), ["portfolio_id", "user_id"]))
 
 
 @query("stream_ticker_events", f"""WITH s AS (SELECT {_PID} AS p, o_orderkey AS seq, [concat('T', o_orderkey % 5), concat('U', o_orderkey % 3)] AS now FROM orders),

@@ -9,7 +9,7 @@ from __future__ import annotations
 from collections.abc import Iterator, Sequence
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -41,18 +41,39 @@ def live_bars(ticks: DataFrame, timeframe: str) -> DataFrame:
     ).select("symbol", F.col("slot.start").alias("ts"), "open", "high", "low", "close", "volume")
 
 
-def live_candle(last_bars: DataFrame, prices: DataFrame) -> DataFrame:
-    """Newest candle of each symbol with the live price merged in."""
-    out = last_bars.join(prices.select("symbol", "price"), "symbol", "left")
-    return out.withColumns({
-        "close": F.coalesce("price", "close"), "high": F.greatest("high", "price"),
-        "low": F.least("low", "price")}).drop("price")
+def live_candles(ticks: DataFrame, newest: DataFrame, timeframe: str = "1d") -> DataFrame:
+    """``(symbol, slot, last_tick, ts, open, high, low, close)`` in update mode: the ticks of a slot merged into the newest candle of
+    their symbol, ``newest(symbol, ts, open, high, low)``.
+
+    The merge is part of the stream: a windowed aggregate of the ticks, then a join with the table of candles. Ticks that come
+    later than the watermark are dropped, so a slot's state ends; symbols without a candle or ticks have no row."""
+    slot = F.window("ts", SLOTS[timeframe])
+    live = ticks.where("price > 0").withWatermark("ts", WATERMARK).groupBy("symbol", slot.alias("slot")).agg(
+        F.max_by("price", "ts").alias("close"), F.max("price").alias("_high"), F.min("price").alias("_low"), F.max("ts").alias("last_tick"))
+    return live.join(newest.select("symbol", "ts", "open", "high", "low"), "symbol").select(
+        "symbol", F.col("slot.start").alias("slot"), "last_tick", "ts", "open", F.greatest("high", "_high").alias("high"),
+        F.least("low", "_low").alias("low"), "close")
+
+
+def newest_candles(settled: DataFrame, newest: DataFrame) -> DataFrame:
+    """One candle per symbol of ``newest``: the merged one of its newest slot, else the candle as it is."""
+    last = Window.partitionBy("symbol").orderBy(F.col("slot").desc())
+    merged = settled.withColumn("_n", F.row_number().over(last)).where("_n = 1").select("symbol", "ts", "open", "high", "low", "close")
+    return merged.unionByName(newest.select(merged.columns).join(merged.select("symbol"), "symbol", "left_anti"))
+
+
+def reaction_states(reactions: DataFrame) -> DataFrame:
+    """``(portfolio_id, user_id, active)`` in update mode from ``(portfolio_id, user_id, seq, active)``: the last word of every user.
+
+    The highest ``seq`` decides, so repeated and late rows change nothing; a null ``active`` is a reaction. The state
+    is one row per portfolio and user, as many as the table of reactions has, and no portfolio is one task."""
+    rows = reactions.where("portfolio_id IS NOT NULL AND user_id IS NOT NULL AND seq IS NOT NULL")
+    return rows.groupBy("portfolio_id", "user_id").agg(F.max_by(F.coalesce("active", F.lit(True)), "seq").alias("active"))
 
 
-def reaction_counts(reactions: DataFrame) -> DataFrame:
-    """Running number of distinct users per portfolio; a repeated reaction counts once."""
-    return (reactions.dropDuplicates(["portfolio_id", "user_id"])
-            .groupBy("portfolio_id").agg(F.count(F.lit(1)).alias("n")))
+def reaction_counts(states: DataFrame) -> DataFrame:
+    """``(portfolio_id, n)``: users whose last word stands; a reaction taken back lowers the count, down to 0."""
+    return states.groupBy("portfolio_id").agg(F.count_if("active").alias("n"))
 
 
 def ticker_events(snapshots: DataFrame) -> DataFrame:
@@ -81,14 +102,15 @@ def ticker_events(snapshots: DataFrame) -> DataFrame:
 
 # --- running a stream to the end of the available data -----------------------------------------
 
-def settle(stream: DataFrame, keys: Sequence[str], mode: str = "update") -> DataFrame:
-    """Process what is available and return the last version of each key.
+def settle(stream: DataFrame, keys: Sequence[str], mode: str = "update", folder: str | None = None) -> DataFrame:
+    """Process what is available and return the last version of each key. With the ``folder`` of an earlier call the
+    stream goes on where that call ended, with its state.
 
     Each micro-batch is written under its own number and a repeated batch overwrites itself, so
     a restart after a lost executor neither loses nor doubles rows. Nothing goes through the driver.
     """
     spark = stream.sparkSession
-    folder = scratch_folder(spark, "stream")
+    folder = folder or scratch_folder(spark, "stream")
 
     def write(batch: DataFrame, number: int) -> None:
         batch.withColumn("_batch", F.lit(number)).write.mode("overwrite").parquet(f"{folder}/rows/b{number}")
