@@ -181,3 +181,16 @@ def test_winsorized_array_keeps_places(spark):
     r = spark.range(1).select(S.winsorize_array(F.lit(v)).alias("v")).first()["v"]
     lo, hi = np.quantile(v[:5], [0.05, 0.95])
     assert r[:5] == pytest.approx(np.clip(v[:5], lo, hi)) and np.isnan(r[5])
+
+
+def test_client_winsorize_by_rank_without_lists(spark):
+    rng = np.random.default_rng(8)
+    rows = [(s, int(y), 1, float(v)) for s, n in (("A", 1), ("B", 2), ("C", 21), ("D", 240)) for y, v in enumerate(np.round(rng.normal(0, 5, n), 1))]
+    curve = spark.createDataFrame(rows, "symbol string, year int, month int, ret_pct double")
+    out = S.client_winsorize(curve)
+    assert "collect_list" not in out._jdf.queryExecution().executedPlan().toString()
+    got = {(r.symbol, r.year): r.ret_pct for r in out.collect()}
+    for symbol in "ABCD":
+        pool = sorted(v for s, _, _, v in rows if s == symbol)
+        lo, hi = pool[int(0.05 * (len(pool) - 1))], pool[int(0.95 * (len(pool) - 1))]
+        assert all(got[s, y] == min(max(v, lo), hi) for s, y, _, v in rows if s == symbol)

@@ -114,13 +114,17 @@ def month_percentiles(curve: DataFrame, value: str = "ret_pct") -> DataFrame:
 
 
 def client_winsorize(curve: DataFrame) -> DataFrame:
-    """Clip every cell to elements floor(.05(n-1)) and floor(.95(n-1)) of the symbol's pool."""
-    pool = F.sort_array(F.collect_list("ret_pct").over(_whole()))
-    out = curve.withColumn("_p", pool)
-    n = F.size("_p")
-    lo = F.get("_p", F.floor(F.lit(0.05) * (n - 1)).cast("int"))
-    hi = F.get("_p", F.floor(F.lit(0.95) * (n - 1)).cast("int"))
-    return out.withColumn("ret_pct", F.least(F.greatest("ret_pct", lo), hi)).drop("_p")
+    """Clip every cell to elements floor(.05(n-1)) and floor(.95(n-1)) of the symbol's values in order.
+
+    The two elements are found by rank; no list of values is made."""
+    place = F.row_number().over(_whole().orderBy(F.col("ret_pct").asc_nulls_last())) - 1
+    out = curve.withColumns({"_i": place, "_n": F.count("ret_pct").over(_whole())})
+
+    def element(q):
+        return F.max(F.when(F.col("_i") == F.floor(F.lit(q) * (F.col("_n") - 1)), F.col("ret_pct"))).over(_whole())
+
+    out = out.withColumns({"_lo": element(0.05), "_hi": element(0.95)})
+    return out.withColumn("ret_pct", F.least(F.greatest("ret_pct", "_lo"), F.col("_hi"))).drop("_i", "_n", "_lo", "_hi")
 
 
 def client_cumulative_percentiles(curve: DataFrame) -> DataFrame:
