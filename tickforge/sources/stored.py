@@ -68,6 +68,15 @@ def stored(df: DataFrame, kind: str = "bars") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(folder)
 
 
+def discard(*frames: DataFrame) -> None:
+    """Delete the tables behind frames of ``stored`` whose readers are all written."""
+    for frame in frames:
+        names = {file.rsplit("/", 2)[-2] for file in frame.inputFiles()}
+        folders = [folder for folder in _FOLDERS if folder.rsplit("/", 1)[-1] in names]
+        if folders:
+            clear_scratch(frame.sparkSession, *folders)
+
+
 def stored_by_symbol(bars: DataFrame, kind: str = "bars", buckets: int | None = None, key: str = "symbol", order: str = "ts") -> DataFrame:
     """The same for bars whose readers all work by symbol: one file per bucket of symbols, sorted by time.
 
