@@ -5,9 +5,10 @@ similarity 0.8 agree in about 0.8 of the coordinates, and in at least ``MATCHES`
 few in a million pairs. Equal sets are one class and go on as one representative. A representative
 is posted under each of its coordinate-value pairs.
 
-* Prefix: values that occur once are useless, and whoever has fewer than ``MATCHES`` values that occur
-  twice has no partner. Of the others only the rarest ``n - MATCHES + 1`` values are posted: two
-  documents that agree in ``MATCHES`` values share one of those. Values of boilerplate are common, come
+* Prefix: partners share one of any ``COORDINATES - MATCHES + 1`` coordinates. So half of the values tell who can
+  have a partner at all, and only they go on. Values that occur once are useless, and whoever has fewer than
+  ``MATCHES`` values that occur twice has no partner. Of the others only the rarest ``n - MATCHES + 1`` values are
+  posted: two documents that agree in ``MATCHES`` values share one of those. Values of boilerplate are common, come
   last in that order, and are not posted by documents that have anything else.
 * Skip: in a posting list everyone is compared with one hub, its smallest id, by signature. Pairs that
   agree join lists into clusters; confirmed pairs make components. What is in one component needs no
@@ -21,11 +22,13 @@ is posted under each of its coordinate-value pairs.
 * All such pairs are confirmed on both full sets with integers. Nothing is capped: the bounds only leave
   out what can't reach the similarity. Sets are made of the texts of clustered documents only, where the
   texts lie; a bitmap of a fixed size tells which (a full bitmap lets more through and changes no result).
+
+A class has an id of its own, so rows that share a doc_id but not the set are linked each by its own text.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -36,7 +39,7 @@ from pyspark.sql.window import Window
 from tickforge.llm.common import bounded_batches, unused
 from tickforge.llm.components import components
 from tickforge.llm.words import WordHashes, mixed, shingle_set
-from tickforge.sources.stored import stored
+from tickforge.sources.stored import discard, stored
 
 COORDINATES, MATCHES = 48, 25
 #: Agreements of two-bit coordinates: 40.8 of 48 at similarity 0.8, with a deviation of 2.5.
@@ -62,8 +65,8 @@ def _bits(sig: np.ndarray, bit: int) -> int:
 
 
 def sketches(docs: DataFrame, size: int) -> DataFrame:
-    """``(doc_id, n, s1, s2, sig, b0, b1)``: set size, two sums that name the set, its signature, and the two
-    lowest bits of every coordinate. Texts stay where they are; of rows that repeat an id the one with the smallest sums counts."""
+    """``(doc_id, n, s1, s2, sig, b0, b1)`` of every row with an id: set size, two sums that name the set, its signature,
+    and the two lowest bits of every coordinate. Texts stay where they are."""
     bounded_batches(docs.sparkSession)
 
     def sketch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -78,10 +81,42 @@ def sketches(docs: DataFrame, size: int) -> DataFrame:
                             sig.view(np.int32) if len(s) else None, _bits(sig, 0), _bits(sig, 1)))
             yield pd.DataFrame(out, columns=["doc_id", "n", "s1", "s2", "sig", "b0", "b1"])
 
-    rows = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long"), "text").mapInPandas(
+    return docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long"), "text").mapInPandas(
         sketch, "doc_id bigint, n bigint, s1 bigint, s2 bigint, sig array<int>, b0 bigint, b1 bigint")
-    return rows.groupBy("doc_id").agg(F.min(F.struct("n", "s1", "s2", "sig", "b0", "b1")).alias("s"),
-                                      F.count(F.lit(1)).alias("rows")).select("doc_id", "s.*", "rows")
+
+
+def _slot(number: Column) -> Column:
+    return F.pmod(F.xxhash64(number), F.lit(1 << SLOT_BITS))
+
+
+def marker(numbers: DataFrame) -> Callable[[Column], Column]:
+    """A test whether a number may be in the one column of ``numbers``: true for all that are, and for others that share
+    a place with one. The bitmap is built by Spark in chunks of 4 KB; 2 MB reach the driver and every task."""
+    spark = numbers.sparkSession
+    slots = numbers.select(_slot(F.col(numbers.columns[0])).alias("slot"))
+    chunks = (slots.select(F.shiftright("slot", 15).alias("chunk"), (F.col("slot") % 32768).alias("bit"))
+              .groupBy("chunk").agg(F.bitmap_construct_agg("bit").alias("bits")).collect())
+    bits = np.zeros(1 << SLOT_BITS >> 3, np.uint8)
+    for row in chunks:
+        bits[row["chunk"] * 4096:(row["chunk"] + 1) * 4096] = np.frombuffer(row["bits"], np.uint8)
+    sent = spark.sparkContext.broadcast(bits)
+
+    @F.pandas_udf("boolean")
+    def marked(slot: pd.Series) -> pd.Series:
+        at = slot.to_numpy(np.int64)
+        return pd.Series((sent.value[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1)
+
+    return lambda number: marked(_slot(number))
+
+
+def hopeful(reps: DataFrame) -> DataFrame:
+    """The representatives that share a value with another one in the first ``COORDINATES - MATCHES + 1`` coordinates.
+    Who shares none there agrees in fewer than ``MATCHES`` with everyone."""
+    first = reps.select("id", F.posexplode(F.slice("sig", 1, COORDINATES - MATCHES + 1)).alias("coordinate", "value"))
+    posts = first.select("id", (F.col("value").cast("long") * COORDINATES + F.col("coordinate")).alias("post"))
+    common = posts.groupBy("post").agg(F.count(F.lit(1)).alias("df")).where("df > 1").select("post")
+    ids = stored(posts.join(common, "post", "left_semi").select("id").distinct(), "hopeful")
+    return reps.where(marker(ids)(F.col("id"))).join(ids, "id", "left_semi")
 
 
 def prefix_postings(reps: DataFrame) -> DataFrame:
@@ -190,87 +225,109 @@ def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return pairs.join(b, "b").join(a, "a").select("a", "b", "set_a", "set_b").mapInPandas(compare, "a bigint, b bigint")
 
 
-def _slot(doc_id: Column) -> Column:
-    return F.pmod(F.xxhash64(doc_id), F.lit(1 << SLOT_BITS))
-
-
-def shingle_sets(docs: DataFrame, wanted: DataFrame, size: int, repeated: bool) -> DataFrame:
-    """``(id, cluster, shingles)``, the sorted set as bytes, of the documents in ``wanted(id, s1, cluster)``. Of rows
-    that repeat an id (``repeated``: there are such) one with the wanted sum counts."""
-    spark = docs.sparkSession
-    chunks = (wanted.select(_slot(F.col("id")).alias("slot")).select(F.shiftright("slot", 15).alias("chunk"), (F.col("slot") % 32768).alias("bit"))
-              .groupBy("chunk").agg(F.bitmap_construct_agg("bit").alias("bits")).collect())
-    bits = np.zeros(1 << SLOT_BITS >> 3, np.uint8)
-    for row in chunks:
-        bits[row["chunk"] * 4096:(row["chunk"] + 1) * 4096] = np.frombuffer(row["bits"], np.uint8)
-    sent = spark.sparkContext.broadcast(bits)  # 2 MB
-
-    @F.pandas_udf("boolean")
-    def marked(slot: pd.Series) -> pd.Series:
-        at = slot.to_numpy(np.int64)
-        return pd.Series((sent.value[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1)
-
+def shingle_sets(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
+    """``(id, cluster, shingles)``, the sorted set as bytes, of the classes in ``wanted(id, doc, s1, cluster)``, made of a
+    text with that id and sum. Rows may give a set more than once if ids repeat."""
     def build(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         hashes = WordHashes()
         for batch in batches:
             out = []
-            for doc_id, text in zip(batch["doc_id"], batch["text"]):
+            for doc_id, text in zip(batch["doc"], batch["text"]):
                 s = shingle_set(text, size, hashes)
                 out.append((doc_id, int(s.sum(dtype=np.uint64).view(np.int64)) if len(s) else 0, s.tobytes()))
-            yield pd.DataFrame(out, columns=["id", "s1", "shingles"])
+            yield pd.DataFrame(out, columns=["doc", "s1", "shingles"])
 
-    rows = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    made = rows.where(marked(_slot(F.col("doc_id")))).mapInPandas(build, "id bigint, s1 bigint, shingles binary")
-    out = made.join(wanted, ["id", "s1"]).select("id", "cluster", "shingles")
-    return out.dropDuplicates(["id"]) if repeated else out
+    rows = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc"), "text")
+    made = rows.where(marker(wanted.select("doc"))(F.col("doc"))).mapInPandas(build, "doc bigint, s1 bigint, shingles binary")
+    return made.join(wanted, ["doc", "s1"]).select("id", "cluster", "shingles")
 
 
-def near_duplicates(docs: DataFrame, size: int = 2) -> DataFrame:
-    """``(doc_id, n_shingles, component_id, kept, rows)``, one row per distinct id of ``docs(doc_id, text)``.
-
-    An empty or null text has size 0 and is its own component, as is a row without an id (they form one
-    row each with null ids). ``rows`` tells how often the id came.
-    """
-    known = stored(sketches(docs, size), "sketches")
-    classes = stored(known.where("n > 0").groupBy("n", "s1", "s2").agg(
-        F.min("doc_id").alias("id"), F.first("sig").alias("sig"), F.first("b0").alias("b0"), F.first("b1").alias("b1")), "classes")
-    posts = stored(prefix_postings(classes), "postings")
-    signed = stored(posts.select("id").distinct().join(classes, "id").select("id", "n", "s1", "sig", "b0", "b1"), "signed")
+def linked_classes(docs: DataFrame, classes: DataFrame, size: int, repeated: bool) -> DataFrame:
+    """``(id, component)`` of the classes ``(id, doc, n, s1, sig, b0, b1)`` that are similar to another one."""
+    reps = stored(hopeful(classes.select("id", "doc", "n", "s1", "sig", "b0", "b1")), "reps")
+    posts = stored(prefix_postings(reps), "postings")
+    signed = stored(posts.select("id").distinct().join(reps, "id"), "signed")
+    discard(reps)
     near = stored(agreeing(hub_pairs(posts), signed), "near")
     clusters = components(near).withColumnRenamed("component", "cluster")
-    clustered = stored(signed.join(clusters, "id", "left").select("id", "s1", F.coalesce("cluster", "id").alias("cluster")), "clustered")
+    clustered = stored(signed.join(clusters, "id", "left").select("id", "doc", "s1", F.coalesce("cluster", "id").alias("cluster")), "clustered")
     apart = stored(agreeing(between_clusters(posts, clustered, signed), signed), "apart")
+    discard(posts)
     several = near.select(F.explode(F.array("a", "b")).alias("id")).union(apart.select(F.explode(F.array("a", "b")))).distinct()
-    repeated = not known.where("rows > 1").isEmpty()
-    sets = stored(shingle_sets(docs, clustered.join(several, "id"), size, repeated), "sets")
+    sets = shingle_sets(docs, clustered.join(several, "id"), size)
+    sets = stored(sets.dropDuplicates(["id"]) if repeated else sets, "sets")
     seen = stored(star(sets), "star")
-    links = seen.where("linked").select(F.col("hub").alias("a"), F.col("id").alias("b"))
+    links = stored(seen.where("linked").select(F.col("hub").alias("a"), F.col("id").alias("b")), "similar")
     parts = components(links)
     placed = stored(seen.join(parts, "id", "left").withColumn("component", F.coalesce("component", "id")), "placed")
+    discard(seen)
     mixed_hubs = placed.groupBy("hub").agg(F.max(F.col("component") != F.col("hub")).alias("open")).where("open").select("hub")
     rest = within_clusters(placed.join(mixed_hubs, "hub").drop("linked"))
     more = stored(confirmed(apart.union(agreeing(rest, signed)), sets), "confirmed")
-    if not more.isEmpty():
-        parts = components(links.union(more))
-    placed = known.join(classes.select("n", "s1", "s2", "id"), ["n", "s1", "s2"], "left")
-    out = placed.join(parts.withColumnRenamed("id", "_id"), F.col("id") == F.col("_id"), "left").select(
-        "doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "id", "doc_id").alias("component_id"), "rows")
-    nameless = docs.where(F.col("doc_id").isNull()).select(
-        F.lit(None).cast("long").alias("doc_id"), F.lit(None).cast("long").alias("n_shingles"),
-        F.lit(None).cast("long").alias("component_id"), F.lit(1).cast("long").alias("rows"))
-    return out.union(nameless).select("doc_id", "n_shingles", "component_id",
-                                      F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"), "rows")
+    discard(placed, sets, signed, near, apart, clustered)
+    return parts if more.isEmpty() else components(links.union(more))
+
+
+def _placed(docs: DataFrame, size: int) -> DataFrame:
+    """``near_duplicates`` of the rows with an id, with the sum ``s1`` of the set and ``stays``: one row of each component,
+    or several that repeat its id and text; all rows without words."""
+    sketched = stored(sketches(docs, size), "sketches")
+    known = stored(sketched.select("doc_id", "n", "s1", "s2"), "known")
+    classes = stored(sketched.where("n > 0").groupBy("n", "s1", "s2").agg(
+        F.min("doc_id").alias("doc"), F.first("sig").alias("sig"), F.first("b0").alias("b0"), F.first("b1").alias("b1"))
+        .withColumn("id", F.monotonically_increasing_id()), "classes")  # written once, so the numbers stay
+    discard(sketched)
+    repeated = not known.groupBy("doc_id").count().where("count > 1").isEmpty()
+    parts = linked_classes(docs, classes, size, repeated)
+    names = stored(classes.select("n", "s1", "s2", "doc", "id"), "names")
+    discard(classes)
+    parts = stored(parts.join(names.select("id", "doc"), "id"), "parts")
+    least = parts.groupBy("component").agg(F.min("doc").alias("least"))
+    heads = parts.join(least, "component").where("doc = least").groupBy("component", "least").agg(F.min("id").alias("head"))
+    linked = parts.join(heads, "component").select("id", "least", "head")
+    named = names.join(linked, "id", "left").select("n", "s1", "s2", "doc", F.coalesce("least", "doc").alias("least"),
+                                                    F.coalesce(F.col("head") == F.col("id"), F.lit(True)).alias("head"))
+    return known.join(named, ["n", "s1", "s2"], "left").select(
+        "doc_id", F.col("n").alias("n_shingles"), F.coalesce("least", "doc_id").alias("component_id"), "s1",
+        F.coalesce(F.col("head") & (F.col("doc_id") == F.col("doc")), F.lit(True)).alias("stays"))
+
+
+def near_duplicates(docs: DataFrame, size: int = 2) -> DataFrame:
+    """``(doc_id, n_shingles, component_id, kept)``, one row per row of ``docs(doc_id, text)``.
+
+    An empty or null text has size 0 and is its own component; a row without an id has nulls. Rows that repeat an id
+    are documents of their own: each is linked by its own text, and ``component_id`` is the smallest id among the rows that
+    its text reaches."""
+    rows = _placed(docs, size).select("doc_id", "n_shingles", "component_id")
+    nothing = F.lit(None).cast("long")
+    nameless = docs.where(F.col("doc_id").isNull()).select(nothing.alias("doc_id"), nothing.alias("n_shingles"), nothing.alias("component_id"))
+    return rows.union(nameless).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
 def one_of_each(docs: DataFrame, size: int = 5) -> DataFrame:
-    """The rows of ``docs`` that stay: one document of each component; of rows that repeat an id one."""
+    """The rows of ``docs`` that stay: one document of each component, all without words and all without an id. Of rows that
+    repeat an id and a set one stays.
+
+    Texts stay where they are, but for those whose id a bitmap marks: ids that go, and ids that several rows have."""
     own = unused(docs)
-    kept = near_duplicates(docs, size).where("kept AND doc_id IS NOT NULL").select(
-        F.col("doc_id").alias(f"{own}id"), F.col("rows").alias(f"{own}rows"))
-    kept = stored(kept, "kept")
-    mine, rows = docs.join(kept, F.col("doc_id").cast("long") == F.col(f"{own}id")), F.col(f"{own}rows")
-    if kept.where(rows > 1).isEmpty():
-        out = mine.select(*docs.columns)
-    else:
-        out = mine.where(rows == 1).select(*docs.columns).union(mine.where(rows > 1).select(*docs.columns).dropDuplicates(["doc_id"]))
-    return out.union(docs.where(F.col("doc_id").isNull()))
+    doc_id = F.col("doc_id").cast("long")
+    rows = stored(_placed(docs, size).select("doc_id", "s1", "stays"), "rows")
+    marks = rows.groupBy("doc_id").agg((F.count(F.lit(1)) > 1).alias("repeated"), F.min("stays").alias("stays"))
+    marks = stored(marks.where("repeated OR NOT stays").select(F.col("doc_id").alias(f"{own}id"), "repeated"), "marks")
+    marked = marker(marks.select(f"{own}id"))(doc_id)
+    moved = docs.where(doc_id.isNotNull() & marked)
+    out = docs.where(doc_id.isNull() | ~marked).union(moved.join(marks, doc_id == F.col(f"{own}id"), "left_anti"))
+    several = marks.where("repeated").select(f"{own}id")
+    if several.isEmpty():
+        return out
+
+    @F.pandas_udf("bigint")
+    def sums(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        hashes = WordHashes()
+        for batch in texts:
+            yield pd.Series([int(shingle_set(t, size, hashes).sum(dtype=np.uint64).view(np.int64)) for t in batch], dtype="int64")
+
+    stay = rows.where("stays").select(F.col("doc_id").alias(f"{own}id"), F.col("s1").alias(f"{own}s1")).distinct()
+    again = moved.join(several, doc_id == F.col(f"{own}id"), "left_semi").withColumn(f"{own}s1", sums("text"))
+    again = again.withColumn(f"{own}id", doc_id).join(stay, [f"{own}id", f"{own}s1"], "left_semi")
+    return out.union(again.dropDuplicates([f"{own}id", f"{own}s1"]).select(*docs.columns))

@@ -50,7 +50,7 @@ def op5_token_counts(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def op6_near_duplicates(spark: SparkSession, sf: str) -> DataFrame:
-    return near_dedup.near_duplicates(table(spark, sf, "documents"), size=2).drop("rows")
+    return near_dedup.near_duplicates(table(spark, sf, "documents"), size=2)
 
 
 @query
