@@ -19,7 +19,7 @@ is posted under each of its coordinate-value pairs.
   shingle, and meet in a join on the first ``e - need + 1`` of them in hash order (``need``: how many they
   must share at least).
 * Between clusters, members of a list meet if two bits of each coordinate agree often enough.
-* All such pairs are confirmed on both full sets with integers. Nothing is capped: the bounds only leave
+* All such pairs are confirmed on both full sets with integers, within a cluster as differences to its hub. Nothing is capped: the bounds only leave
   out what can't reach the similarity. Sets are made of the texts of clustered documents only, where the
   texts lie; a bitmap of a fixed size tells which (a full bitmap lets more through and changes no result).
 
@@ -152,8 +152,9 @@ def between_clusters(posts: DataFrame, placed: DataFrame, signed: DataFrame) ->
 
 
 def star(sets: DataFrame) -> DataFrame:
-    """``(hub, id, linked, n, a, e, hub_n, extra)`` of every member but the hub: whether it is similar to the
-    cluster's hub, the sizes of the differences, and the extra shingles that are posted."""
+    """``(hub, id, linked, n, a, e, hub_n, extra, lacks, adds)`` of every member but the hub: whether it is similar to the
+    cluster's hub, the sizes of the differences, the extra shingles that are posted, and the differences themselves:
+    places of the hub's shingles that it lacks, and all shingles that it adds, sorted."""
     percent = PERCENT
 
     def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -162,16 +163,18 @@ def star(sets: DataFrame) -> DataFrame:
             for hub, i, x, h in zip(batch["hub"], batch["id"], batch["set_x"], batch["set_h"]):
                 x, h = np.frombuffer(x, np.uint64), np.frombuffer(h, np.uint64)
                 extra = np.setdiff1d(x, h, assume_unique=True)
+                lacks = np.flatnonzero(~np.isin(h, x, assume_unique=True)).astype(np.uint32)
                 e, n = len(extra), len(x)
                 need = max(1, -(-(100 * e - (100 - percent) * n) // 100))
                 linked = 100 * (n - e) >= percent * (len(h) + e)
-                out.append((hub, i, linked, n, len(h) - (n - e), e, len(h), extra[:max(0, e - need + 1)].view(np.int64)))
-            yield pd.DataFrame(out, columns=["hub", "id", "linked", "n", "a", "e", "hub_n", "extra"])
+                out.append((hub, i, linked, n, len(h) - (n - e), e, len(h), extra[:max(0, e - need + 1)].view(np.int64),
+                            lacks.tobytes(), extra.tobytes()))
+            yield pd.DataFrame(out, columns=["hub", "id", "linked", "n", "a", "e", "hub_n", "extra", "lacks", "adds"])
 
     members = sets.where("id <> cluster").select(F.col("cluster").alias("hub"), "id", F.col("shingles").alias("set_x"))
     hubs = sets.where("id = cluster").select(F.col("id").alias("hub"), F.col("shingles").alias("set_h"))
     return members.join(hubs, "hub").select("hub", "id", "set_x", "set_h").mapInPandas(
-        compare, "hub bigint, id bigint, linked boolean, n bigint, a bigint, e bigint, hub_n bigint, extra array<bigint>")
+        compare, "hub bigint, id bigint, linked boolean, n bigint, a bigint, e bigint, hub_n bigint, extra array<bigint>, lacks binary, adds binary")
 
 
 def within_clusters(rows: DataFrame) -> DataFrame:
@@ -242,6 +245,26 @@ def shingle_sets(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
     return made.join(wanted, ["doc", "s1"]).select("id", "cluster", "shingles")
 
 
+def confirmed_by_hub(pairs: DataFrame, rows: DataFrame) -> DataFrame:
+    """Of pairs of one cluster those with 100 * intersection >= PERCENT * union. Both full sets are known from the differences
+    to their hub (``star``), which are all that travels: hub_n less what either lacks, and what both add."""
+    percent = PERCENT
+
+    def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            keep = []
+            for hub_n, n_a, n_b, *parts in zip(batch["hub_n"], *(batch[f"{c}_{k}"] for c in ("n", "lacks", "adds") for k in "ab")):
+                lack = [np.frombuffer(x, np.uint32) for x in parts[:2]]
+                add = [np.frombuffer(x, np.uint64) for x in parts[2:]]
+                both = hub_n - len(np.union1d(*lack)) + len(np.intersect1d(*add, assume_unique=True))
+                keep.append(100 * both >= percent * (n_a + n_b - both))
+            yield batch.loc[np.array(keep, bool), ["a", "b"]]
+
+    a, b = (rows.select(F.col("id").alias(k), *[F.col(c).alias(f"{c}_{k}") for c in ("n", "lacks", "adds")], *["hub_n"] * (k == "a")) for k in "ab")
+    return pairs.join(b, "b").join(a, "a").select(
+        "a", "b", "hub_n", *[f"{c}_{k}" for c in ("n", "lacks", "adds") for k in "ab"]).mapInPandas(compare, "a bigint, b bigint")
+
+
 def linked_classes(docs: DataFrame, classes: DataFrame, size: int, repeated: bool) -> DataFrame:
     """``(id, component)`` of the classes ``(id, doc, n, s1, sig, b0, b1)`` that are similar to another one."""
     reps = stored(hopeful(classes.select("id", "doc", "n", "s1", "sig", "b0", "b1")), "reps")
@@ -262,8 +285,8 @@ def linked_classes(docs: DataFrame, classes: DataFrame, size: int, repeated: boo
     placed = stored(seen.join(parts, "id", "left").withColumn("component", F.coalesce("component", "id")), "placed")
     discard(seen)
     mixed_hubs = placed.groupBy("hub").agg(F.max(F.col("component") != F.col("hub")).alias("open")).where("open").select("hub")
-    rest = within_clusters(placed.join(mixed_hubs, "hub").drop("linked"))
-    more = stored(confirmed(apart.union(agreeing(rest, signed)), sets), "confirmed")
+    rest = within_clusters(placed.join(mixed_hubs, "hub").drop("linked", "lacks", "adds"))
+    more = stored(confirmed(apart, sets).union(confirmed_by_hub(agreeing(rest, signed), placed)), "confirmed")
     discard(placed, sets, signed, near, apart, clustered)
     return parts if more.isEmpty() else components(links.union(more))
 
