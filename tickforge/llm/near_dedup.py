@@ -23,7 +23,7 @@ is posted under each of its coordinate-value pairs.
   out what can't reach the similarity. Sets are made of the texts of clustered documents only, where the
   texts lie; a bitmap of a fixed size tells which (a full bitmap lets more through and changes no result).
 
-A class has an id of its own, so rows that share a doc_id but not the set are linked each by its own text.
+A class has a number of its own (its doc_id if no id repeats), so rows that share a doc_id but not the set are linked each by its own text.
 """
 
 from __future__ import annotations
@@ -296,11 +296,13 @@ def _placed(docs: DataFrame, size: int) -> DataFrame:
     or several that repeat its id and text; all rows without words."""
     sketched = stored(sketches(docs, size), "sketches")
     known = stored(sketched.select("doc_id", "n", "s1", "s2"), "known")
-    classes = stored(sketched.where("n > 0").groupBy("n", "s1", "s2").agg(
+    classes = sketched.where("n > 0").groupBy("n", "s1", "s2").agg(
         F.min("doc_id").alias("doc"), F.first("sig").alias("sig"), F.first("b0").alias("b0"), F.first("b1").alias("b1"))
-        .withColumn("id", F.monotonically_increasing_id()), "classes")  # written once, so the numbers stay
-    discard(sketched)
+    # numbers in the order of the ids: an original mostly precedes its copies, and makes the better hub
     repeated = not known.groupBy("doc_id").count().where("count > 1").isEmpty()
+    classes = stored(classes.orderBy("doc").withColumn("id", F.monotonically_increasing_id()) if repeated
+                     else classes.withColumn("id", F.col("doc")), "classes")  # written once, so the numbers stay
+    discard(sketched)
     parts = linked_classes(docs, classes, size, repeated)
     names = stored(classes.select("n", "s1", "s2", "doc", "id"), "names")
     discard(classes)
