@@ -1,9 +1,12 @@
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
 from tickforge.functions import scalars as T
 from tickforge.functions.windows import numbered
 from tickforge.operators import portfolio as O
+from tickforge.operators import risk
 
 
 def apply(spark, fn, values):
@@ -54,6 +57,49 @@ def test_clashing_collection_ids(spark):
     assert rows[0]["visibility"] == "private" and rows[2]["visibility"] == "public" and rows[1]["name"] == "Portafoglio 2"
 
 
+def plain_ids(ids):
+    used = []
+    for i, wanted in enumerate(ids):
+        name = wanted.strip() or f"portfolio-{i + 1}"
+        if name in used:
+            k = 2
+            while f"{name}-{k}" in used:
+                k += 1
+            name = f"{name}-{k}"
+        used.append(name)
+    return used
+
+
+def test_many_clashing_ids_in_one_list(spark):
+    rng = random.Random(3)
+    lists = {1: ["x"] * 3000, 2: ["x-7", "x", "x-2"] * 60 + ["x", " "] * 50,
+             **{i: [rng.choice(("a", "a-2", "a-3", "a-2-2", "b", " ", "portfolio-3")) for _ in range(40)] for i in range(3, 30)}}
+    df = spark.createDataFrame([(i, None, [(x, None, None) for x in ids]) for i, ids in lists.items()],
+                               "owner_id int, active_id string, items array<struct<id:string,name:string,visibility:string>>")
+    got = {}
+    for r in O.collection_normalize(df).orderBy("position").collect():
+        got.setdefault(r["owner_id"], []).append(r["id"])
+    assert got == {i: plain_ids(ids) for i, ids in lists.items()}
+
+
+def test_default_collections(spark):
+    item = ("x", "n", "private")
+    rows = [(1, "q", None, None), (2, "q", [], None), (3, "q", [item], ["eni", " "]), (4, "q", [item], [" ", None]), (5, "x", [item], None), (6, None, None, [])]
+    df = spark.createDataFrame(rows, "owner_id int, active_id string, items array<struct<id:string,name:string,visibility:string>>, entries array<string>")
+    got = {r["owner_id"]: (r["id"], r["name"], r["visibility"], r["active"]) for r in O.collection_normalize(df).collect()}
+    private = ("portfolio-1", "Portafoglio 1", "private", True)
+    assert got == {1: private, 2: private, 3: ("portfolio-1", "Portafoglio 1", "public", True), 4: private, 5: ("x", "n", "private", True), 6: private}
+
+
+def test_risk_index_takes_the_plain_volume(spark):
+    none = ("volatility", "volatility_30d", "max_drawdown_1y", "beta", "sharpe_ratio", "sortino_ratio", "market_cap")
+    rows = spark.createDataFrame([("a", 0.0, 1e6, 2.0), ("b", None, 1e6, 2.0), ("c", 1e6, 5.0, 2.0), ("d", 0.0, None, 2.0)],
+                                 "symbol string, avg_volume double, volume double, current_price double").withColumns(
+        {c: F.lit(None).cast("double") for c in none})
+    got = {r["symbol"]: (r["avg_dollar_volume"], r["risk_index"]) for r in risk.risk_index(rows).collect()}
+    assert got["a"] == got["b"] == got["c"] and got["a"][0] == 2e6 and got["a"][1] is not None and got["d"] == (None, None)
+
+
 def test_bucketed_numbering_of_a_hot_group(spark):
     df = spark.range(5000).select(F.when(F.col("id") % 3 == 0, 0).otherwise(F.col("id") % 50).alias("k"), "id")
     got = numbered(df, ["k"], [F.col("id")], F.floor(F.col("id") / 100), "n").toPandas().sort_values("id")

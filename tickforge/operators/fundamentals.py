@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import datetime as dt
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tickforge.sources.payloads import news_scan
@@ -65,9 +66,12 @@ def derive_valuation(f: DataFrame) -> DataFrame:
     """Fallback formulas for the figures a source left out.
 
     Expects current_price and the nullable source fields; ``net_income``, ``total_equity``,
-    ``total_revenue`` and ``dividends_1y`` may come from statements and dividends.
+    ``total_revenue`` and ``dividends_1y`` may come from statements and dividends. The trailing annual
+    dividend rate of a source, where the column exists, stands in for a missing rate.
     """
     c = F.col
+    if "trailing_annual_dividend_rate" in f.columns:
+        f = f.withColumn("dividend_rate", F.coalesce(c("dividend_rate"), c("trailing_annual_dividend_rate")))
     price, shares = c("current_price"), c("shares_outstanding")
     f = f.withColumns({
         "market_cap": F.coalesce(c("market_cap"), _nonzero(shares) * _nonzero(price)),
@@ -108,3 +112,21 @@ def overview_fallbacks(info: DataFrame) -> DataFrame:
         F.coalesce(c("forward_pe"), c("pe_ratio"), pe_from_eps).alias("forward_pe"),
         F.coalesce(c("dividend_yield"), yield_).alias("dividend_yield"),
         F.coalesce(c("eps_forward"), c("eps"), eps_from_pe).alias("eps_forward"))
+
+
+def quote_volumes(info: DataFrame, fast: DataFrame, bars: DataFrame, as_of: dt.date) -> DataFrame:
+    """``(symbol, avg_volume, volume, low_52w, high_52w)`` of every symbol with bars: the info object's figure,
+    else the fast object's (three months before ten days), else the one of the bars.
+
+    The bars are read once: average of the newest 30, the newest volume and the year's range are one group-by."""
+    newest = Window.partitionBy("symbol").orderBy(F.col("ts").desc())
+    in_year = F.col("ts") >= F.add_months(F.lit(as_of), -12).cast("timestamp_ntz")
+    own = (bars.withColumns({"_rn": F.row_number().over(newest), "_year": in_year}).where((F.col("_rn") <= 30) | F.col("_year"))
+           .groupBy("symbol").agg(F.avg(F.when(F.col("_rn") <= 30, F.col("volume"))).alias("avg_volume"),
+                                  F.max(F.when(F.col("_rn") == 1, F.col("volume"))).alias("volume"),
+                                  F.min(F.when(F.col("_year"), F.col("low"))).alias("low_52w"),
+                                  F.max(F.when(F.col("_year"), F.col("high"))).alias("high_52w")))
+    both = own.alias("b").join(info.alias("i"), "symbol", "left").join(fast.alias("f"), "symbol", "left")
+    return both.select(
+        "symbol", F.coalesce("i.average_volume", "f.three_month_volume", "f.ten_day_volume", "b.avg_volume").alias("avg_volume"),
+        *[F.coalesce(f"i.{c}", f"f.{c}", f"b.{c}").alias(c) for c in ("volume", "low_52w", "high_52w")])

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -18,6 +19,7 @@ from tickforge.functions.windows import in_ranges, numbered, running_totals
 
 SOCIAL_TICKERS, NAME_LENGTH, CLIENT_NAME_LENGTH = 12, 80, 40
 FEED_EVENTS, SAVED_EVENTS, KEPT_EVENTS = 6, 8, 120
+DEFAULT_ID = "portfolio-1"
 ID_BUCKET = 1000  # owners numbered in one task
 DEFAULT_NAME, DEFAULT_CATEGORY, NO_NAME = "Portafoglio", "Altro", "Posizione portafoglio"
 
@@ -100,25 +102,49 @@ def normalize_entries(raw: DataFrame, now_ms: int) -> DataFrame:
     return e.withColumn("id", F.coalesce(_filled(F.col("id")), default))
 
 
+def _unique_ids(wanted: Sequence[str]) -> list[str]:
+    used, following, out = set(), {}, []
+    for name in wanted:
+        fresh, k = name, following.get(name, 2)
+        while fresh in used:
+            fresh, k = f"{name}-{k}", k + 1
+        if fresh != name:
+            following[name] = k
+        used.add(fresh)
+        out.append(fresh)
+    return out
+
+
 def collection_normalize(docs: DataFrame) -> DataFrame:
     """Portfolio documents ``(owner_id, active_id, items)`` -> one row per portfolio.
 
-    Ids are unique in list order: a used ``x`` becomes the first free of ``x-2``, ``x-3``, ...
-    The rule depends on everything before it in the same document, so it is a fold over the
-    document's own list.
+    A document without items (null or empty list) is the default collection: one private portfolio. With a
+    column ``entries`` (tickers), rows where it is not null are documents of the older form, a plain list of
+    entries: one public portfolio, or the default collection if no entry names a ticker.
+
+    Ids are unique in list order: a used ``x`` becomes the first free of ``x-2``, ``x-3``, ... The rule depends
+    on everything before it in the same document, so it is a fold over the document's own list. The fold
+    carries the next suffix to try for each id that came twice, so a suffix is tried once and not once per item;
+    it runs in Arrow batches, as a fold of SQL functions would search its list of used ids for every item.
     """
-    def step(used, item):
-        n = F.size(used) + 1
-        base = F.coalesce(_filled(item["id"]), F.concat(F.lit("portfolio-"), n.cast("string")))
+    kind = docs.schema["items"].dataType.simpleString()
+
+    def only(visibility):
+        return F.from_json(F.lit(f'[{{"id": "{DEFAULT_ID}", "visibility": "{visibility}"}}]'), kind)
 
-        def suffixed(k):
-            return F.concat(base, F.lit("-"), k.cast("string"))
+    older = F.col("entries").isNotNull() if "entries" in docs.columns else F.lit(False)
+    named = F.size(watchlist_normalize(F.col("entries"))) > 0 if "entries" in docs.columns else F.lit(False)
+    docs = docs.withColumns({
+        "active_id": F.when(~older, F.col("active_id")),
+        "items": F.when(older & named, only("public")).when(older | F.col("items").isNull() | (F.size("items") == 0), only("private"))
+        .otherwise(F.col("items"))})
 
-        free = F.filter(F.sequence(F.lit(2), n + 1), lambda k: ~F.array_contains(used, suffixed(k)))
-        fresh = F.when(F.array_contains(used, base), suffixed(F.get(free, F.lit(0)))).otherwise(base)
-        return F.concat(used, F.array(fresh))
+    @F.pandas_udf("array<string>")
+    def unique(lists: pd.Series) -> pd.Series:
+        return lists.map(_unique_ids)
 
-    ids = F.aggregate("items", F.array().cast("array<string>"), step)
+    wanted = F.transform("items", lambda item, i: F.coalesce(_filled(item["id"]), F.concat(F.lit("portfolio-"), (i + 1).cast("string"))))
+    ids = unique(wanted)
     d = docs.withColumn("_ids", ids)
     asked = _filled(F.col("active_id"))
     active = F.when(F.array_contains("_ids", asked), asked).otherwise(F.get("_ids", F.lit(0)))

@@ -161,9 +161,12 @@ def _log10(x: Column) -> Column:
 def risk_index(perf: DataFrame) -> DataFrame:
     """Composite 0-100 index over the available scores, weights renormalised.
 
-    Needs the columns of ``performance`` plus beta, current_price, avg_volume, market_cap.
+    Needs the columns of ``performance`` plus beta, current_price, avg_volume, market_cap. Where the average
+    volume is missing or 0, a column ``volume`` stands in.
     """
     c = F.col
+    if "volume" in perf.columns:
+        perf = perf.withColumn("avg_volume", F.coalesce(F.nullif(c("avg_volume"), F.lit(0.0)), c("volume")))
     dollar = c("avg_volume") * c("current_price")
     liquidity = F.when(dollar.isNotNull(), clamp01((7.3 - _log10(dollar)) / F.lit(7.3 - 6.3))) \
         .otherwise(clamp01((6.5 - _log10(c("avg_volume"))) / F.lit(6.5 - 5.5)))

@@ -13,7 +13,7 @@ from tickforge.plans.data import (AS_OF, AS_OF_SQL, DAY_SQL, FLAG_SQL, SUPPLIER_
                                   flag_bars, market_bars, supplier_bars, table, ticks)
 from tickforge.plans.registry import query
 from tickforge.sources import bars as B
-from tickforge.sources.stored import scratch_table
+from tickforge.sources.stored import scratch_table, stored_by_symbol
 
 OHLC4 = ("open", "high", "low", "close")
 
@@ -350,7 +350,7 @@ def _clamp(e):
     return f"CASE WHEN ({e}) IS NULL THEN NULL ELSE greatest(0.0, least(1.0, {e})) END"
 
 
-@query("risk_index", f"""WITH {_risk_cte(FLAG_SQL)}, {_BETA_CTE},
+_INDEX_SQL = f"""WITH {_risk_cte(FLAG_SQL)}, {_BETA_CTE},
  q AS (SELECT symbol, avg(volume) AS av FROM (SELECT * FROM bars QUALIFY {_N} <= 30) GROUP BY 1),
  px AS (SELECT symbol, close AS price FROM bars QUALIFY {_N} = 1),
  mc AS (SELECT symbol, sum(volume) * 1000 AS shares FROM bars GROUP BY 1),
@@ -369,17 +369,32 @@ def _clamp(e):
   {{'v': {_clamp("(regime - 1) / 0.6")}, 'w': 0.05::DOUBLE}}]) AS s FROM j),
  ix AS (SELECT symbol, CAST(round(sum(s.v * s.w) FILTER (s.v IS NOT NULL) / sum(s.w) FILTER (s.v IS NOT NULL) * 100) AS INTEGER) AS risk_index FROM sc GROUP BY 1)
 SELECT symbol, risk_index, CASE WHEN risk_index IS NULL THEN 'N/D' WHEN risk_index >= 67 THEN 'Alto'
- WHEN risk_index >= 34 THEN 'Medio' ELSE 'Basso' END AS risk_level FROM ix""")
-def _(spark, sf):
-    bars = flag_bars(spark, sf)
-    cap = bars.groupBy("symbol").agg((F.sum("volume") * 1000).alias("shares"))
+ WHEN risk_index >= 34 THEN 'Medio' ELSE 'Basso' END AS risk_level FROM ix"""
+
+
+def _risk_inputs(spark, sf):
+    """All of the trades' bars from one written table: five branches read it, none reads the trades again."""
+    bars = stored_by_symbol(flag_bars(spark, sf), "risk-bars")
+    cap = bars.groupBy("symbol").agg((F.sum("volume") * 1000).alias("shares"), F.max_by("volume", "ts").alias("last_volume"))
     quote = (risk.price_only(bars).join(risk.avg_volume(bars), "symbol").join(cap, "symbol")
              .withColumn("market_cap", F.col("shares") * F.col("current_price")))
-    perf = (risk.performance(bars)
+    return (risk.performance(bars)
             .join(risk.beta(bars, market_bars(spark, sf), AS_OF), "symbol", "left")
-            .join(quote.select("symbol", "current_price", "avg_volume", "market_cap"),
+            .join(quote.select("symbol", "current_price", "avg_volume", "market_cap", "last_volume"),
                   "symbol", "left"))
-    return risk.risk_index(perf).select("symbol", "risk_index", "risk_level")
+
+
+@query("risk_index", _INDEX_SQL)
+def _(spark, sf):
+    return risk.risk_index(_risk_inputs(spark, sf)).select("symbol", "risk_index", "risk_level")
+
+
+# the average is unknown for R and 0 for A: the newest bar's volume stands in
+@query("risk_index_volume", _INDEX_SQL.replace("avg(volume) AS av FROM", "CASE WHEN symbol IN ('R', 'A') THEN arg_max(volume, ts) ELSE avg(volume) END AS av FROM"))
+def _(spark, sf):
+    average = F.when(F.col("symbol") == "A", F.lit(0.0)).when(F.col("symbol") != "R", F.col("avg_volume"))
+    rows = _risk_inputs(spark, sf).withColumns({"avg_volume": average, "volume": F.col("last_volume")})
+    return risk.risk_index(rows).select("symbol", "risk_index", "risk_level")
 
 
 @query("custom_performance", f"""WITH {SUPPLIER_SQL}, f AS (SELECT symbol, arg_min(close, ts) AS initial_price,

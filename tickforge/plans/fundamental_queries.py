@@ -71,6 +71,21 @@ def _(spark, sf):
         rnd("trailing_eps", 4).alias("trailing_eps"), "short_name", "sector")
 
 
+@query("quote_json_leaves", """SELECT CAST(p_partkey AS VARCHAR) AS symbol, round(p_retailprice, 4) AS market_cap, p_size * 1000.0::DOUBLE AS trailing_pe, round(p_size / 100.0::DOUBLE, 6) AS forward_pe,
+ CASE WHEN p_partkey % 2 = 1 THEN p_size::DOUBLE END AS beta, CASE WHEN p_partkey % 3 <> 0 THEN p_size::DOUBLE END AS book_value FROM part""")
+def _(spark, sf):
+    p = table(spark, sf, "part")
+    k, size = F.col("p_partkey"), F.col("p_size")
+    q = F.struct(F.struct(F.col("p_retailprice").alias("raw"), F.lit("much").alias("fmt")).alias("marketCap"),
+                 F.concat(size.cast("string"), F.lit("K")).alias("trailingPE"),
+                 F.struct(F.lit(None).cast("double").alias("raw"), F.concat(size.cast("string"), F.lit("%")).alias("fmt")).alias("forwardPE"),
+                 F.when(k % 2 == 1, size.cast("string")).otherwise(F.lit("N/A")).alias("beta"),
+                 F.when(k % 3 != 0, size).alias("bookValue"))
+    doc = F.struct(F.struct(F.array(q).alias("result")).alias("quoteResponse"))
+    f = P.quote_json_to_fundamentals(p.select(k.cast("string").alias("symbol"), F.to_json(doc).alias("payload")))
+    return f.select("symbol", rnd("market_cap", 4).alias("market_cap"), "trailing_pe", rnd("forward_pe", 6).alias("forward_pe"), "beta", "book_value")
+
+
 def _summaries(spark, sf):
     p = table(spark, sf, "part")
     k, price, size = F.col("p_partkey"), F.col("p_retailprice"), F.col("p_size").cast("double")
@@ -441,6 +456,34 @@ def _(spark, sf):
                     "forward_pe", "dividend", rnd("dividend_yield", 6).alias("dividend_yield"), "price_to_book", "price_to_sales")
 
 
+@query("valuation_trailing", """WITH d AS (SELECT CAST(p_partkey AS VARCHAR) AS symbol, p_retailprice AS price,
+ CASE WHEN p_partkey % 8 = 0 THEN 2.0::DOUBLE WHEN p_partkey % 4 = 0 THEN 3.0::DOUBLE WHEN p_partkey % 9 <> 0 THEN 1.5::DOUBLE END AS dividend FROM part)
+SELECT symbol, dividend, round(dividend / price, 6) AS dividend_yield FROM d""")
+def _(spark, sf):
+    trailing = F.when(F.col("symbol").cast("int") % 4 == 0, F.lit(3.0))
+    v = U.derive_valuation(_valuation_inputs(spark, sf).withColumn("trailing_annual_dividend_rate", trailing))
+    return v.select("symbol", "dividend", rnd("dividend_yield", 6).alias("dividend_yield"))
+
+
+@query("quote_volumes", f"""WITH {SUPPLIER_SQL}, r AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY ts DESC) AS rn, ts >= {AS_OF_SQL} - INTERVAL 12 MONTH AS y FROM bars),
+ o AS (SELECT symbol, CAST(regexp_extract(symbol, '[0-9]+') AS INTEGER) AS k, avg(volume) FILTER (rn <= 30) AS av, max(volume) FILTER (rn = 1) AS v, min(low) FILTER (y) AS lo, max(high) FILTER (y) AS hi FROM r GROUP BY 1)
+SELECT symbol, round(CASE WHEN k % 3 = 0 THEN 7 WHEN k % 2 = 0 THEN 11 WHEN k % 5 = 0 THEN 13 ELSE av END, 4) AS avg_volume, round(CASE WHEN k % 4 = 0 THEN 9 WHEN k % 3 = 1 THEN 17 ELSE v END, 4) AS volume,
+ round(CASE WHEN k % 5 = 0 THEN 0.5 ELSE lo END, 4) AS low_52w, round(CASE WHEN k % 7 = 0 THEN 0.75 ELSE hi END, 4) AS high_52w FROM o""")
+def _(spark, sf):
+    bars = supplier_bars(spark, sf)
+    known = bars.select("symbol").distinct().withColumn("k", F.regexp_extract("symbol", "[0-9]+", 0).cast("int"))
+
+    def some(every, rest, value):
+        return F.when(F.col("k") % every == rest, F.lit(value))
+
+    info = known.select("symbol", some(3, 0, 7.0).alias("average_volume"), some(4, 0, 9.0).alias("volume"), some(5, 0, 0.5).alias("low_52w"),
+                        F.lit(None).cast("double").alias("high_52w"))
+    fast = known.select("symbol", some(2, 0, 11.0).alias("three_month_volume"), some(5, 0, 13.0).alias("ten_day_volume"), some(3, 1, 17.0).alias("volume"),
+                        some(5, 0, 0.25).alias("low_52w"), some(7, 0, 0.75).alias("high_52w"))
+    q = U.quote_volumes(info, fast, bars, AS_OF)
+    return q.select("symbol", *[rnd(c, 4).alias(c) for c in ("avg_volume", "volume", "low_52w", "high_52w")])
+
+
 @query("overview_fallbacks", f"""WITH {_VAL_SQL} SELECT symbol, market_cap, round(coalesce(pe_ratio, current_price / nullif(eps, 0), forward_pe), 4) AS pe_ratio,
  round(coalesce(eps, current_price / nullif(pe_ratio, 0)), 4) AS eps, round(coalesce(dividend, dividend_yield * current_price), 4) AS dividend,
  round(coalesce(forward_pe, pe_ratio, current_price / nullif(eps, 0)), 4) AS forward_pe, round(coalesce(dividend_yield, dividend / current_price), 6) AS dividend_yield,

@@ -334,6 +334,19 @@ def _(spark, sf):
     return O.collection_normalize(docs)
 
 
+@query("collection_defaults", """SELECT o_orderkey AS owner_id, 0 AS position, 'portfolio-1' AS id, 'Portafoglio 1' AS name, CASE WHEN o_orderkey % 5 = 2 THEN 'public' ELSE 'private' END AS visibility,
+ true AS active FROM orders WHERE o_orderkey % 5 <> 4
+UNION ALL SELECT o_orderkey, p, o_orderstatus || CASE WHEN p = 0 THEN '' ELSE '-' || (p + 1) END, 'Portafoglio ' || (p + 1), 'public', p = 0
+FROM (SELECT *, unnest([0, 1, 2]) AS p FROM orders WHERE o_orderkey % 5 = 4)""")
+def _(spark, sf):
+    item = "struct(o_orderstatus AS id, CAST(NULL AS STRING) AS name, CAST(NULL AS STRING) AS visibility)"
+    docs = table(spark, sf, "orders").selectExpr(
+        "o_orderkey AS owner_id", "'x' AS active_id",
+        f"CASE o_orderkey % 5 WHEN 0 THEN NULL WHEN 1 THEN filter(array({item}), i -> false) ELSE array({item}, {item}, {item}) END AS items",
+        "CASE o_orderkey % 5 WHEN 2 THEN array(' ', lower(o_orderpriority)) WHEN 3 THEN array(' ', CAST(NULL AS STRING)) END AS entries")
+    return O.collection_normalize(docs)
+
+
 @query("normalize_entries", f"""WITH e AS (SELECT *, {_duck(_INITIAL)} AS ip, {_TICKER} AS t FROM orders WHERE o_orderkey % 8 <> 0)
 SELECT o_custkey AS portfolio, CASE WHEN o_orderkey % 3 = 0 THEN 'id' || o_orderkey ELSE t || '-' || CASE WHEN o_orderkey % 2 = 0 THEN {NOW_MS} ELSE o_orderkey + 1 END || '-' || o_orderkey END AS id,
  t AS ticker, CASE WHEN o_orderstatus = 'F' THEN 'sold' ELSE 'bought' END AS status, ip AS initial_price, CASE WHEN o_orderstatus = 'F' THEN o_totalprice END AS sold_price FROM e""")

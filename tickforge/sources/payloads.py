@@ -108,19 +108,27 @@ def chart_json_meta(payloads: DataFrame) -> DataFrame:
 
 
 def quote_json_to_fundamentals(payloads: DataFrame) -> DataFrame:
-    """Flat quote JSON -> fundamentals; empty names fall back to the longer form."""
-    fields = ",".join([f"{k}:double" for k in QUOTE_NUMBERS]
-                      + [f"{k}:string" for k in ("shortName", "longName", "sector", "industry")])
+    """Flat quote JSON -> fundamentals; empty names fall back to the longer form. A number may be a JSON number,
+    a text such as "1.2B", or an object with ``raw`` and ``fmt``."""
+    names = ("shortName", "longName", "sector", "industry")
+    fields = ",".join(f"{k}:string" for k in (*QUOTE_NUMBERS, *names))
     schema = f"quoteResponse struct<result:array<struct<{fields}>>>"
     q = payloads.select("symbol", F.from_json("payload", schema)["quoteResponse"]["result"].alias("r"))
     q = q.where(F.size("r") > 0).select("symbol", F.col("r")[0].alias("q"))
 
-    def filled(c):
-        return F.when(F.col(c) != "", F.col(c))
+    def leaf(key):
+        text = F.col(f"q.{key}")
+        parts = F.coalesce(F.get_json_object(text, "$.raw"), F.get_json_object(text, "$.fmt"))
+        return F.when(text.startswith("{"), parts).otherwise(text)
 
-    return q.select("symbol", *[F.col(f"q.{k}").alias(n) for k, n in QUOTE_NUMBERS.items()],
-                    F.coalesce(filled("q.shortName"), F.col("q.longName")).alias("short_name"),
-                    F.coalesce(filled("q.sector"), F.col("q.industry")).alias("sector"))
+    def name(key):
+        return F.nullif(F.col(f"q.{key}"), F.lit(""))
+
+    # one list of texts, parsed by one expression: parsing uses its argument many times
+    numbers = F.transform(F.array(*[leaf(k) for k in QUOTE_NUMBERS]), parse_number)
+    found = q.select("symbol", numbers.alias("x"), F.coalesce(name("shortName"), F.col("q.longName")).alias("short_name"),
+                     F.coalesce(name("sector"), F.col("q.industry")).alias("sector"))
+    return found.select("symbol", *[F.col("x")[i].alias(n) for i, n in enumerate(QUOTE_NUMBERS.values())], "short_name", "sector")
 
 
 def quote_summary_to_fundamentals(payloads: DataFrame) -> DataFrame:
