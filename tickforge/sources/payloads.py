@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tickforge.functions.scalars import normalize_row_key, parse_number, to_text
+from tickforge.functions.scalars import normalize_row_key, parse_number, parse_numbers, to_text
 
 CHART = ("chart struct<result:array<struct<meta:struct<shortName:string,symbol:string,"
          "marketCap:double,fiftyTwoWeekLow:double,fiftyTwoWeekHigh:double,regularMarketVolume:double>,"
@@ -124,8 +124,7 @@ def quote_json_to_fundamentals(payloads: DataFrame) -> DataFrame:
     def name(key):
         return F.nullif(F.col(f"q.{key}"), F.lit(""))
 
-    # one list of texts, parsed by one expression: parsing uses its argument many times
-    numbers = F.transform(F.array(*[leaf(k) for k in QUOTE_NUMBERS]), parse_number)
+    numbers = parse_numbers(F.array(*[leaf(k) for k in QUOTE_NUMBERS]))
     found = q.select("symbol", numbers.alias("x"), F.coalesce(name("shortName"), F.col("q.longName")).alias("short_name"),
                      F.coalesce(name("sector"), F.col("q.industry")).alias("sector"))
     return found.select("symbol", *[F.col("x")[i].alias(n) for i, n in enumerate(QUOTE_NUMBERS.values())], "short_name", "sector")
