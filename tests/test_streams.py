@@ -56,3 +56,21 @@ def test_candles_merge_ticks_and_drop_late_ones(spark):
         if n == 0:
             assert got == {"A": (10, 13, 9, 11.5), "B": (1, 2, 0.5, 1.5), "C": (5, 5, 5, 5)}
     assert got["A"] == (10, 13, 8, 8) and got["B"] == (1, 2, 0.5, 1.5) and got["C"] == (5, 6, 5, 6)
+
+
+def test_ticker_events_go_on_over_batches_and_restarts(spark):
+    schema = "portfolio_id long, seq long, tickers array<string>"
+    rng = random.Random(8)
+    folder, state = scratch_folder(spark, "input"), scratch_folder(spark, "stream")
+    rows = [(rng.choice([1, 1, 1, 2, 3, None]), seq, [rng.choice("abcde") for _ in range(rng.randrange(4))]) for seq in range(90)]
+    for n in range(3):
+        feed(spark, folder, schema, rng.sample(rows[30 * n:30 * n + 30], 30), n)
+        if n != 1:  # the second start finds two files
+            got = L.settle(stream(spark, folder, schema), ["portfolio_id"], mode="append", folder=state, step=L.ticker_events)
+    last, want = {}, []
+    for p, seq, tickers in rows:
+        now = {t.upper() for t in tickers}
+        if p in last:
+            want += [(p, seq, "buy", t) for t in now - last[p]] + [(p, seq, "sell", t) for t in last[p] - now]
+        last[p] = now
+    assert sorted(map(str, map(tuple, got.collect()))) == sorted(map(str, want)) and len(want) > 50

@@ -72,4 +72,4 @@ SELECT p, seq, 'sell', unnest(list_filter(old, lambda x: NOT list_contains(now,
 def _(spark, sf):
     s = _orders(spark, sf).selectExpr(f"CAST({_PID} AS BIGINT) AS portfolio_id", "o_orderkey AS seq",
                                       "array(concat('T', o_orderkey % 5), concat('u', o_orderkey % 3)) AS tickers")
-    return L.settle(L.ticker_events(s), ["portfolio_id"], mode="append")
+    return L.settle(s, ["portfolio_id"], mode="append", step=L.ticker_events)

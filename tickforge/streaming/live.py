@@ -6,15 +6,13 @@ over the data that is there and returns the final state per key.
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Sequence
 
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from tickforge.operators.portfolio import social_tickers
-from tickforge.sources.stored import scratch_folder
+from tickforge.sources.stored import clear_scratch, scratch_folder
 
 WATERMARK = "1 day"
 SLOTS = {"1h": "1 hour", "4h": "4 hours", "1d": "1 day"}
@@ -76,36 +74,38 @@ def reaction_counts(states: DataFrame) -> DataFrame:
     return states.groupBy("portfolio_id").agg(F.count_if("active").alias("n"))
 
 
-def ticker_events(snapshots: DataFrame) -> DataFrame:
-    """buy/sell events from ``(portfolio_id, seq, ts, tickers)`` snapshots; the state of a
-    portfolio is its previous list (at most twelve tickers)."""
-    clean = snapshots.select("portfolio_id", "seq", social_tickers(F.col("tickers")).alias("tickers"))
+def ticker_events(snapshots: DataFrame, before: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """buy/sell events of the ``(portfolio_id, seq, tickers)`` snapshots of one micro-batch, and the newest list of every
+    portfolio, ``(portfolio_id, tickers)``, which the next batch gets as ``before``. It is a step for ``settle``.
 
-    def follow(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        # sorting needs only this key's snapshots of one micro-batch, twelve short texts each
-        rows = pd.concat(list(batches)).sort_values("seq")
-        before = list(state.get[0]) if state.exists else None
-        out = []
-        for seq, tickers in zip(rows["seq"], rows["tickers"]):
-            now = list(tickers)
-            if before is not None:
-                out += [(key[0], seq, "buy", t) for t in now if t not in before]
-                out += [(key[0], seq, "sell", t) for t in before if t not in now]
-            before = now
-        state.update((before,))
-        yield pd.DataFrame(out, columns=["portfolio_id", "seq", "action", "ticker"])
+    A portfolio's first snapshot gives no events; a missing list is an empty one."""
+    none = F.array().cast("array<string>")
+    rows = snapshots.select("portfolio_id", "seq", F.coalesce(social_tickers(F.col("tickers")), none).alias("tickers"), F.lit(1).alias("_new"))
+    if before is not None:
+        seq = F.lit(None).cast(snapshots.schema["seq"].dataType)
+        rows = rows.unionByName(before.select("portfolio_id", seq.alias("seq"), "tickers", F.lit(0).alias("_new")))
+    along = Window.partitionBy("portfolio_id").orderBy("_new", F.col("seq").asc_nulls_last())
+    rows = rows.withColumns({"_old": F.lag("tickers").over(along), "_last": F.lead("_new").over(along).isNull()})
 
-    return clean.groupBy("portfolio_id").applyInPandasWithState(
-        follow, "portfolio_id bigint, seq bigint, action string, ticker string",
-        "tickers array<string>", "append", GroupStateTimeout.NoTimeout)
+    def moves(action: str, here: str, there: str) -> Column:
+        gone = F.filter(here, lambda x: ~F.array_contains(F.col(there), x))
+        return F.transform(gone, lambda x: F.struct(F.lit(action).alias("action"), x.alias("ticker")))
+
+    events = rows.where("_new = 1 AND _old IS NOT NULL").select(
+        "portfolio_id", "seq", F.inline(F.concat(moves("buy", "tickers", "_old"), moves("sell", "_old", "tickers"))))
+    return events, rows.where("_last").select("portfolio_id", "tickers")
 
 
 # --- running a stream to the end of the available data -----------------------------------------
 
-def settle(stream: DataFrame, keys: Sequence[str], mode: str = "update", folder: str | None = None) -> DataFrame:
+def settle(stream: DataFrame, keys: Sequence[str], mode: str = "update", folder: str | None = None,
+           step: Callable[[DataFrame, DataFrame | None], tuple[DataFrame, DataFrame]] | None = None) -> DataFrame:
     """Process what is available and return the last version of each key. With the ``folder`` of an earlier call the
     stream goes on where that call ended, with its state.
 
+    A ``step`` makes the rows of a micro-batch from the batch and from the table that the step left behind for it after the
+    batch before; that table is the state, and joins and windows of Spark work on it without a call per key.
+
     Each micro-batch is written under its own number and a repeated batch overwrites itself, so
     a restart after a lost executor neither loses nor doubles rows. Nothing goes through the driver.
     """
@@ -113,13 +113,19 @@ def settle(stream: DataFrame, keys: Sequence[str], mode: str = "update", folder:
     folder = folder or scratch_folder(spark, "stream")
 
     def write(batch: DataFrame, number: int) -> None:
+        if step is not None:
+            before = batch.sparkSession.read.parquet(f"{folder}/left/b{number - 1}") if number else None
+            batch, left = step(batch, before)
+            left.write.mode("overwrite").parquet(f"{folder}/left/b{number}")
+            clear_scratch(spark, f"{folder}/left/b{number - 2}")  # a repeated batch needs the table before it only
         batch.withColumn("_batch", F.lit(number)).write.mode("overwrite").parquet(f"{folder}/rows/b{number}")
 
     (stream.writeStream.outputMode(mode).option("checkpointLocation", f"{folder}/state")
      .trigger(availableNow=True).foreachBatch(write).start().awaitTermination())
+    made = stream if step is None else step(spark.createDataFrame([], stream.schema), None)[0]
     rows = spark.read.option("recursiveFileLookup", "true").schema(
-        stream.withColumn("_batch", F.lit(0)).schema).parquet(f"{folder}/rows")
+        made.withColumn("_batch", F.lit(0)).schema).parquet(f"{folder}/rows")
     if mode == "append":
         return rows.drop("_batch")
-    cols = [c for c in stream.columns if c not in keys]
+    cols = [c for c in made.columns if c not in keys]
     return rows.groupBy(*keys).agg(F.max_by(F.struct(*cols), "_batch").alias("_r")).select(*keys, "_r.*")
