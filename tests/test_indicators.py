@@ -116,3 +116,26 @@ def test_cleaning_keeps_no_nan(spark):
                                 BARS.replace("double", "string"))
     r = clean_bars(raw.drop("volume")).collect()
     assert [tuple(x)[3:] for x in r] == [(2.0, 2.0, 2.0, 0.0)]
+
+
+def test_numeric_bars_are_not_read_as_texts(spark):
+    from tickforge.sources.bars import clean_bars
+
+    rows = [("A", 1, 1.0, None, float("nan"), 1e10, 3), ("A", 2, float("inf"), 2.0, 1.0, float("nan"), 4), ("A", 3, None, 5.0, 1.0, 1e-7, None)]
+    bars = spark.createDataFrame(rows, "symbol string, ts int, open double, high float, low double, close double, volume int")
+    out = clean_bars(bars)
+    assert [tuple(r)[2:] for r in out.orderBy("ts").collect()] == [(1.0, 1e10, 1e10, 1e10, 3.0), (None, 5.0, 1.0, 1e-7, 0.0)]
+    assert "RLIKE" not in out._jdf.queryExecution().optimizedPlan().toString().upper()
+
+
+def test_rolling_frames_hold_one_aggregate(spark):
+    from tickforge.functions.windows import along, positioned, roll
+
+    values = [1.0, None, 2.0, 4.0, float("nan"), 8.0, 16.0, 32.0, None, 1.0]
+    s = positioned(spark.createDataFrame([("A", i, v) for i, v in enumerate(values)], "symbol string, ts int, x double"))
+    got = s.select("pos", roll(F.avg, F.col("x"), 2, along()).alias("mean"), roll(F.max, F.col("x"), 3, along()).alias("top"))
+    rows = got.orderBy("pos").collect()
+    assert [str(r.mean) for r in rows] == ["None", "None", "None", "3.0", "nan", "nan", "12.0", "24.0", "None", "None"]
+    assert [str(r.top) for r in rows] == ["None"] * 4 + ["nan"] * 3 + ["32.0", "None", "None"]
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "count(" not in plan and "avg(" not in plan
