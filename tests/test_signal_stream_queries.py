@@ -136,3 +136,12 @@ def test_signal_reads_bucketed_bars_without_an_exchange(spark, sf):
         assert X.timeframe_signal(stored(supplier_bars(spark, sf)), "1mo", AS_OF)._jdf.queryExecution().executedPlan().toString().count("Exchange hash") > 5
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_gap_odds_and_nearest_gaps_come_from_one_pass(spark):
+    gap = "symbol string, pos int, ord int, start double, end double, closed boolean, fill_ahead double"
+    status = spark.createDataFrame([("A", 1, 0, 10.0, 12.0, False, 0.0), ("A", 2, 0, 4.0, 6.0, False, 60.0), ("A", 3, 0, 8.0, 8.5, True, None), ("B", 1, 0, 1.0, 2.0, False, 90.0)], gap)
+    prices = spark.createDataFrame([("A", 8.0)], "symbol string, price double")
+    got = {r.symbol: r for r in X.nearest_open_gaps(status, prices).collect()}
+    assert (got["A"].gap_up.center, got["A"].gap_down.center, round(got["A"].close_prob, 3)) == (11.0, 5.0, 33.333)
+    assert (got["B"].gap_up, got["B"].gap_down, got["B"].close_prob) == (None, None, 100.0)

@@ -192,17 +192,17 @@ def gap_status(rows: DataFrame) -> DataFrame:
         .drop("_hit", "_far", "_at", "_level", "_l", "_u", "_s")
 
 
-def _probability() -> Column:
+def close_probability() -> Column:
     return F.avg(F.when(F.col("fill_ahead") >= CLOSE_AT, 100.0).otherwise(0.0))
 
 
 def gap_close_probability(gaps: DataFrame) -> DataFrame:
     """Share of all gaps that are half filled within the look-ahead."""
-    return gaps.groupBy("symbol").agg(_probability().alias("close_prob"))
+    return gaps.groupBy("symbol").agg(close_probability().alias("close_prob"))
 
 
 def gap_close_probability_by_type(gaps: DataFrame) -> DataFrame:
-    return gaps.groupBy("symbol", "kind").agg(_probability().alias("close_prob"))
+    return gaps.groupBy("symbol", "kind").agg(close_probability().alias("close_prob"))
 
 
 def latest_open_gap(status: DataFrame) -> DataFrame:

@@ -23,6 +23,7 @@ from tickforge.operators import seasonality as S
 from tickforge.operators import zones as Z
 from tickforge.operators.indicators import tech_summary, technicals_rows, vote_counts
 from tickforge.sources.bars import clean_bars_strict, in_period, resample
+from tickforge.sources.stored import stored_by_symbol
 
 # Weights of the five scores with and without the technical filter.
 WEIGHTS = {True: {"sr": 0.32, "gap": 0.23, "season": 0.20, "tech": 0.17, "market": 0.10},
@@ -285,15 +286,17 @@ def or_neutral(signal: DataFrame) -> DataFrame:
 # --- gathering the parts ---------------------------------------------------------------------
 
 def nearest_open_gaps(status: DataFrame, prices: DataFrame) -> DataFrame:
-    """Nearest open gap above and below each symbol's price: two aggregates, no gap lists."""
-    g = status.where(~F.col("closed")).join(prices, "symbol")
+    """Nearest open gap above and below each symbol's price, and ``close_prob`` of all its gaps: one pass over the
+    gaps, aggregates only, no gap lists. Symbols without a price have the probability alone."""
+    g = status.join(prices, "symbol", "left")
     center = (F.col("start") + F.col("end")) / 2
     g = g.withColumns({"center": center, "dist": F.abs(center - F.col("price"))})
     gap = F.struct("start", "end", "center", "dist")
     rank = F.struct("dist", "ord", "pos")
     above = F.col("center") >= F.col("price")
-    return g.groupBy("symbol").agg(F.min_by(gap, F.when(above, rank)).alias("gap_up"),
-                                   F.min_by(gap, F.when(~above, rank)).alias("gap_down"))
+    return g.groupBy("symbol").agg(F.min_by(gap, F.when(~F.col("closed") & above, rank)).alias("gap_up"),
+                                   F.min_by(gap, F.when(~F.col("closed") & ~above, rank)).alias("gap_down"),
+                                   G.close_probability().alias("close_prob"))
 
 
 def season_medians(daily: DataFrame, as_of: dt.date) -> DataFrame:
@@ -325,21 +328,28 @@ def gap_rows(daily: DataFrame, timeframe: str, as_of: dt.date) -> DataFrame:
     return positioned(rows).drop("seg")
 
 
+def _part(df: DataFrame) -> DataFrame:
+    """One part as a table in buckets of symbols, a row per symbol.
+
+    All parts and the signal in one stage are more compiled classes than Spark keeps (100 by default), so that every
+    task would compile them anew, and the sorts of all parts would share the memory of a task. The zones and the season
+    are the parts with the most steps."""
+    return stored_by_symbol(df, "part", order="symbol")
+
+
 def signal_inputs(daily: DataFrame, timeframe: str, as_of: dt.date) -> DataFrame:
-    """Six parts joined by symbol, each already one row per symbol; every symbol with a bar has one."""
+    """Five parts joined by symbol, each already one row per symbol; every symbol with a bar has one."""
     z = Z.supply_demand(daily, timeframe, as_of)
     zones = z.select("symbol", "price", F.col("support.price").alias("support"),
                      F.col("resistance.price").alias("resistance"), "state", "state_strength")
     status = G.gap_closed(gap_rows(daily, timeframe, as_of))
     gaps = nearest_open_gaps(status, Z.zone_price(daily, timeframe, as_of))
-    prob = G.gap_close_probability(status)
     tech = tech_summary(vote_counts(technicals_rows(timeframe_bars(daily, timeframe), timeframe, as_of)))
     tech = tech.select("symbol", "general", "strength", "buy", "sell", "neutral")
-    out = (daily.select("symbol").distinct().join(zones, "symbol", "left")
-           .join(gaps, "symbol", "left").join(prob, "symbol", "left")
-           .join(tech, "symbol", "left"))
+    out = (daily.select("symbol").distinct().join(_part(zones), "symbol", "left")
+           .join(gaps, "symbol", "left").join(tech, "symbol", "left"))
     if timeframe == "1mo":
-        return out.join(season_medians(daily, as_of), "symbol", "left")
+        return out.join(_part(season_medians(daily, as_of)), "symbol", "left")
     none = F.lit(None).cast("double")
     return out.withColumns({"current_median": none, "next_median": none})
 

@@ -86,7 +86,8 @@ def stored_by_symbol(bars: DataFrame, kind: str = "bars", buckets: int | None =
     spark = bars.sparkSession
     n = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
     name, folder = scratch_table(spark, kind)
-    (bars.repartition(n, key).sortWithinPartitions(key, order).write.bucketBy(n, key).sortBy(key, order)
+    by = list(dict.fromkeys((key, order)))
+    (bars.repartition(n, key).sortWithinPartitions(*by).write.bucketBy(n, key).sortBy(*by)
      .format("parquet").option("path", folder).saveAsTable(name))
     return spark.table(name)
 
