@@ -77,6 +77,19 @@ def test_gap_status_climbs_a_tower_of_four_levels(spark):
     assert found > 300 and far > 5
 
 
+def test_open_gaps_are_not_searched_for(spark):
+    """A reader of open gaps alone has no join and no blocks in its plan, and the gaps that the full status gives."""
+    rows = positioned(bars(spark, walk("A", 300, 1), walk("B", 31, 2))).drop("seg")
+    status = G.gap_status(rows)
+    newest = G.latest_open_gap(status)
+    plan = newest._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and "collect_list" not in plan
+    want = {}
+    for r in sorted(status.where("NOT closed").collect(), key=lambda r: (r["ts"], -r["ord"])):
+        want[r["symbol"]] = (r["ts"], r["kind"], r["fill_pct"])
+    assert want and {r["symbol"]: (r["ts"], r["kind"], r["fill_pct"]) for r in newest.collect()} == want
+
+
 def test_tower_has_few_cells(spark):
     rows = positioned(bars(spark, walk("A", 2100, 1), walk("B", 40, 2))).drop("seg")
     tower = G.block_tower(rows, 3)

@@ -103,18 +103,22 @@ def gap_lookahead(rows: DataFrame, n: int = LOOKAHEAD) -> DataFrame:
             .drop("ahead_low", "ahead_high"))
 
 
+def _with_later(rows: DataFrame) -> DataFrame:
+    """The lowest low and the highest high of all later bars."""
+    later = (Window.partitionBy("symbol").orderBy(F.col("pos").desc())
+             .rowsBetween(Window.unboundedPreceding, -1))
+    return rows.withColumns({"later_low": F.min("low").over(later),
+                             "later_high": F.max("high").over(later)})
+
+
 def gap_closed(rows: DataFrame) -> DataFrame:
     """All gaps with ``closed`` and ``fill_ahead`` only, where the fill at closing is not needed.
 
     The largest fill of all later bars follows from their lowest low and highest high, so
     running extremes from the newest bar backwards are enough: no search and no join.
     """
-    later = (Window.partitionBy("symbol").orderBy(F.col("pos").desc())
-             .rowsBetween(Window.unboundedPreceding, -1))
-    ext = rows.withColumns({"later_low": F.min("low").over(later),
-                            "later_high": F.max("high").over(later)})
     most = gap_fill_pct(F.col("later_low"), F.col("later_high"))
-    return (gap_lookahead(ext).withColumn("closed", F.coalesce(most >= CLOSE_AT, F.lit(False)))
+    return (gap_lookahead(_with_later(rows)).withColumn("closed", F.coalesce(most >= CLOSE_AT, F.lit(False)))
             .drop("later_low", "later_high"))
 
 
@@ -144,6 +148,9 @@ def gap_status(rows: DataFrame) -> DataFrame:
     a step, however long the history is. Down gaps are looked at upside down (``-high`` for
     ``low``), so one rule serves both directions. The rows are written once, because the height of the
     tower comes from the longest history.
+
+    Only gaps that some later bar closes are searched for. That none does, and how far an open gap is filled, is known
+    from the extreme of all later bars, a running one; so a reader of open gaps alone has no search and no join.
     """
     rows = stored(rows, "positioned")
     longest, height = rows.agg(F.max("pos")).first()[0] or 0, 1
@@ -152,10 +159,10 @@ def gap_status(rows: DataFrame) -> DataFrame:
     tower = block_tower(rows, height)
     up = F.col("direction") == "up"
     lower, upper = F.least("start", "end"), F.greatest("start", "end")
-    g = gap_lookahead(rows).withColumns({"_l": F.when(up, lower).otherwise(-upper), "_u": F.when(up, upper).otherwise(-lower)})
-    none = F.lit(None)
-    g = g.withColumns({"_s": F.when(F.col("_u") > F.col("_l"), F.col("_u") - F.col("_l")), "_level": none.cast("int"), "_at": none.cast("int"),
-                       "_hit": none.cast("double"), "_far": none.cast("double")})
+    g = gap_lookahead(_with_later(rows)).withColumns({
+        "_l": F.when(up, lower).otherwise(-upper), "_u": F.when(up, upper).otherwise(-lower),
+        "_most": F.when(up, F.col("later_low")).otherwise(-F.col("later_high"))}).drop("later_low", "later_high")
+    g = g.withColumn("_s", F.when(F.col("_u") > F.col("_l"), F.col("_u") - F.col("_l")))
 
     def fill(x: Column) -> Column:
         return (F.col("_u") - F.greatest(x, F.col("_l"))) / F.col("_s") * 100
@@ -173,23 +180,26 @@ def gap_status(rows: DataFrame) -> DataFrame:
         g = g.withColumn("_rest", F.slice(cells, own + 1, BLOCK)).withColumn("_n", first(F.col("_rest")))
         found = looking & (F.col("_n") > 0)
         g = g.withColumns({
-            "_far": F.least("_far", F.array_min("_rest")),
             "_hit": F.when(found, F.get("_rest", F.col("_n") - 1)).otherwise(F.col("_hit")),
             "_at": F.when(found, F.col("_key") * BLOCK + own + F.col("_n") - 1).otherwise(F.col("_at")),
             "_level": F.when(found, F.lit(level - 1)).otherwise(F.col("_level"))})
         return g.drop("_symbol", "_blk", "_key", "cells_low", "cells_nhigh", "_rest", "_n")
 
+    def reached(seen: Column) -> Column:
+        part = F.coalesce(F.when(seen.isNotNull(), fill(seen)), F.lit(0.0))
+        return F.greatest(F.lit(0.0), F.least(F.lit(100.0), part))
+
+    closes = F.col("_most").isNotNull() & F.coalesce(fill(F.col("_most")) >= CLOSE_AT, F.lit(False))
+    still_open = g.where(~closes).withColumns({"closed": F.lit(False), "fill_pct": reached(F.col("_most"))}).drop("_l", "_u", "_s", "_most")
+    none = F.lit(None)
+    g = g.where(closes).drop("_most").withColumns({"_level": none.cast("int"), "_at": none.cast("int"), "_hit": none.cast("double")})
     for level in range(1, height + 1):
         part = F.floor(F.col("pos") / F.lit(BLOCK ** (level - 1))).cast("int")
         g = step(g, level, F.col("_level").isNull(), F.floor(F.col("pos") / F.lit(BLOCK ** level)).cast("int"), part % BLOCK + 1)
     for level in range(height - 1, 0, -1):
         g = step(g, level, F.coalesce(F.col("_level") == level, F.lit(False)), F.col("_at"), F.lit(0))
-    seen = F.coalesce("_hit", "_far")
-    reached = F.coalesce(F.when(seen.isNotNull(), fill(seen)), F.lit(0.0))
-    return g.withColumns({
-        "closed": F.col("_hit").isNotNull(),
-        "fill_pct": F.greatest(F.lit(0.0), F.least(F.lit(100.0), reached))}) \
-        .drop("_hit", "_far", "_at", "_level", "_l", "_u", "_s")
+    g = g.withColumns({"closed": F.lit(True), "fill_pct": reached(F.col("_hit"))}).drop("_hit", "_at", "_level", "_l", "_u", "_s")
+    return still_open.unionByName(g)
 
 
 def close_probability() -> Column:
