@@ -37,6 +37,13 @@ def test_trees_equal_the_library(codec, library):
         assert tree(codec, text, size) == library.encode(text, add_special_tokens=False).ids, (text, size)
 
 
+def test_printed_texts_equal_the_library_and_long_pieces_are_forgotten(codec, library):
+    texts = ["", " ", "a b  c\u0085 d_ e\u00b2 f", "same words same words", "x" * 40 + " same", "é <|endoftext|> b", "日本 語\t a"]
+    for (names, data), text in zip(codec.print_all(texts), texts):
+        assert names == ",".join(map(str, library.encode(text, add_special_tokens=False).ids)) and data.decode() == text
+    assert " same" in codec.known and max(map(len, codec.known)) <= B.REMEMBERED
+
+
 @pytest.mark.parametrize("text", ["a" * 50_001, "ab" * 30_000, "0123456789abcdef" * 4000, "日本語" * 9000, " " * 30_000 + "x", "\n" * 20_001, "'" * 20_000 + "s", "é🙂" * 9000,
                                   "<|endoftext|>" * 3000, "word " * 9000])
 def test_unsplit_texts(codec, library, text):

@@ -18,6 +18,7 @@ import hashlib
 import os
 import re
 from collections.abc import Iterable, Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -40,6 +41,12 @@ _LEAVES = "uid bigint, doc_id string, leaf int, kind int, text string"
 _CODES = "uid bigint, doc_id string, leaf int, kind int, ids binary"
 
 
+#: Identifiers joined by commas, and the bytes they stand for.
+Printed = tuple[str, bytes]
+# in front of a blank after something ``_solid``: \w is what isalnum accepts, and the underscore
+_CUT = re.compile(r"(?<=[!-~\w])(?= )")
+
+
 class Codec:
     """A byte-level vocabulary file of the tokenizers library, with what cutting and joining needs."""
 
@@ -71,7 +78,7 @@ class Codec:
         own = [*range(33, 127), *range(161, 173), *range(174, 256)]
         byte_of = {chr(b): b for b in own} | {chr(256 + k): b for k, b in enumerate(b for b in range(256) if b not in set(own))}
         self.bytes = {i: bytes(byte_of[c] for c in s) for i, s in self.symbols.items()} | {t["id"]: t["content"].encode() for t in made_of["added_tokens"]}
-        self.known: dict[str, list[int]] = {}
+        self.known: dict[str, Printed] = {}
         self.sizes = {i: len(b) for i, b in self.bytes.items()}
         self.names = {i: str(i) for i in self.bytes}
         added = sorted((t["content"] for t in made_of["added_tokens"]), key=len, reverse=True)
@@ -82,33 +89,47 @@ class Codec:
         return self.encode_all([text])[0]
 
     def encode_all(self, texts: list[str]) -> list[list[int]]:
-        """The same for several texts. They are cut at every blank where any text is cut; short pieces are remembered, and
-        new ones are encoded together, as one text that is cut between them."""
+        """The same for several texts."""
+        return [list(map(int, names.split(","))) if names else [] for names, _ in self.print_all(texts)]
+
+    def print_all(self, texts: list[str]) -> list[Printed]:
+        """Encoded and decoded: identifiers joined by commas, and their bytes."""
+        return [(",".join([names for names, _ in coded]), b"".join([data for _, data in coded])) for coded in self._coded(texts)]
+
+    def printed(self, ids: list[int]) -> Printed:
+        return ",".join(map(self.names.__getitem__, ids)), b"".join(map(self.bytes.__getitem__, ids))
+
+    def _coded(self, texts: list[str]) -> Iterator[list[Printed]]:
+        """The pieces of each text. Texts are cut at every blank where any text is cut; short pieces are remembered, printed
+        (pairs of texts cost the garbage collector nothing), and new ones are encoded together, as one text that is cut between them."""
         if len(self.known) > MEMORY:
             self.known = {}
         known, all_pieces = self.known, [None if self.added and self.added.search(t) else _pieces(t) for t in texts]
-        new = list(dict.fromkeys(p for pieces in all_pieces if pieces for p in pieces if p not in known))
+        new = [p for p in dict.fromkeys(chain.from_iterable(filter(None, all_pieces))) if p not in known]
         inner = [p for p in new if p[:1] == " " and _solid(p[-1])]
         outer = list(set(new).difference(inner))
-        fresh = dict(zip(outer, self._library(outer)))
+        known.update(zip(outer, map(self.printed, self._library(outer))))
         if inner:
-            ids, at = self._library(["".join(inner)])[0], 0
-            for p in inner:
-                begin, left = at, len(p.encode())
-                while left:
-                    left -= self.sizes[ids[at]]
-                    at += 1
-                fresh[p] = ids[begin:at]
-        known.update((p, x) for p, x in fresh.items() if len(p) <= REMEMBERED)
-        return [self._library([t])[0] if pieces is None else [i for p in pieces for i in (known[p] if p in known else fresh[p])]
-                for t, pieces in zip(texts, all_pieces)]
+            ids = self._library(["".join(inner)])[0]
+            names, data = list(map(self.names.__getitem__, ids)), b"".join(map(self.bytes.__getitem__, ids))
+            ends = np.cumsum(np.fromiter(map(self.sizes.__getitem__, ids), np.int64, len(ids)))
+            stops = np.cumsum(np.fromiter((len(p.encode()) for p in inner), np.int64, len(inner)))
+            at, begin = 0, 0
+            for p, to, stop in zip(inner, (np.searchsorted(ends, stops) + 1).tolist(), stops.tolist()):
+                known[p] = ",".join(names[at:to]), data[begin:stop]
+                at, begin = to, stop
+        for text, pieces in zip(texts, all_pieces):
+            yield [self.printed(self._library([text])[0])] if pieces is None else list(map(known.__getitem__, pieces))
+        for p in new:
+            if len(p) > REMEMBERED:
+                del known[p]
 
     def _library(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def decode(self, ids: list[int]) -> str:
         """The library's text, by a table of each identifier's bytes."""
-        return b"".join(map(self.bytes.__getitem__, ids)).decode(errors="replace")
+        return self.printed(ids)[1].decode(errors="replace")
 
     def merged(self, symbols: str) -> list[int]:
         """Merges alone, over symbols of the byte alphabet, without pre-tokenizer."""
@@ -185,8 +206,13 @@ class Codec:
         for kind, piece in leaves:
             yield kind, self.encode(piece) if kind == WHOLE else self.encode_part(piece)
 
-    def units(self, encoded: Iterable[tuple[int, list[int]]]) -> Iterator[list[int]]:
-        """Exact encodings of consecutive pieces of a text, parts put together."""
+    def print_leaves(self, leaves: Iterable[tuple[int, str]]) -> Iterator[tuple[int, Printed | list[int]]]:
+        """The same, leaves of kind ``WHOLE`` printed."""
+        for kind, piece in leaves:
+            yield kind, self.print_all([piece])[0] if kind == WHOLE else self.encode_part(piece)
+
+    def units(self, encoded: Iterable[tuple[int, Printed | list[int]]]) -> Iterator[Printed | list[int]]:
+        """Exact encodings of consecutive pieces of a text as they come, parts put together."""
         parts: list[list[int]] = []
         for kind, ids in encoded:
             if kind != PART and parts:
@@ -207,15 +233,7 @@ def _solid(char: str) -> bool:
 
 def _pieces(text: str) -> list[str]:
     """A text cut at every blank after something solid."""
-    out, held = [], ""
-    for k, part in enumerate(text.split(" ")):
-        if held and _solid(held[-1]):
-            out.append(held)
-            held = " " + part
-        else:
-            held += " " + part if k else part
-    out.append(held)
-    return out
+    return _CUT.split(text)
 
 
 def _white(text: str, start: int, stop: int) -> int:
@@ -234,11 +252,12 @@ class Digests:
     def __init__(self):
         self.n, self.ids, self.text = 0, hashlib.sha256(), hashlib.sha256()
 
-    def add(self, ids: list[int], codec: Codec) -> Digests:
-        if ids:
-            self.ids.update(("," * (self.n > 0) + ",".join(map(codec.names.__getitem__, ids))).encode())
-            self.n += len(ids)
-            self.text.update(codec.decode(ids).encode())
+    def add(self, unit: Printed | list[int], codec: Codec) -> Digests:
+        names, data = codec.printed(unit) if isinstance(unit, list) else unit
+        if names:
+            self.ids.update(("," * (self.n > 0) + names).encode())
+            self.n += names.count(",") + 1
+            self.text.update(data.decode(errors="replace").encode())
         return self
 
     def row(self) -> tuple:
@@ -252,12 +271,12 @@ def in_place(docs: DataFrame, path: str, leaf: int) -> DataFrame:
         codec = None
         for batch in batches:
             codec = codec or Codec(path)
-            short, out = iter(codec.encode_all([t for t in batch["text"] if len(t) <= leaf])), []
+            short, out = iter(codec.print_all([t for t in batch["text"] if len(t) <= leaf])), []
             for doc_id, text in zip(batch["doc_id"], batch["text"]):
-                units = [next(short)] if len(text) <= leaf else codec.units(codec.encode_leaves(codec.leaves(text, leaf)))
+                units = [next(short)] if len(text) <= leaf else codec.units(codec.print_leaves(codec.leaves(text, leaf)))
                 digests = Digests()
-                for ids in units:
-                    digests.add(ids, codec)
+                for unit in units:
+                    digests.add(unit, codec)
                 out.append((doc_id, *digests.row()))
             yield pd.DataFrame(out, columns=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
