@@ -90,6 +90,12 @@ def test_open_gaps_are_not_searched_for(spark):
     assert want and {r["symbol"]: (r["ts"], r["kind"], r["fill_pct"]) for r in newest.collect()} == want
 
 
+def test_gaps_without_a_symbol_stay_open(spark):
+    rows = positioned(bars(spark, walk("A", 300, 1))).drop("seg").withColumn("symbol", F.lit(None).cast("string"))
+    got = G.gap_status(rows).collect()
+    assert got and {(r["closed"], r["fill_pct"]) for r in got} == {(False, 0.0)}
+
+
 def test_tower_has_few_cells(spark):
     rows = positioned(bars(spark, walk("A", 2100, 1), walk("B", 40, 2))).drop("seg")
     tower = G.block_tower(rows, 3)

@@ -150,7 +150,8 @@ def gap_status(rows: DataFrame) -> DataFrame:
     tower comes from the longest history.
 
     Only gaps that some later bar closes are searched for. That none does, and how far an open gap is filled, is known
-    from the extreme of all later bars, a running one; so a reader of open gaps alone has no search and no join.
+    from the extreme of all later bars, a running one; so a reader of open gaps alone has no search and no join. Gaps without a symbol
+    meet no bar: they stay open and unfilled.
     """
     rows = stored(rows, "positioned")
     longest, height = rows.agg(F.max("pos")).first()[0] or 0, 1
@@ -161,7 +162,7 @@ def gap_status(rows: DataFrame) -> DataFrame:
     lower, upper = F.least("start", "end"), F.greatest("start", "end")
     g = gap_lookahead(_with_later(rows)).withColumns({
         "_l": F.when(up, lower).otherwise(-upper), "_u": F.when(up, upper).otherwise(-lower),
-        "_most": F.when(up, F.col("later_low")).otherwise(-F.col("later_high"))}).drop("later_low", "later_high")
+        "_most": F.when(F.col("symbol").isNotNull(), F.when(up, F.col("later_low")).otherwise(-F.col("later_high")))}).drop("later_low", "later_high")
     g = g.withColumn("_s", F.when(F.col("_u") > F.col("_l"), F.col("_u") - F.col("_l")))
 
     def fill(x: Column) -> Column:
