@@ -1,4 +1,5 @@
 import math
+import tracemalloc
 import zlib
 from collections import Counter
 
@@ -71,3 +72,25 @@ def test_every_feature_learns_from_every_batch(spark):
     model = L.train(rows, L.hot_counts(L.count_words(rows)))
     for weights in (model.by_class, model.by_member):
         assert all(weights[k * L.BUCKETS:(k + 1) * L.BUCKETS].any() for k in range(3))
+
+
+def test_reader_holds_few_texts_as_words():
+    texts = pd.Series([" ".join(f"word{k % 50}" for k in range(500))] * 400)
+    tracemalloc.start()
+    try:
+        numbers, lengths = L.Reader().read(texts)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert len(numbers) == 400 * 501 and set(lengths) == {501} and peak < 7 << 20
+
+
+def test_sums_of_runs_have_the_bits_of_reduceat():
+    rng = np.random.default_rng(5)
+    for rows, buckets in ((4096, 2048), (300, 7), (9, 9), (1, 1), (50, 1)):
+        g = rng.normal(size=(rows, 33)).astype(np.float32)
+        at = rng.integers(0, buckets, rows) ** 2 // buckets
+        order = np.argsort(at, kind="stable")
+        first = np.flatnonzero(np.append(True, np.diff(at[order]) != 0))
+        want = np.add.reduceat(g[order], first, axis=0) if len(first) > 1 else g.sum(axis=0, keepdims=True)
+        assert np.array_equal(L._sums(g, order, first), want)

@@ -37,6 +37,8 @@ FOLDS, HELD_OUT = 5, 1
 CLASSES, MEMBERS, BUCKETS, HOT = 32, 64, 2048, 131_072
 ROUNDS, BATCH, RATE = 3, 4096, 0.15
 PIECE = 16_384
+AT_ONCE = 64  # texts held as words
+SHORT = 8  # rows of a run that is summed row by row
 _END, _START = b" end", b" start"  # no word holds a blank
 _PRIME = np.uint64(0x9E3779B97F4A7C15)
 
@@ -72,7 +74,7 @@ class Reader(dict):
     """Texts as streams of tokens. A word is hashed and looked up once and then known by a small number,
     for up to ``room`` words; the arrays below go by that number."""
 
-    room = 400_000
+    room = 250_000
 
     def __init__(self, counts: Counts | None = None):
         super().__init__()
@@ -92,11 +94,14 @@ class Reader(dict):
         """Numbers of the tokens of all texts one after the other, an end after each, and their lengths."""
         if len(self) > self.room:
             self.forget()
-        words = [split_words(t) for t in texts]
-        for ws in words:
-            ws.append(_END)
-        lengths = np.fromiter(map(len, words), np.int64, len(words))
-        numbers = np.fromiter(map(self.__getitem__, chain.from_iterable(words)), np.int64, int(lengths.sum()))
+        lengths, parts = np.zeros(len(texts), np.int64), [np.zeros(0, np.int64)]
+        for at in range(0, len(texts), AT_ONCE):  # words as objects take many times the room of their text
+            words = [split_words(t) for t in texts.iloc[at:at + AT_ONCE]]
+            for ws in words:
+                ws.append(_END)
+            sizes = lengths[at:at + AT_ONCE] = np.fromiter(map(len, words), np.int64, len(words))
+            parts.append(np.fromiter(map(self.__getitem__, chain.from_iterable(words)), np.int64, int(sizes.sum())))
+        numbers = np.concatenate(parts)
         new = np.fromiter(map(xxhash.xxh3_64_intdigest, self.fresh), np.uint64, len(self.fresh))
         self.fresh = []
         self.hashes = np.concatenate((self.hashes, new))
@@ -111,11 +116,15 @@ def contexts(tokens: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """Three context hashes per token: the word before, the one before that, both."""
     start = mixed(np.array([len(_START)], np.uint64))[0]
     firsts = np.cumsum(lengths) - lengths
+    out = np.empty((len(tokens), 3), np.uint64)
     one, two = np.roll(tokens, 1), np.roll(tokens, 2)
     one[firsts] = start
     two[firsts] = start
     two[firsts[lengths > 1] + 1] = start
-    return np.stack((one, mixed(two + np.uint64(1)), mixed(one * _PRIME + two)), axis=1)
+    out[:, 0] = one
+    out[:, 1] = mixed(two + np.uint64(1))
+    out[:, 2] = mixed(one * _PRIME + two)
+    return out
 
 
 class MaxEnt:
@@ -159,6 +168,31 @@ def _chances(weights: np.ndarray, rows: np.ndarray) -> np.ndarray:
     return z
 
 
+def _sums(g: np.ndarray, order: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Sums of the runs of ``g[order]`` that begin at ``first``. Most runs are short; those up to ``SHORT`` rows are added row by
+    row for all runs at once, in the order of ``reduceat`` (the first to the sum of the others), so the sums are the same."""
+    if len(first) == 1:
+        return g.sum(axis=0, keepdims=True)
+    sizes = np.diff(first, append=len(order))
+    out = np.empty((len(first), g.shape[1]), g.dtype)
+    long = sizes > SHORT
+    if long.any():
+        rows, lengths = order[np.repeat(long, sizes)], sizes[long]
+        out[long] = np.add.reduceat(g.take(rows, axis=0), np.cumsum(lengths) - lengths, axis=0)
+    runs = np.flatnonzero(~long)
+    runs = runs.take(np.argsort(-sizes.take(runs), kind="stable"))
+    begins, sizes = first.take(runs), sizes.take(runs)
+    n = int(np.count_nonzero(sizes > 1))
+    others = g.take(order.take(begins[:n] + 1), axis=0)
+    for k in range(2, SHORT):
+        more = int(np.count_nonzero(sizes > k))
+        others[:more] += g.take(order.take(begins[:more] + k), axis=0)
+    short = g.take(order.take(begins), axis=0)
+    short[:n] += others
+    out[runs] = short
+    return out
+
+
 def _descend(weights: np.ndarray, squares: np.ndarray, rows: np.ndarray, right: np.ndarray) -> None:
     """One step on a batch, for the biases and all three features: adaptive rate per row, gradients of equal
     rows summed first."""
@@ -171,7 +205,7 @@ def _descend(weights: np.ndarray, squares: np.ndarray, rows: np.ndarray, right:
         at = rows[:, k].take(order)
         first = np.flatnonzero(np.append(True, at[1:] != at[:-1]))
         here = at.take(first)
-        total = np.add.reduceat(g.take(order, axis=0), first, axis=0) if len(first) > 1 else g.sum(axis=0, keepdims=True)
+        total = _sums(g, order, first)
         squares[here] += (total * total) @ share
         total *= (RATE / np.sqrt(squares.take(here) + 1))[:, None]
         weights[here] -= total
