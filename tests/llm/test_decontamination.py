@@ -57,3 +57,17 @@ def test_empty_tables(spark):
     some = docs(spark, {1: "a b c d e f"})
     assert D.contaminated(none, items).count() == 0 and D.contaminated(some, items).count() == 0
     assert D.without_leaks(some, items).count() == 1 and D.without_leaks(none, items).count() == 0
+
+
+def test_a_worker_holds_packed_bits_and_few_rows(spark, monkeypatch):
+    passage = words(30, 1)
+    items = spark.createDataFrame([(10, " ".join(passage))], ITEMS)
+    seeds = D.item_seeds(items)
+    bits = D.seed_bitmap(spark, seeds)
+    assert bits.dtype == np.uint8 and bits.nbytes == 1 << 21 and np.unpackbits(bits).sum() == seeds.select("seed").distinct().count()
+    monkeypatch.setattr(D, "HITS", 7)
+    monkeypatch.setattr(D, "WORDS", 3)
+    rows = docs(spark, {1: " ".join(words(9, 2) + passage), 2: " ".join(passage + passage), 3: " ".join(words(40, 3)), 4: None})
+    got = D.seed_hits(rows, seeds).groupBy("doc_id").count().collect()
+    assert {r.doc_id: r["count"] for r in got}[1] == 26 and {r.doc_id: r["count"] for r in got}[2] >= 52
+    assert [(r.doc_id, r.covered) for r in D.contaminated(rows, items).orderBy("doc_id").collect()] == [(1, 30), (2, 30)]

@@ -29,6 +29,8 @@ from tickforge.sources.stored import stored
 SEED_WORDS, COVERAGE = 5, 0.5
 #: The bitmap has 2 ** BITS places: 2 MB, whatever the benchmark.
 BITS, CHUNK = 24, 32768
+#: What a worker holds beside its batch: rows to hand on, and words whose hashes it remembers.
+HITS, WORDS = 8192, 40_000
 _PUNCTUATION = bytes.maketrans(b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~", b" " * 32)
 
 
@@ -84,35 +86,43 @@ def item_seeds(items: DataFrame) -> DataFrame:
 
 
 def seed_bitmap(spark: SparkSession, seeds: DataFrame) -> np.ndarray:
-    """Booleans by the low bits of a seed, built by Spark in chunks of 4 KB: 2 MB reach the driver."""
+    """A bit for each value of the low bits of a seed, lowest first, built by Spark in chunks of 4 KB: 2 MB reach the driver."""
     at = F.col("seed").bitwiseAND(F.lit((1 << BITS) - 1))
     chunks = (seeds.select(F.shiftright(at, 15).alias("chunk"), at.bitwiseAND(F.lit(CHUNK - 1)).alias("bit"))
               .groupBy("chunk").agg(F.bitmap_construct_agg("bit").alias("bits")).collect())
-    out = np.zeros(1 << BITS, bool)
+    out = np.zeros(1 << BITS >> 3, np.uint8)
     for row in chunks:
-        out[row.chunk * CHUNK:(row.chunk + 1) * CHUNK] = np.unpackbits(np.frombuffer(row.bits, np.uint8), bitorder="little")
+        out[row.chunk * CHUNK >> 3:(row.chunk + 1) * CHUNK >> 3] = np.frombuffer(row.bits, np.uint8)
     return out
 
 
 def seed_hits(docs: DataFrame, seeds: DataFrame) -> DataFrame:
-    """``(doc_id, text_hash, place, seed, words)`` of the document seeds that the bitmap lets through."""
+    """``(doc_id, text_hash, place, seed, words)`` of the document seeds that the bitmap lets through.
+
+    A worker keeps the bits packed, as they came, and no more than ``HITS`` rows and ``WORDS`` words beside its batch."""
     spark = docs.sparkSession
     bounded_batches(spark)
-    sent = spark.sparkContext.broadcast(np.packbits(seed_bitmap(spark, seeds)))
+    sent = spark.sparkContext.broadcast(seed_bitmap(spark, seeds))
+    names = ["doc_id", "text_hash", "place", "seed", "words"]
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        hashes, marked = WordHashes(), np.unpackbits(sent.value).view(bool)
-        low = np.uint64((1 << BITS) - 1)
+        hashes, marked = WordHashes(), sent.value
+        hashes.room = WORDS
         for batch in batches:
             out = []
             for doc_id, text in zip(batch["doc_id"], batch["text"]):
                 words = plain_words(text)
                 found = rolled(word_numbers(words, hashes), SEED_WORDS)
-                places = np.flatnonzero(marked[found & low])
+                at = (found & np.uint64((1 << BITS) - 1)).astype(np.int64)
+                places = np.flatnonzero((marked[at >> 3] >> (at & 7).astype(np.uint8)) & 1)
                 if len(places):
                     name = hashes[text.encode("utf-8", "replace")] >> 1
-                    out += [(doc_id, name, int(k), int(found[k].view(np.int64)), b" ".join(words[k:k + SEED_WORDS])) for k in places]
-            yield pd.DataFrame(out, columns=["doc_id", "text_hash", "place", "seed", "words"])
+                    for k in places:
+                        out.append((doc_id, name, int(k), int(found[k].view(np.int64)), b" ".join(words[k:k + SEED_WORDS])))
+                        if len(out) == HITS:
+                            yield pd.DataFrame(out, columns=names)
+                            out = []
+            yield pd.DataFrame(out, columns=names)
 
     return docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long"), "text").mapInPandas(
         scan, "doc_id bigint, text_hash bigint, place int, seed bigint, words binary")
