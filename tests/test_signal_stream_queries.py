@@ -1,5 +1,6 @@
 import datetime as dt
 import os
+import re
 
 import duckdb
 import pytest
@@ -7,9 +8,13 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from check import TABLES, rows_of
+from tests.util import bars, walk
 from tickforge.operators import correlation as C
+from tickforge.operators import gaps as G
 from tickforge.operators import signal as X
+from tickforge.operators import zones as Z
 from tickforge.plans.data import AS_OF, stored_supplier_bars, supplier_bars
+from tickforge.sources import bars as B
 from tickforge.sources.stored import stored
 from tickforge.streaming import live as L
 
@@ -145,3 +150,44 @@ def test_gap_odds_and_nearest_gaps_come_from_one_pass(spark):
     got = {r.symbol: r for r in X.nearest_open_gaps(status, prices).collect()}
     assert (got["A"].gap_up.center, got["A"].gap_down.center, round(got["A"].close_prob, 3)) == (11.0, 5.0, 33.333)
     assert (got["B"].gap_up, got["B"].gap_down, got["B"].close_prob) == (None, None, 100.0)
+
+
+def test_slots_give_whole_and_inside_bars(spark):
+    """One table of months, split at the start of a period, gives what resampling all days and the days since then gives."""
+    walks = bars(spark, walk("A", 400, 1), walk("B", 90, 2, dt.datetime(2000, 6, 20)))
+    day = "symbol string, ts timestamp_ntz, open double, high double, low double, close double, volume double"
+    odd = spark.createDataFrame([("C", dt.datetime(2000, 8, 5), None, 2.0, 1.0, 1.5, None), ("C", dt.datetime(2000, 8, 25), 3.0, None, None, None, 7.0),
+                                 ("D", dt.datetime(2000, 8, 5), 1.0, 1.0, 1.0, None, 1.0), ("E", None, 1.0, 1.0, 1.0, 1.0, 1.0),
+                                 (None, dt.datetime(2000, 9, 1), 1.0, 2.0, 1.0, 2.0, 3.0)], day)
+    daily, start = walks.union(odd), F.lit(dt.date(2000, 8, 16))
+    for rule in ("ME", "W-FRI"):
+        rows = stored(B.slots(daily, rule, start))
+        inside = daily.where(F.col("ts") >= start.cast("timestamp_ntz"))
+        for got, want in ((B.whole_slots(rows), B.resample(daily, rule)), (B.slots_inside(rows, "n"), B.resample(inside, rule, "n"))):
+            assert got.columns == want.columns
+            assert sorted(map(repr, got.collect())) == sorted(map(repr, want.collect()))
+        assert {r.symbol for r in rows.collect()} == {"A", "B", "C", "D", "E", None}
+
+
+def test_parts_of_a_signal_share_the_slots(spark, sf):
+    """Months are made of days once: days are read by the gaps alone. The rows are those of parts that each make their own."""
+    daily = stored_supplier_bars(spark, sf)
+    name = re.search(r"tickforge_\w+", daily._jdf.queryExecution().analyzed().toString())[0]
+    for timeframe in ("1w", "1mo"):
+        slots = X.stored_slots(daily, timeframe, AS_OF)
+        shared = X.signal_inputs(daily, timeframe, AS_OF, slots)
+        assert shared._jdf.queryExecution().optimizedPlan().toString().count(f"{name}[") == (timeframe == "1mo")
+        assert sorted(map(repr, shared.collect())) == sorted(map(repr, X.signal_inputs(daily, timeframe, AS_OF).collect()))
+
+
+def test_limits_of_zones_are_sorted_once(spark):
+    z = Z.raw_zones(bars(spark, walk("A", 60, 3)), 70, False)
+    plan = z._jdf.queryExecution().optimizedPlan().toString()
+    assert "sort_array" in plan and not any("sort_array" in line for line in plan.split("\n") if "filter(" in line)
+
+
+def test_gap_rules_stand_outside_the_generator(spark):
+    rows = X.positioned(bars(spark, walk("A", 60, 3)))
+    plan = G.gaps_all(rows)._jdf.queryExecution().optimizedPlan().toString()
+    (generator,) = [line for line in plan.split("\n") if "Generate" in line]
+    assert "CASE" not in generator and "lambda" not in generator

@@ -55,8 +55,11 @@ def _three_candle() -> Column:
 
 def _found(rows: DataFrame, *gaps: Column) -> DataFrame:
     keep = [c for c in rows.columns if not c.startswith("_")]
-    found = F.explode(F.array_compact(F.array(*gaps)))
-    return _with_neighbours(rows).select(*keep, found.alias("_g")).select(*keep, "_g.*")
+    kinds = [f"_kind{i}" for i in range(len(gaps))]
+    # the kinds are columns first: they are compiled, where what stands inside a generator is interpreted for every bar
+    found = _with_neighbours(rows).select(*keep, *[gap.alias(n) for n, gap in zip(kinds, gaps)])
+    found = found.select(*keep, F.explode(F.array(*kinds)).alias("_g"))
+    return found.where(F.col("_g").isNotNull()).select(*keep, "_g.*")
 
 
 def gaps_two_candle(rows: DataFrame) -> DataFrame:

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from tickforge.functions.scalars import rnd
 from tickforge.functions.windows import by_time
-from tickforge.sources.bars import in_period, resample
+from tickforge.sources.bars import in_period, resample, slots_inside
 
 LEAST_DAYS, LEAST_MONTHS, LEAST_MONTHS_OF_YEAR = 120, 6, 6
 QUANTILES = {"p10": 0.10, "median": 0.50, "p90": 0.90}
@@ -24,11 +24,15 @@ def _whole() -> Window:
     return Window.partitionBy("symbol")
 
 
-def monthly_returns(bars: DataFrame, as_of: dt.date | None = None) -> DataFrame:
-    """Close against the previous kept month's close, for symbols with enough history."""
-    if as_of is not None:
-        bars = in_period(bars, "seasonality", "1d", as_of)
-    m = resample(bars, "ME", count="_days")
+def monthly_returns(bars: DataFrame, as_of: dt.date | None = None, months: DataFrame | None = None) -> DataFrame:
+    """Close against the previous kept month's close, for symbols with enough history. ``months`` are those of ``bars``
+    if they are at hand (``slots``), split at the start of the period."""
+    if months is not None:
+        m = slots_inside(months, count="_days")
+    else:
+        if as_of is not None:
+            bars = in_period(bars, "seasonality", "1d", as_of)
+        m = resample(bars, "ME", count="_days")
     m = m.withColumns({"_all_days": F.sum("_days").over(_whole()),
                        "_months": F.count(F.lit(1)).over(_whole())})
     m = m.where((F.col("_all_days") >= LEAST_DAYS) & (F.col("_months") >= LEAST_MONTHS)

@@ -22,7 +22,7 @@ from tickforge.operators import gaps as G
 from tickforge.operators import seasonality as S
 from tickforge.operators import zones as Z
 from tickforge.operators.indicators import tech_summary, technicals_rows, vote_counts
-from tickforge.sources.bars import clean_bars_strict, in_period, resample
+from tickforge.sources.bars import clean_bars_strict, in_period, period_start, resample, slots, whole_slots
 from tickforge.sources.stored import stored_by_symbol
 
 # Weights of the five scores with and without the technical filter.
@@ -299,9 +299,9 @@ def nearest_open_gaps(status: DataFrame, prices: DataFrame) -> DataFrame:
                                    G.close_probability().alias("close_prob"))
 
 
-def season_medians(daily: DataFrame, as_of: dt.date) -> DataFrame:
+def season_medians(daily: DataFrame, as_of: dt.date, months: DataFrame | None = None) -> DataFrame:
     """Winsorised cumulative medians of the current and the next month."""
-    curve = S.seasonal_curve(S.monthly_returns(daily, as_of), as_of)
+    curve = S.seasonal_curve(S.monthly_returns(daily, as_of, months), as_of)
     p = S.client_cumulative_percentiles(S.client_winsorize(curve))
 
     def at(m):
@@ -311,19 +311,31 @@ def season_medians(daily: DataFrame, as_of: dt.date) -> DataFrame:
                                    at(as_of.month % 12 + 1).alias("next_median"))
 
 
-def timeframe_bars(daily: DataFrame, timeframe: str) -> DataFrame:
-    rules = {"1d": None, "1w": "W-FRI", "1mo": "ME"}
-    if timeframe not in rules:
+RULES = {"1d": None, "1w": "W-FRI", "1mo": "ME"}
+
+
+def timeframe_bars(daily: DataFrame, timeframe: str, slots: DataFrame | None = None) -> DataFrame:
+    if timeframe not in RULES:
         raise ValueError(f"daily bars give no {timeframe} bars")
-    return resample(daily, rules[timeframe]) if rules[timeframe] else daily
+    if slots is not None:
+        return whole_slots(slots)
+    return resample(daily, RULES[timeframe]) if RULES[timeframe] else daily
+
 
+def stored_slots(daily: DataFrame, timeframe: str, as_of: dt.date) -> DataFrame | None:
+    """Weeks or months of the daily bars as a table in buckets of symbols, for all parts of a signal; None for days.
 
-def gap_rows(daily: DataFrame, timeframe: str, as_of: dt.date) -> DataFrame:
+    They are split where the period of the zones begins; for months that is the period of the season as well."""
+    rule = RULES.get(timeframe)
+    return stored_by_symbol(slots(daily, rule, period_start("zones", timeframe, as_of)), "slots") if rule else None
+
+
+def gap_rows(daily: DataFrame, timeframe: str, as_of: dt.date, slots: DataFrame | None = None) -> DataFrame:
     """Bars the gaps come from: five years of days for months, else the shown history."""
     if timeframe == "1mo":
         rows = G.gap_history(in_period(daily, "quote", "1d", as_of), as_of)
     else:
-        bars = in_period(timeframe_bars(daily, timeframe), "history", timeframe, as_of)
+        bars = in_period(timeframe_bars(daily, timeframe, slots), "history", timeframe, as_of)
         rows = clean_bars_strict(tail_rows(bars, 120))
     return positioned(rows).drop("seg")
 
@@ -337,35 +349,38 @@ def _part(df: DataFrame) -> DataFrame:
     return stored_by_symbol(df, "part", order="symbol")
 
 
-def signal_inputs(daily: DataFrame, timeframe: str, as_of: dt.date) -> DataFrame:
-    """Five parts joined by symbol, each already one row per symbol; every symbol with a bar has one."""
-    z = Z.supply_demand(daily, timeframe, as_of)
-    zones = z.select("symbol", "price", F.col("support.price").alias("support"),
-                     F.col("resistance.price").alias("resistance"), "state", "state_strength")
-    status = G.gap_closed(gap_rows(daily, timeframe, as_of))
-    gaps = nearest_open_gaps(status, Z.zone_price(daily, timeframe, as_of))
-    tech = tech_summary(vote_counts(technicals_rows(timeframe_bars(daily, timeframe), timeframe, as_of)))
+def signal_inputs(daily: DataFrame, timeframe: str, as_of: dt.date, slots: DataFrame | None = None) -> DataFrame:
+    """Five parts joined by symbol, each already one row per symbol; every symbol with a bar has one.
+
+    With ``slots`` (``stored_slots``) the days are made into weeks or months once, else by every part that needs them."""
+    z = Z.supply_demand(daily, timeframe, as_of, slots=slots)
+    zones = _part(z.select("symbol", "price", F.col("support.price").alias("support"),
+                           F.col("resistance.price").alias("resistance"), "state", "state_strength"))
+    status = G.gap_closed(gap_rows(daily, timeframe, as_of, slots))
+    prices = Z.zone_price(daily, timeframe, as_of) if slots is None else zones.select("symbol", "price")
+    gaps = nearest_open_gaps(status, prices)
+    tech = tech_summary(vote_counts(technicals_rows(timeframe_bars(daily, timeframe, slots), timeframe, as_of)))
     tech = tech.select("symbol", "general", "strength", "buy", "sell", "neutral")
-    out = (daily.select("symbol").distinct().join(_part(zones), "symbol", "left")
-           .join(gaps, "symbol", "left").join(tech, "symbol", "left"))
+    symbols = (daily if slots is None else slots).select("symbol").distinct()
+    out = symbols.join(zones, "symbol", "left").join(gaps, "symbol", "left").join(tech, "symbol", "left")
     if timeframe == "1mo":
-        return out.join(_part(season_medians(daily, as_of)), "symbol", "left")
+        return out.join(_part(season_medians(daily, as_of, slots)), "symbol", "left")
     none = F.lit(None).cast("double")
     return out.withColumns({"current_median": none, "next_median": none})
 
 
 def portfolio_signal(daily: DataFrame, as_of: dt.date, timeframe: str = "1mo",
-                     states: dict[str, int] | None = None) -> DataFrame:
+                     states: dict[str, int] | None = None, slots: DataFrame | None = None) -> DataFrame:
     """Signal of every symbol; ``has_data`` needs season percentiles, so only months have it."""
-    s = unified_signal(signal_inputs(daily, timeframe, as_of), as_of, True, states)
+    s = unified_signal(signal_inputs(daily, timeframe, as_of, slots), as_of, True, states)
     s = label_for_timeframe(s, timeframe, as_of)
     return s.withColumn("has_data", F.col("current_median").isNotNull())
 
 
-def timeframe_signal(daily: DataFrame, timeframe: str, as_of: dt.date) -> DataFrame:
+def timeframe_signal(daily: DataFrame, timeframe: str, as_of: dt.date, slots: DataFrame | None = None) -> DataFrame:
     """Forecast-page form: same stages on the zones and gaps of one timeframe."""
     return label_for_timeframe(
-        unified_signal(signal_inputs(daily, timeframe, as_of), as_of), timeframe, as_of)
+        unified_signal(signal_inputs(daily, timeframe, as_of, slots), as_of), timeframe, as_of)
 
 
 def sr_only_signal(zones: DataFrame) -> DataFrame:

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from tickforge.functions.scalars import rnd
 from tickforge.functions.windows import by_time, tail_rows
 from tickforge.operators.risk import ffill
-from tickforge.sources.bars import clean_bars, in_period, resample
+from tickforge.sources.bars import clean_bars, in_period, resample, slots_inside
 
 BINS, REACH = 50, 2
 ZONES = "array<struct<price:double,min:double,max:double>>"
@@ -43,12 +43,16 @@ def zone_params(timeframe: str, **override: float) -> ZoneParams:
     return ZoneParams(**{**base.__dict__, **{k: v for k, v in override.items() if v is not None}})
 
 
-def zone_bars(bars: DataFrame, timeframe: str, as_of: dt.date) -> DataFrame:
-    """Clean bars of the timeframe from daily bars: the newest rows inside the period."""
-    rows = in_period(bars, "zones", timeframe, as_of)
-    rule = {"1w": "W-FRI", "1mo": "ME"}.get(timeframe)
-    if rule:
-        rows = resample(rows, rule)
+def zone_bars(bars: DataFrame, timeframe: str, as_of: dt.date, slots: DataFrame | None = None) -> DataFrame:
+    """Clean bars of the timeframe from daily bars: the newest rows inside the period. ``slots`` are the weeks or months
+    of ``bars`` if they are at hand, split at the start of the period."""
+    if slots is not None:
+        rows = slots_inside(slots)
+    else:
+        rows = in_period(bars, "zones", timeframe, as_of)
+        rule = {"1w": "W-FRI", "1mo": "ME"}.get(timeframe)
+        if rule:
+            rows = resample(rows, rule)
     return tail_rows(clean_bars(rows), zone_params(timeframe).tail)
 
 
@@ -154,10 +158,11 @@ def _zone_list(sums: str, limit: str) -> Column:
 
 
 def raw_zones(bars: DataFrame, strength: float, hilo: bool) -> DataFrame:
-    # the limits are columns of their own, or every bin would sort the sums again
     h = zone_histogram(bars, hilo).withColumns({
         "_sl": zone_threshold(F.col("support_sums"), strength),
         "_rl": zone_threshold(F.col("resistance_sums"), strength)})
+    # the limits are fixed behind a generator of one row, or every bin would sort the sums again
+    h = h.select("symbol", F.inline(F.array(F.struct(*[c for c in h.columns if c != "symbol"]))))
     return h.select("symbol", "price", _zone_list("support_sums", "_sl").alias("support"),
                     _zone_list("resistance_sums", "_rl").alias("resistance"))
 
@@ -220,10 +225,10 @@ def market_state(zones: DataFrame, proximity: float = PROXIMITY) -> DataFrame:
 
 
 def supply_demand(bars: DataFrame, timeframe: str, as_of: dt.date, strength: float | None = None,
-                  min_pct: float | None = None, gap_pct: float | None = None) -> DataFrame:
-    """``(symbol, price, support, resistance, state, state_strength)`` from daily bars."""
+                  min_pct: float | None = None, gap_pct: float | None = None, slots: DataFrame | None = None) -> DataFrame:
+    """``(symbol, price, support, resistance, state, state_strength)`` from daily bars; ``slots`` as in ``zone_bars``."""
     p = zone_params(timeframe, strength=strength, min_pct=min_pct, gap_pct=gap_pct)
-    z = raw_zones(zone_bars(bars, timeframe, as_of), p.strength, p.hilo)
+    z = raw_zones(zone_bars(bars, timeframe, as_of, slots), p.strength, p.hilo)
     return market_state(zone_merge(zone_distance_filter(z, p.min_pct), p.gap_pct))
 
 

@@ -120,13 +120,15 @@ _PLAN_SQL = """, p0 AS (SELECT *, greatest(tg.s, tg.e) AS top, least(tg.s, tg.e)
 
 
 def _signal(spark, sf, tf="1mo"):
-    return X.portfolio_signal(stored_supplier_bars(spark, sf), AS_OF, tf)
+    daily = stored_supplier_bars(spark, sf)
+    return X.portfolio_signal(daily, AS_OF, tf, slots=X.stored_slots(daily, tf, AS_OF))
 
 
 @query("signal_fan_in", f"""WITH {INPUT_SQL} SELECT symbol, price, len(sup) AS n_support, len(res) AS n_resistance, state, round(up.c, 4) AS gap_up_center,
  round(dn.c, 4) AS gap_down_center, round(close_prob, 4) AS close_prob, round(cur, 2) AS current_median, round(nxt, 2) AS next_median, general, buy, sell, neutral FROM inp""")
 def _(spark, sf):
-    s = X.signal_inputs(stored_supplier_bars(spark, sf), "1mo", AS_OF)
+    daily = stored_supplier_bars(spark, sf)
+    s = X.signal_inputs(daily, "1mo", AS_OF, X.stored_slots(daily, "1mo", AS_OF))
     return s.select(
         "symbol", "price", F.size(Z.nearest_levels(F.col("support"), F.col("price"), True)).alias("n_support"),
         F.size(Z.nearest_levels(F.col("resistance"), F.col("price"), False)).alias("n_resistance"), "state",
@@ -241,7 +243,7 @@ def _(spark, sf):
     daily = stored_supplier_bars(spark, sf)
     out = None
     for tf in ("1d", "1w", "1mo"):
-        s = X.timeframe_signal(daily, tf, AS_OF).select(
+        s = X.timeframe_signal(daily, tf, AS_OF, X.stored_slots(daily, tf, AS_OF)).select(
             F.lit(tf).alias("timeframe"), "symbol", "label", "display_label", "tone",
             rnd("score_pct", 4).alias("score_pct"), rnd("confidence_pct", 4).alias("confidence_pct"))
         out = s if out is None else out.unionByName(s)
