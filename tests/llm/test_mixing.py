@@ -40,6 +40,24 @@ def test_raking_equals_a_plain_loop(spark):
     assert all(got[k] == pytest.approx(w[k], rel=1e-6) for k in keys)
 
 
+@pytest.mark.parametrize("few, jobs", [(M.FEW_CELLS, 120), (0, 400)])
+def test_raking_keeps_plans_small(spark, monkeypatch, few, jobs):
+    """What the driver has to hold: few jobs, or many with small plans; with six rounds in one plan jobs of 19 stages came one after the other."""
+    cells, given, sc = M.cells_of(corpus(spark)), wanted(spark), spark.sparkContext
+    plain = {(r.source, r.lang, r.topic): r.raked for r in M.rake(cells, given).collect()}
+    monkeypatch.setattr(M, "FEW_CELLS", few)
+    sc.setJobGroup(f"rake-{few}", "raking")
+    try:
+        raked = M.rake(cells, given)
+    finally:
+        sc.setLocalProperty("spark.jobGroup.id", None)
+        sc.setLocalProperty("spark.job.description", None)
+    ran = [sc.statusTracker().getJobInfo(j) for j in sc.statusTracker().getJobIdsForGroup(f"rake-{few}")]
+    assert 0 < len(ran) <= jobs and max(len(j.stageIds) for j in ran) <= 12, (len(ran), max(len(j.stageIds) for j in ran))
+    got = {(r.source, r.lang, r.topic): r.raked for r in raked.collect()}
+    assert got.keys() == plain.keys() and all(got[k] == pytest.approx(v, rel=1e-9) for k, v in plain.items())
+
+
 def test_probabilities_meet_the_budget(spark):
     raked = M.rake(M.cells_of(corpus(spark)), wanted(spark))
     for budget in (0.1, 0.5, 0.9):

@@ -14,11 +14,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tickforge.llm.common import unused
-from tickforge.sources.stored import stored
+from tickforge.sources.stored import discard, stored
 
 MARGINS = ("source", "lang", "topic")
 BUDGET, TEMPERATURE, SEED = 0.5, 0.5, "mix-1"
 TOLERANCE, ROUNDS, MOST_ROUNDS = 1e-9, 6, 60
+#: So many cells fit one task; they are as many as sources, languages and topics make, not documents.
+FEW_CELLS = 10_000
 WORD = r"[^\x20\x09-\x0D]+"
 LANGUAGES = {"en": 0.4, "de": 0.2, "fr": 0.2, "es": 0.2}
 TOPICS = {"legal": 0.05, "contact": 0.1, "table": 0.1, "note": 0.15, "prose": 0.6}
@@ -72,22 +74,28 @@ def tempered(cells: DataFrame, temperature: float = TEMPERATURE) -> DataFrame:
 def rake(cells: DataFrame, wanted: dict[str, DataFrame]) -> DataFrame:
     """``cells`` with ``raked``: shares that meet the targets ``wanted[margin](value, weight)``.
 
-    ``ROUNDS`` rounds are one job and one written table; the loop stops once a whole round moves no cell by
-    more than ``TOLERANCE`` of itself. Targets that contradict each other (an empty cell where two margins
-    need one) leave the last margin exact after ``MOST_ROUNDS``."""
+    Every round is a job of its own over a written table, so that plans stay at three windows: the driver plans each job anew
+    and keeps a copy of its plan after each of its stages. Up to ``FEW_CELLS`` cells are raked in one task, whose windows need no
+    exchange; more are dealt out by each margin in turn. After each ``ROUNDS`` rounds the loop stops if the last one moved no
+    cell by more than ``TOLERANCE`` of itself. Targets that contradict each other (an empty cell where two margins need
+    one) leave the last margin exact after ``MOST_ROUNDS``."""
     now = cells.withColumn("raked", F.col("tokens").cast("double"))
     for margin, given in wanted.items():
         now = targets(now, margin, given)
-    for _ in range(0, MOST_ROUNDS, ROUNDS):
-        for _ in range(ROUNDS):
-            now = now.withColumn("_before", F.col("raked"))
-            for margin in wanted:
-                held = F.sum("raked").over(Window.partitionBy(margin))
-                now = now.withColumn("raked", F.col("raked") * F.col(f"_goal_{margin}") / held)
+    now = stored(now, "goals")
+    few = now.count() <= FEW_CELLS
+    for k in range(1, MOST_ROUNDS + 1):
+        before = now
+        now = (now.coalesce(1) if few else now).withColumn("_before", F.col("raked"))
+        for margin in wanted:
+            held = F.sum("raked").over(Window.partitionBy(margin))
+            now = now.withColumn("raked", F.col("raked") * F.col(f"_goal_{margin}") / held)
         now = stored(now, "raked")
-        off = now.agg(F.max(F.abs(F.col("raked") / F.col("_before") - 1))).first()[0]
-        if off is None or off < TOLERANCE:
-            break
+        discard(before)
+        if k % ROUNDS == 0:
+            off = now.agg(F.max(F.abs(F.col("raked") / F.col("_before") - 1))).first()[0]
+            if off is None or off < TOLERANCE:
+                break
     return now.select(*cells.columns, "raked")
 
 
