@@ -2,6 +2,10 @@ import hashlib
 import random
 import re
 import string
+import time
+from itertools import accumulate
+
+from pyspark.sql import functions as F
 
 from tests.llm.util import clashing, docs, words
 from tickforge.llm import secret_scan as S
@@ -98,3 +102,61 @@ def test_redaction(spark):
         assert got[i].n_chars == len(got[i].text or "")
     assert "token=" not in got[9].text and S.redact(docs(spark, {})).count() == 0
     assert S.report(docs(spark, {})).count() == 0
+
+
+def mixed_texts():
+    """Keys of all kinds with and without separators, in prose, names and paths; one text has more matches than a part of a list."""
+    rng, letters = random.Random(11), string.ascii_letters + string.digits
+
+    def one():
+        n = rng.choice((5, 15, 16, 20, 24, 40))
+        return rng.choice((secret(rng, n), secret(rng, n, letters + "+/"), secret(rng, n, letters + "_-"), secret(rng, n, "0123456789abcdef"),
+                           "AKIA" + secret(rng, n, string.ascii_uppercase + string.digits), f"Token = '{secret(rng, n, letters + '._-')}'",
+                           "/".join(secret(rng, n) for _ in range(3)) + "=", "_".join(secret(rng, n) for _ in range(3)) + "==", *words(2, n)))
+
+    return {i: "".join(one() + rng.choice(("", " ", "/", "=", "é", "🙂")) for _ in range(n)) for i, n in enumerate([0, 1] * 3 + [12] * 40 + [1500])}
+
+
+def test_running_totals(spark):
+    for n in (0, 1, S.PART, S.PART + 1, 3 * S.PART + 5):
+        values = [(7 * i) % 31 for i in range(n)]
+        row = spark.createDataFrame([(values,)], "v array<int>").select(
+            S.running(F.col("v"), lambda x, y: x + y).alias("sums"), S.running(F.col("v"), F.greatest).alias("most")).first()
+        assert (row.sums, row.most) == (list(accumulate(values)), list(accumulate(values, max)))
+
+
+def test_random_spans_equal_plain_version(spark):
+    texts = mixed_texts()
+    rows = docs(spark, texts)
+    found = {r.doc_id: r.f for r in rows.select("doc_id", S.scanned(F.col("text")).alias("f")).collect()}
+    limits = S.thresholds(rows.select(S.candidates(S.runs(F.col("text"))).alias("candidates")))
+    spans = {r.doc_id: r.spans for r in S.report(rows).collect()}
+    pieces = [re.compile(rf"(?:{letters}){{16,}}={{0,2}}") for letters in ("[A-Za-z0-9+/_-]", "[A-Za-z0-9+_-]", "[A-Za-z0-9+/]", "[A-Za-z0-9+]")]
+    kept = 0
+    for i, text in texts.items():
+        tested = [(c.start, c.end) for c in found[i].candidates]
+        assert len(set(tested)) == len(tested) and set(tested) <= {m.span() for p in pieces for m in p.finditer(text)}
+        fixed = base(text)
+        new = [(c.start, c.end) for c in found[i].candidates if c.cls in limits and c.grid >= limits[c.cls]]
+        new = [(a, b) for a, b in new if not any(s < b and a < e for s, _, e in fixed)]
+        new = [(a, b) for a, b in new if not any(s <= a and b <= e and e - s > b - a for s, e in new)]
+        assert spans[i] == named(sorted(fixed + [(a, 3, b) for a, b in new])), i
+        kept += len(new)
+    assert kept > 500
+
+
+def test_texts_are_read_once(spark, tmp_path):
+    source = str(tmp_path / "documents")
+    docs(spark, mixed_texts()).write.parquet(source)
+    out = S.report(spark.read.parquet(source))
+    assert out.count() == 47 and not [f for f in out.inputFiles() if source in f]
+
+
+def test_time_follows_the_matches_of_a_text(spark):
+    rng, n = random.Random(4), 20_000
+    texts = {1: " ".join(secret(rng, 24) for _ in range(n)), 2: "/".join(secret(rng, 24) for _ in range(n)),
+             3: " ".join(secret(rng, 24, "0123456789abcdef") for _ in range(n))}
+    at = time.monotonic()
+    got = {r.doc_id: r for r in S.report(docs(spark, texts)).collect()}
+    assert got[1].n_random > 0.9 * n and got[2].n_random > 0.9 * n and got[3].n_hex == n
+    assert time.monotonic() - at < 90
