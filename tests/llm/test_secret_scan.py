@@ -129,7 +129,7 @@ def test_random_spans_equal_plain_version(spark):
     texts = mixed_texts()
     rows = docs(spark, texts)
     found = {r.doc_id: r.f for r in rows.select("doc_id", S.scanned(F.col("text")).alias("f")).collect()}
-    limits = S.thresholds(rows.select(S.candidates(S.runs(F.col("text"))).alias("candidates")))
+    limits = S.thresholds(rows, S.candidates(S.runs(F.col("text"))))
     spans = {r.doc_id: r.spans for r in S.report(rows).collect()}
     pieces = [re.compile(rf"(?:{letters}){{16,}}={{0,2}}") for letters in ("[A-Za-z0-9+/_-]", "[A-Za-z0-9+_-]", "[A-Za-z0-9+/]", "[A-Za-z0-9+]")]
     kept = 0

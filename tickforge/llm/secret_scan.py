@@ -225,10 +225,11 @@ def scanned(text: Column) -> Column:
     return _bound(runs(text), lambda found: F.struct(base_spans(text, found).alias("base"), candidates(found).alias("candidates")))
 
 
-def thresholds(found: DataFrame) -> dict[int, int]:
+def thresholds(rows: DataFrame, tested: Column) -> dict[int, int]:
     """Smallest grid value at which each length class keeps its share of false discoveries: the largest set
-    of candidates with ``all * p <= RATE * set``. ``found`` has a column ``candidates``; from a histogram of at most 5 * 241 rows."""
-    rows = found.select(F.explode("candidates").alias("c")).groupBy("c.cls", "c.grid").agg(F.count(F.lit(1)).alias("n")).collect()
+    of candidates with ``all * p <= RATE * set``. ``tested`` are the candidates of each row; from a histogram of at most 5 * 241 rows."""
+    # exploded where they are worked out: Spark filters a named column by its size, and would work it out for that too
+    rows = rows.select(F.explode(tested).alias("c")).groupBy("c.cls", "c.grid").agg(F.count(F.lit(1)).alias("n")).collect()
     out = {}
     for cls in range(len(LENGTHS)):
         counts = {r["grid"]: r["n"] for r in rows if r["cls"] == cls}
@@ -266,8 +267,9 @@ def secret_spans(found: Column, limits: dict[int, int]) -> Column:
 
     if most is None:
         return found["base"]
-    return _bound(F.struct(found["base"].alias("base"), F.filter(found["candidates"], lambda m: F.coalesce(
-        m["grid"] >= F.element_at(most, m["cls"]), F.lit(False))).alias("new")), some)
+    reached = _bound(found, lambda f: F.struct(f["base"].alias("base"), F.filter(f["candidates"], lambda m: F.coalesce(
+        m["grid"] >= F.element_at(most, m["cls"]), F.lit(False))).alias("new")))
+    return _bound(reached, some)
 
 
 def named(spans: Column) -> Column:
@@ -284,7 +286,7 @@ def _text() -> Column:
 def scan(docs: DataFrame) -> DataFrame:
     """``docs`` with ``spans``; a null text counts as empty. Every row is treated by itself: repeated rows,
     repeated ids and extra columns do no harm, an existing ``spans`` is replaced. The texts are read twice."""
-    limits = thresholds(docs.select(candidates(runs(_text())).alias("candidates")))
+    limits = thresholds(docs, candidates(runs(_text())))
     return docs.withColumn("spans", secret_spans(scanned(_text()), limits))
 
 
@@ -292,7 +294,7 @@ def report(docs: DataFrame) -> DataFrame:
     """``(doc_id, n_assign, n_access, n_hex, base_sha256, spans)`` of each row. The texts are read once: what was
     found in them is a table, by which the thresholds are set and then applied."""
     found = stored(docs.select("doc_id", scanned(_text()).alias("found")), "secrets")
-    limits = thresholds(found.select("found.candidates"))
+    limits = thresholds(found, F.col("found.candidates"))
     rows = found.select("doc_id", secret_spans(F.col("found"), limits).alias("spans"))
 
     def count(kind: str) -> Column:
@@ -308,7 +310,7 @@ def redact(docs: DataFrame, mark: str = "[secret]") -> DataFrame:
     """``docs`` with each secret replaced by ``mark``; overlapping spans become one mark. ``n_chars``, where
     it exists, follows; other columns and null texts stay as they are."""
     spans = unused(docs)
-    limits = thresholds(docs.select(candidates(runs(_text())).alias("candidates")))
+    limits = thresholds(docs, candidates(runs(_text())))
     rows = docs.withColumn(spans, secret_spans(scanned(_text()), limits))
     start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("parts"), F.lit(0).alias("n"))
 
